@@ -45,3 +45,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             base = tempfile.mkdtemp(prefix="askbase-")
             context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder once and go on from the file.
+
+    For small results of costly work that several later steps read: the work
+    runs once, and losing an executor does not repeat it.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -44,18 +44,23 @@ def _jaccard(a: Column, b: Column) -> Column:
 
 
 def _bigrams(words: Column) -> Column:
-    pairs = F.transform(words, lambda w, i: F.concat_ws(" ", w, F.try_element_at(words, i + 2)))
-    return F.array_distinct(F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n),
+                                       lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def lexical_overlap(query, candidate) -> Column:
     """Jaccard of tokens plus half the Jaccard of bigrams.
 
-    A deterministic stand-in for a neural pair scorer.
+    A deterministic stand-in for a neural pair scorer. The one-element array
+    binds the token lists, so that each text is tokenised once.
     """
-    q, c = text.tokens(query), text.tokens(candidate)
-    return _jaccard(F.array_distinct(q), F.array_distinct(c)) + 0.5 * _jaccard(
-        _bigrams(q), _bigrams(c))
+    def score(p: Column) -> Column:
+        return _jaccard(F.array_distinct(p.q), F.array_distinct(p.c)) + 0.5 * _jaccard(
+            _bigrams(p.q), _bigrams(p.c))
+
+    both = F.struct(text.tokens(query).alias("q"), text.tokens(candidate).alias("c"))
+    return F.element_at(F.transform(F.array(both), score), 1)
 
 
 def rescore(pairs: DataFrame, score_fn: Callable | None = None, k: int | None = vocab.TOP_K,

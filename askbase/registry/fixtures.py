@@ -171,18 +171,32 @@ def closure(sql: str, library: dict[str, str]) -> list[str]:
     return ordered
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _planned(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """Keep the (lazy) plan, so that files are listed and schemas read only once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PLANS:
+        _PLANS[key] = make()
+    return _PLANS[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _planned(spark, sf_dir, name, lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a Spark plan over the Parquet files."""
-    names = closure(name, SQL)
-    body = " ".join(SQL[n] for n in names)
-    base = [b for b in BASE if re.search(rf"\b(?:FROM|JOIN) {b}\b", body)]
-    views = [f"{b} AS (SELECT * FROM parquet.`{sf_dir}/{b}.parquet`)" for b in base]
-    views += [f"{n} AS ({SQL[n]})" for n in names]
-    return spark.sql(f"WITH {', '.join(views)} SELECT * FROM {name}")
+    def make() -> DataFrame:
+        names = closure(name, SQL)
+        body = " ".join(SQL[n] for n in names)
+        base = [b for b in BASE if re.search(rf"\b(?:FROM|JOIN) {b}\b", body)]
+        views = [f"{b} AS (SELECT * FROM parquet.`{sf_dir}/{b}.parquet`)" for b in base]
+        views += [f"{n} AS ({SQL[n]})" for n in names]
+        return spark.sql(f"WITH {', '.join(views)} SELECT * FROM {name}")
+
+    return _planned(spark, sf_dir, name, make)
 
 
 def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:

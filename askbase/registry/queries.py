@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import payloads, text, vocab
-from ..functions.sizing import shared_dir
+from ..functions.sizing import shared_dir, stored
 from ..operators import (answers, chunks as ch, evaluation as ev, fusion, layout, profile,
                          ranking, review, rows as rw, vectors)
 from ..plans import answering, experiment
@@ -440,7 +440,7 @@ def rrf_hybrid(spark, sf):
 def _bm25_pairs(spark, sf):
     """BM25 pools over question chunks, with the text of both sides."""
     corpus, questions = _corpus(spark, sf, role="question"), _questions(spark, sf)
-    pool = ranking.bm25(corpus, questions)
+    pool = stored(ranking.bm25(corpus, questions), "pool")
     bound = _questions_bound(questions) * vocab.POOL_SIZE
     return answers.with_text(pool, corpus, bound).join(
         questions.select("query_id", F.col("text").alias("query_text")), "query_id")
@@ -476,7 +476,7 @@ def score_gap(spark, sf):
 def _top(spark, sf):
     """Reranked and linked hits of every question."""
     chunks = _corpus(spark, sf)
-    top = fusion.rescore(_bm25_pairs(spark, sf))
+    top = stored(fusion.rescore(_bm25_pairs(spark, sf)), "top")
     bound = _questions_bound(_questions(spark, sf)) * vocab.TOP_K
     return answers.pair_link(top, chunks, bound)
 
