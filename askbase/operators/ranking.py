@@ -157,14 +157,20 @@ def _raw_idf(df, n_docs):
 
 
 def _term_rows(corpus: DataFrame, text: str) -> DataFrame:
-    """term, df and tf_total; partial sums keep frequent terms from piling up."""
-    per_doc = corpus.select(rules.tokens(text).alias("tokens"))
-    once = per_doc.select(F.explode(F.array_distinct("tokens")).alias("term"),
-                          F.lit(1).alias("df"), F.lit(0).alias("tf"))
-    each = per_doc.select(F.explode("tokens").alias("term"),
-                          F.lit(0).alias("df"), F.lit(1).alias("tf"))
-    return once.unionByName(each).groupBy("term").agg(
-        F.sum("df").alias("df"), F.sum("tf").alias("tf_total"))
+    """term, df and tf_total; partial sums keep frequent terms from piling up.
+
+    In the sorted tokens of a document a term counts for df where it differs
+    from its left neighbour. The one-element array binds the sorted list.
+    """
+    def flagged(words):
+        left = F.concat(F.array(F.lit("")), F.slice(words, 1, F.size(words)))
+        return F.zip_with(words, F.slice(left, 1, F.greatest(F.size(words), F.lit(0))),
+                          lambda w, before: F.struct(
+                              w.alias("term"), (w != before).cast("bigint").alias("first")))
+
+    once = F.transform(F.array(F.array_sort(rules.tokens(text))), flagged)
+    return corpus.select(F.inline(F.element_at(once, 1))).groupBy("term").agg(
+        F.sum("first").alias("df"), F.count("*").alias("tf_total"))
 
 
 def term_stats(corpus: DataFrame, text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import vocab
+from ..functions.sizing import stored
 from ..operators.chunks import build_chunks, non_empty
 from ..operators.vectors import embed, hash_embed
 from ..sources.corpus import CorpusStore, collection_units, pending
@@ -15,9 +16,11 @@ def ingest(store: CorpusStore, rows: DataFrame, collections=None,
     """Write what the checkpoint lacks, then record it.
 
     Both distances of a strategy share one stored table, so its chunks are
-    built and embedded once. A file without usable chunks is recorded too.
+    built and embedded once. The rows are stored first, since the checkpoint
+    counts them again. A file without usable chunks is recorded too.
     """
     names = list(collections or vocab.COLLECTIONS)
+    rows = stored(rows, "rows")
     files = rows.select("source_file").distinct()
     todo = pending(collection_units(files, names), store.checkpoint()).persist()
     wanted = todo.select("strategy", "source_file").distinct()

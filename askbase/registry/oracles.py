@@ -318,11 +318,11 @@ WHERE text <> ''""",
 SELECT w.*, a.line_top FROM o_words w ASOF JOIN o_anchors a
   ON w.doc_id = a.doc_id AND w.page = a.page AND w.top >= a.line_top""",
     "o_lines": """
-SELECT doc_id, page, line_top, min(top) AS top, max(bottom) AS bottom, max(bottom - top) AS line_height,
+SELECT doc_id, page, line_top, min(top) AS top, max(bottom) AS bottom, max(h) AS line_height,
   arg_max(fontname, (n, -seen)) AS font, sum(n) FILTER (fontname = 'Serif-Bold') * 2 > sum(n) AS is_bold,
   arg_max(size, (n, size)) AS modal_size, arg_min(first, seen) AS first
 FROM (SELECT doc_id, page, line_top, fontname, size, sum(length(text)) AS n, min(x0) AS seen,
-        min(top) AS top, max(bottom) AS bottom, arg_min(text, (x0, top)) AS first
+        min(top) AS top, max(bottom) AS bottom, max(bottom - top) AS h, arg_min(text, (x0, top)) AS first
       FROM o_lined GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3""",
     "o_para_lines": r"""
 SELECT *, CAST(sum(CASE WHEN r = 1 OR item OR gap OR coalesce(bold, false) OR coalesce(big, false)
@@ -634,8 +634,7 @@ SELECT query_id, string_agg('[past Q&A ' || rank || ', source=' || source_file |
 SELECT answer_no, lower(answer) LIKE '%cannot find this in our corpus%' AS says_refusal,
   {strip('answer')} = '{REFUSAL}' AS is_refusal FROM fx_answers""",
     "config_matrix": "SELECT *, (SELECT count(*) FROM fx_files) AS n_files FROM o_configs",
-    "eval_questions": """SELECT row_number() OVER (ORDER BY query_id) - 1 AS question_no, query_id, text, scope,
-  expected_pair_id FROM fx_questions""",
+    "eval_questions": "SELECT query_id, text, scope, expected_pair_id FROM fx_questions",
     "eval_rank": """
 SELECT q.query_id, min(h.rank) AS hit_rank, CASE WHEN min(h.rank) IS NULL THEN 0 ELSE 1 END AS recall,
   round(coalesce(1.0 / min(h.rank), 0), 6) AS mrr
@@ -650,9 +649,9 @@ SELECT axis, value, round(avg(recall_at_3), 6) AS recall_at_3, round(avg(mrr), 6
 FROM (SELECT 'retrieval' AS axis, retrieval AS value, * FROM a UNION ALL SELECT 'rerank', rerank, * FROM a
   UNION ALL SELECT 'strategy', strategy, * FROM a UNION ALL SELECT 'distance', distance, * FROM a) GROUP BY 1, 2""",
     "comparison_table": """
-SELECT rank, '| ' || concat_ws(' | ', rank, collection, retrieval, rerank, printf('%.3f', recall_at_3),
-  printf('%.3f', mrr), printf('%.3f', retrieval_gap_rate), printf('%.3f', hallucination_refusal_rate),
-  printf('%.2f', faithfulness), printf('%.2f', relevance), printf('%.2f', completeness), n_judged) || ' |' AS line
+SELECT rank, '| ' || concat_ws(' | ', rank, collection, retrieval, rerank, printf('%.3f', round(round(recall_at_3, 9), 3)),
+  printf('%.3f', round(round(mrr, 9), 3)), printf('%.3f', round(round(retrieval_gap_rate, 9), 3)), printf('%.3f', round(round(hallucination_refusal_rate, 9), 3)),
+  printf('%.2f', round(round(faithfulness, 9), 2)), printf('%.2f', round(round(relevance, 9), 2)), printf('%.2f', round(round(completeness, 9), 2)), n_judged) || ' |' AS line
 FROM (SELECT *, row_number() OVER (ORDER BY round(recall_at_3 + mrr, 9) DESC,
   concat_ws('|', collection, retrieval, rerank)) AS rank FROM o_aggregates)""",
     "leaderboard_gap": """

@@ -552,13 +552,10 @@ def config_matrix(spark, sf):
 @query
 def eval_questions(spark, sf):
     path = shared_dir(spark, "questions")
-    listed = _questions(spark, sf).select(F.struct(
-        F.col("query_id").alias("id"), F.col("text").alias("question"), "scope",
-        "expected_pair_id").alias("q"))
-    listed.agg(F.sort_array(F.collect_list("q")).alias("questions")).write.json(path)
-    return ev.read_questions(spark, path).select(
-        F.col("question_no").cast("bigint").alias("question_no"), "query_id", "text", "scope",
-        "expected_pair_id")
+    listed = F.array(F.struct(F.col("query_id").alias("id"), F.col("text").alias("question"),
+                              "scope", "expected_pair_id")).alias("questions")
+    _fx(spark, sf, "fx_questions").select(listed).write.json(path)
+    return ev.read_questions(spark, path)
 
 
 @query
