@@ -30,7 +30,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if len(df.inputFiles()) >= cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores, key)  # a stated number is not coalesced again
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -168,8 +168,8 @@ def _term_rows(corpus: DataFrame, text: str) -> DataFrame:
                           lambda w, before: F.struct(
                               w.alias("term"), (w != before).cast("bigint").alias("first")))
 
-    once = F.transform(F.array(F.array_sort(rules.tokens(text))), flagged)
-    return corpus.select(F.inline(F.element_at(once, 1))).groupBy("term").agg(
+    once = F.transform(F.array(F.sort_array(rules.tokens(text))), flagged)
+    return spread(corpus.select(text), text).select(F.inline(F.element_at(once, 1))).groupBy("term").agg(
         F.sum("first").alias("df"), F.count("*").alias("tf_total"))
 
 
@@ -188,13 +188,14 @@ def term_stats(corpus: DataFrame, text: str = "text") -> DataFrame:
 class _Vocabulary:
     """Corpus counts needed to weigh the terms of a block of queries."""
 
-    def __init__(self, corpus: DataFrame, text: str):
-        self.spark = corpus.sparkSession
-        length = F.size(rules.tokens(text))
-        row = corpus.agg(F.count("*"), F.coalesce(F.avg(length), F.lit(0.0))).first()
+    def __init__(self, lines: DataFrame):
+        """``lines`` has one token line per document."""
+        self.spark = lines.sparkSession
+        words = F.filter(F.split("line", " "), lambda w: w != "")
+        row = lines.agg(F.count("*"), F.coalesce(F.avg(F.size(words)), F.lit(0.0))).first()
         self.n_docs, self.mean_length = row[0], row[1]
-        distinct = F.explode(F.array_distinct(rules.tokens(text))).alias("term")
-        self.terms = (corpus.select(distinct).groupBy("term")
+        distinct = F.explode(F.array_distinct(words)).alias("term")
+        self.terms = (lines.select(distinct).groupBy("term")
                       .agg(F.count("*").alias("df")).persist())
 
     def mean_idf(self) -> float:
@@ -282,11 +283,11 @@ def _sparse_search(corpus: DataFrame, queries: DataFrame, n: int, model: str,
                    id_col: str, text: str, block: int) -> DataFrame:
     weigh_query, document, score_type = _MODELS[model]
     context = corpus.sparkSession.sparkContext
-    words = _Vocabulary(corpus, text)
+    rows = spread(corpus.select(F.col(id_col).alias("id"), text), "id").select(
+        "id", F.coalesce(rules.token_line(text), F.lit("")).alias("line"))
+    words = _Vocabulary(rows)
     stats = {"n_docs": words.n_docs, "mean_length": words.mean_length,
              "mean_idf": words.mean_idf() if model == "bm25" else 0.0}
-    rows = spread(corpus.select(F.col(id_col).alias("id"), text), "id").select(
-        "id", rules.token_line(text).alias("line"))
     queries = queries.select(F.col("query_id").cast("string"),
                              rules.token_line("text").alias("line"))
 
