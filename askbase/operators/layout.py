@@ -56,30 +56,65 @@ def modal_size(words: DataFrame, *keys: str) -> DataFrame:
     return _modal(words, list(keys), F.lit(1))
 
 
-def line_signature(lined: DataFrame) -> DataFrame:
-    """Extent, modal size, majority font and boldness of each line.
+def _heaviest(groups, name: str, weight: str, *ties):
+    """Value of ``name`` with the largest summed weight in an array of groups.
 
-    Size, font and bold are weighed by characters; of fonts with equal weight
-    the one seen first wins.
+    The array holds one struct per font and size of a line, so it is short.
     """
+    def total(value):
+        same = F.filter(groups, lambda g: g[name] == value)
+        return F.aggregate(same, F.lit(0).cast("bigint"), lambda n, g: n + g[weight])
+
+    def first(value):
+        seen = F.array_min(F.transform(F.filter(groups, lambda g: (g[name] == value) & (g.n > 0)),
+                                       lambda g: g.seen))
+        return [-seen.x0, -seen.top, -seen.word_no]
+
+    values = F.array_distinct(F.transform(F.filter(
+        groups, lambda g: g[name].isNotNull() & (g[weight] > 0)), lambda g: g[name]))
+    ranked = F.transform(values, lambda v: F.struct(
+        total(v).alias("n"), *([x.alias(f"t{i}") for i, x in enumerate(first(v))] if ties else []),
+        v.alias("v")))
+    return F.array_max(ranked).v
+
+
+def line_table(lined: DataFrame) -> DataFrame:
+    """Signature of each line plus its word counts per size, in one pass over the words."""
     chars = F.length("text")
-    font = F.coalesce("fontname", F.lit(""))
     left = F.struct("x0", "top", "word_no")
-    weights = lined.groupBy(*LINE, font.alias("font")).agg(
-        F.sum(chars).alias("n"), F.min(F.when(chars > 0, left)).alias("seen"),
-        F.min("top").alias("top"), F.max("bottom").alias("bottom"),
+    font = F.coalesce("fontname", F.lit(""))
+    groups = lined.groupBy(*LINE, font.alias("font"), F.round("size", 1).alias("size")).agg(
+        F.sum(chars).alias("n"), F.count("*").alias("words"),
+        F.min(F.when(chars > 0, left)).alias("seen"), F.min("x0").alias("x0"),
+        F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"),
         F.max(F.col("bottom") - F.col("top")).alias("height"),
         F.min_by(F.struct(left.alias("at"), "text"), left).alias("first"))
-    most = F.struct("n", -F.col("seen.x0"), -F.col("seen.top"), -F.col("seen.word_no"))
-    lines = weights.groupBy(*LINE).agg(
-        F.min("top").alias("top"), F.max("bottom").alias("bottom"),
-        F.max("height").alias("line_height"),
-        F.max_by("font", F.when(F.col("n") > 0, most)).alias("font"),
+    lines = groups.groupBy(*LINE).agg(
+        F.collect_list(F.struct("font", "size", "n", "words", "seen")).alias("groups"),
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"),
+        F.max("bottom").alias("bottom"), F.max("height").alias("line_height"),
         (F.sum(F.when(text.is_bold_font("font"), F.col("n")).otherwise(0)) * 2
          > F.sum("n")).alias("is_bold"),
+        F.sum(F.when(text.is_bold_font("font"), F.col("words")).otherwise(0)).alias("bold_words"),
+        F.sum("words").alias("words"),
         F.min_by("first.text", F.col("first.at")).alias("first_word"))
-    return lines.join(_modal(lined, LINE, chars), LINE, "left").withColumn(
-        "starts_item", text.is_list_marker("first_word")).drop("first_word")
+    return lines.select(
+        *LINE, "x0", "x1", "top", "bottom", "line_height", "is_bold", "bold_words", "words",
+        _heaviest(F.col("groups"), "font", "n", "seen").alias("font"),
+        _heaviest(F.col("groups"), "size", "n").alias("modal_size"),
+        F.transform("groups", lambda g: F.struct(g["size"].alias("size"), g["words"].alias("words"),
+                                                 g["n"].alias("n"), g["seen"].alias("seen")))
+        .alias("sizes"), text.is_list_marker("first_word").alias("starts_item"))
+
+
+def line_signature(lined: DataFrame) -> DataFrame:
+    """Extent, modal size, majority font and boldness of each line.
+
+    Size, font and bold are weighed by characters; of fonts with equal weight
+    the one seen first wins, of sizes the larger.
+    """
+    return line_table(lined).select(*LINE, "top", "bottom", "line_height", "font", "is_bold",
+                                    "modal_size", "starts_item")
 
 
 def paragraph_breaks(lines: DataFrame) -> DataFrame:
@@ -106,23 +141,25 @@ def paragraph_breaks(lines: DataFrame) -> DataFrame:
         "para_no", F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def _majority_bold():
-    return (F.count_if(text.is_bold_font("fontname")) * 2 > F.count("*")).alias("is_bold")
-
-
 def paragraphs(lined: DataFrame) -> DataFrame:
-    """Text and features of each paragraph; white-space-only ones are dropped."""
-    breaks = paragraph_breaks(line_signature(lined)).select(*LINE, "para_no", "starts_item")
-    words = lined.join(breaks, LINE)
+    """Text and features of each paragraph; white-space-only ones are dropped.
+
+    Features come from the lines; the words are read again for the text only.
+    """
     keys = [*PAGE, "para_no"]
-    ordered = F.array_sort(F.collect_list(F.struct("line_top", "x0", "top", "word_no", "text")))
-    joined = words.groupBy(*keys).agg(
-        text.strip(F.array_join(F.transform(ordered, lambda w: w.text), " ")).alias("text"),
-        _majority_bold(), F.min_by("starts_item", "line_top").alias("has_num_pr"),
-        F.min("x0").alias("x0"), F.min("top").alias("top"),
-        F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
-    return (joined.join(_modal(words, keys, F.lit(1)), keys, "left")
-            .withColumnRenamed("modal_size", "rendered_size").filter(F.col("text") != ""))
+    lines = paragraph_breaks(line_table(lined))
+    features = lines.groupBy(*keys).agg(
+        F.flatten(F.collect_list("sizes")).alias("sizes"),
+        (F.sum("bold_words") * 2 > F.sum("words")).alias("is_bold"),
+        F.min_by("starts_item", "line_top").alias("has_num_pr"), F.min("x0").alias("x0"),
+        F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"),
+    ).withColumn("rendered_size", _heaviest(F.col("sizes"), "size", "words")).drop("sizes")
+    placed = lined.select(*LINE, "x0", "top", "word_no", "text").join(
+        lines.select(*LINE, "para_no"), LINE)
+    ordered = F.sort_array(F.collect_list(F.struct("line_top", "x0", "top", "word_no", "text")))
+    joined = placed.groupBy(*keys).agg(
+        text.strip(F.array_join(ordered["text"], " ")).alias("text"))
+    return joined.filter(F.col("text") != "").join(features, keys)
 
 
 def boxed(paras: DataFrame, boxes: DataFrame, padding: float = BOX_PADDING) -> DataFrame:
