@@ -65,8 +65,9 @@ def edge_samples(rows: DataFrame, chunks: DataFrame) -> DataFrame:
 def batch_plan(chunks: DataFrame, size: int = vocab.EMBED_BATCH, block: int = BLOCK) -> DataFrame:
     """Batch number and total per (strategy, file) of the chunks that carry text."""
     keys = ["strategy", "source_file"]
-    kept = running_index(non_empty(chunks), keys, "chunk_index", "_i", block)
-    totals = kept.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("n_batches"))
+    filled = non_empty(chunks)
+    kept = running_index(filled, keys, "chunk_index", "_i", block)
+    totals = filled.groupBy(*keys).agg(F.ceil(F.count("*") / size).alias("n_batches"))
     return kept.join(totals, keys).select(
         *keys, "chunk_id", (F.floor(F.col("_i") / size) + 1).alias("batch"),
         (F.col("_i") % size).alias("slot"), "n_batches")

@@ -1,6 +1,7 @@
 """Questionnaire-shaped inputs derived from the given tables.
 
-Each entry is SQL that Spark and DuckDB read alike. Every nation is a client
+Each entry is SQL that Spark and DuckDB read alike, but for small constant
+tables, which each dialect spells its own way. Every nation is a client
 with one workbook, every conversation part of one workbook. Row numbers of a
 sheet come from arithmetic on ids, so no window over a whole file is needed;
 sheets may have empty rows in between.
@@ -17,6 +18,16 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 REFUSAL = "I cannot find this in our corpus."
 
+# Small constant tables; each row of a query is repeated for every entry.
+CONSTANTS = {
+    "preamble": (("n",), ("1", "2", "3")),
+    "mapping": (("col_letter", "role"), (
+        "A ref", "B question", "C answer", "D context", "E category", "F ignore", "G ignore",
+        "H ignore")),
+    "headers": (("col_letter", "header"), ("A Ref", "B Question", "C Answer", "F Spare")),
+    "done": (("collection",), ("combined_cosine", "combined_l2", "separated_cosine")),
+}
+
 SQL = {
     "fx_turns": """
 SELECT t.conv_id, t.turn, t.role, t.text, n.role AS next_role, n.text AS next_text
@@ -49,6 +60,8 @@ SELECT file_no, source_file, role,
   CASE WHEN role = 'user' AND conv_id % 7 <> 0
        THEN 'cat' || CAST(conv_id % 5 AS STRING) ELSE '' END AS category
 FROM fx_slots WHERE role IN ('user', 'system')""",
+    "fx_preamble": """
+SELECT source_file, sheet, $preamble$ FROM fx_files WHERE file_no % 8 IN (3, 5)""",
     "fx_wide": """
 SELECT source_file, 'Main' AS sheet, 1 AS sheet_no, row_no,
   CASE WHEN role = 'system' THEN '' ELSE CAST(row_no AS STRING) END AS A, question AS B,
@@ -58,18 +71,13 @@ UNION ALL
 SELECT source_file, sheet, 1, header_row, 'Ref', 'Question:', ' Answer', 'Context', 'Category',
   NULL, '', '' FROM fx_files WHERE file_no % 2 = 0
 UNION ALL
-SELECT f.source_file, f.sheet, 1, CAST(p.n AS BIGINT), 'Company: Example', 'Ready?', '', '', '',
-  NULL, '', '' FROM fx_files f, (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) p
-WHERE f.file_no % 8 IN (3, 5)
+SELECT source_file, sheet, 1, CAST(n AS BIGINT), 'Company: Example', 'Ready?', '', '', '',
+  NULL, '', '' FROM fx_preamble
 UNION ALL
 SELECT source_file, 'Plan', 2, slot + 1, role, text, '', '', '', NULL, '', ''
 FROM fx_slots WHERE file_no % 8 = 4""",
     "fx_mapping": """
-SELECT f.source_file, m.col_letter, m.role FROM fx_files f,
-  (SELECT 'A' AS col_letter, 'ref' AS role UNION ALL SELECT 'B', 'question'
-   UNION ALL SELECT 'C', 'answer' UNION ALL SELECT 'D', 'context'
-   UNION ALL SELECT 'E', 'category' UNION ALL SELECT 'F', 'ignore'
-   UNION ALL SELECT 'G', 'ignore' UNION ALL SELECT 'H', 'ignore') m""",
+SELECT source_file, $mapping$ FROM fx_files""",
     "fx_mapping_bad": """
 SELECT m.source_file,
   CASE WHEN f.file_no = 1 AND m.col_letter = 'H' THEN 'J'
@@ -131,10 +139,8 @@ SELECT answer_no, CASE WHEN answer_no % 5 = 0 THEN 'Edited ' || CAST(answer_no A
   AS new_text, answer_no % 7 = 0 AS skipped
 FROM fx_answers WHERE answer_no % 5 = 0 OR answer_no % 7 = 0""",
     "fx_checkpoint": """
-SELECT c.collection, f.source_file, CAST(10 AS BIGINT) AS rows, CAST(20 AS BIGINT) AS chunks_embedded
-FROM fx_files f, (SELECT 'combined_cosine' AS collection UNION ALL SELECT 'combined_l2'
-  UNION ALL SELECT 'separated_cosine') c
-WHERE f.file_no IN (0, 1)""",
+SELECT source_file, CAST(10 AS BIGINT) AS rows, CAST(20 AS BIGINT) AS chunks_embedded, $done$
+FROM fx_files WHERE file_no IN (0, 1)""",
     "fx_run_events": """
 SELECT user_id AS run_id, event_id AS seq, ts,
   CASE event_type WHEN 'view' THEN 'collection' WHEN 'click' THEN 'progress'
@@ -152,12 +158,25 @@ FROM documents""",
 SELECT doc_id, CAST(1 AS BIGINT) AS page, CAST(0 AS DOUBLE) AS x0, CAST(42 AS DOUBLE) AS top,
   CAST(400 AS DOUBLE) AS x1, CAST(120 AS DOUBLE) AS bottom FROM documents""",
     "fx_headers": """
-SELECT f.source_file, m.col_letter, m.header FROM fx_files f,
-  (SELECT 'A' AS col_letter, 'Ref' AS header UNION ALL SELECT 'B', 'Question'
-   UNION ALL SELECT 'C', 'Answer' UNION ALL SELECT 'F', 'Spare') m""",
+SELECT source_file, $headers$ FROM fx_files""",
 }
 
 
+def render(sql: str, dialect: str) -> str:
+    """Fill in the constant tables: ``inline`` in Spark, ``unnest`` in DuckDB."""
+    for name, (columns, entries) in CONSTANTS.items():
+        rows = [dict(zip(columns, e.split())) for e in entries]
+        if dialect == "spark":
+            items = ", ".join("struct(" + ", ".join(f"'{v}' AS {c}" for c, v in r.items()) + ")"
+                              for r in rows)
+            text = f"inline(array({items}))"
+        else:
+            items = ", ".join("{" + ", ".join(f"'{c}': '{v}'" for c, v in r.items()) + "}" for r in rows)
+            text = f"unnest([{items}], recursive := true)"
+        sql = sql.replace(f"${name}$", text)
+    return sql
+
+
 def closure(sql: str, library: dict[str, str]) -> list[str]:
     """Names from ``library`` that ``sql`` needs, each after what it needs itself."""
     ordered: list[str] = []
@@ -195,7 +214,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         body = " ".join(SQL[n] for n in names)
         base = [b for b in BASE if re.search(rf"\b(?:FROM|JOIN) {b}\b", body)]
         views = [f"{b} AS (SELECT * FROM parquet.`{sf_dir}/{b}.parquet`)" for b in base]
-        views += [f"{n} AS ({SQL[n]})" for n in names]
+        views += [f"{n} AS ({render(SQL[n], 'spark')})" for n in names]
         return spark.sql(f"WITH {', '.join(views)} SELECT * FROM {name}")
 
     return _planned(spark, sf_dir, name, make)

@@ -1,7 +1,7 @@
 """For each named query the SQL that DuckDB runs on the same tables."""
 
 from ..functions import vocab
-from .fixtures import REFUSAL, SQL as FIXTURES, closure
+from .fixtures import REFUSAL, SQL as FIXTURES, closure, render
 
 SPACE = r"'^\s+|\s+$', '', 'g'"
 
@@ -403,7 +403,7 @@ _ANCHORS = """o_anchors(doc_id, page, line_top) AS (
   SELECT a.doc_id, a.page, min(t.top) FROM o_anchors a JOIN o_tops t
     ON t.doc_id = a.doc_id AND t.page = a.page AND t.top > a.line_top + 2.5 GROUP BY a.doc_id, a.page, a.line_top)"""
 
-_ALL = {**FIXTURES, **LIBRARY}
+_ALL = {**{k: render(v, "duckdb") for k, v in FIXTURES.items()}, **LIBRARY}
 
 
 def statement(sql: str) -> str:
