@@ -21,16 +21,25 @@ def broadcast_if(df: DataFrame, row_bound: int | None, limit: int = 200_000) ->
     return F.broadcast(df) if row_bound is not None and row_bound <= limit else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Split a table stored in fewer files than there are cores.
+def _split_bytes(spark: SparkSession) -> int:
+    setting = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    return int(setting[:-1]) * units[setting[-1]] if setting[-1] in units else int(setting)
 
-    Large tables come in many splits and pass through untouched, so that no
-    shuffle is paid for at scale.
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Split a table that is read in fewer parts than there are cores.
+
+    Tables with many files or many splits pass through untouched, so that no
+    shuffle is paid for at scale. ``key`` is a column of unique values; without
+    one the rows are dealt out in turn, so that equal rows do not gather.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if len(df.inputFiles()) >= cores or size >= cores * _split_bytes(spark):
         return df
-    return df.repartition(cores, key)  # a stated number is not coalesced again
+    return df.repartition(cores, key) if key else df.repartition(cores)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -169,7 +169,7 @@ def _term_rows(corpus: DataFrame, text: str) -> DataFrame:
                               w.alias("term"), (w != before).cast("bigint").alias("first")))
 
     once = F.transform(F.array(F.sort_array(rules.tokens(text))), flagged)
-    return spread(corpus.select(text), text).select(F.inline(F.element_at(once, 1))).groupBy("term").agg(
+    return spread(corpus.select(text)).select(F.inline(F.element_at(once, 1))).groupBy("term").agg(
         F.sum("first").alias("df"), F.count("*").alias("tf_total"))
 
 
