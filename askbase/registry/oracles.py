@@ -478,8 +478,8 @@ FROM (SELECT path, lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS ext FROM fx_
     "header_row_valid": """
 SELECT source_file, sheet, h AS header_row, max_row, h >= 1 AND h <= max_row AS valid,
   greatest(max_row - h, 0) AS n_data_rows
-FROM (SELECT f.source_file, f.sheet, s.max_row, CASE file_no WHEN 2 THEN 0 WHEN 4 THEN 100000000000000
-  ELSE header_row END AS h FROM fx_files f JOIN o_sheets s USING (source_file, sheet))""",
+FROM (SELECT f.source_file, f.sheet, coalesce(s.max_row, 0) AS max_row, CASE file_no WHEN 2 THEN 0 WHEN 4 THEN 100000000000000
+  ELSE header_row END AS h FROM fx_files f LEFT JOIN o_sheets s USING (source_file, sheet))""",
     "sheet_scores": """SELECT source_file, sheet, q_marks, max_row,
   max(max_row) OVER (PARTITION BY source_file) AS detected_rows FROM o_sheets""",
     "sheet_pick": """
@@ -587,8 +587,7 @@ LEFT JOIN (SELECT strategy, source_file, count(*) AS n FROM o_kept GROUP BY 1, 2
 WITH v AS ({hashed("(SELECT chunk_id, text FROM o_kept WHERE strategy = 'separated')", "chunk_id")})
 SELECT * FROM (SELECT chunk_id, unnest(range(64)) AS slot, round(unnest(v), 6) AS value FROM v) WHERE value <> 0""",
     "knn_cosine": f"SELECT {_HITS.format('vec_id')} FROM ({knn('o_vectors', 'o_centroids', 'cosine')})",
-    "knn_l2": f"""SELECT {_HITS.format('vec_id')}, round(score * score, 4) AS score_sq
-FROM ({knn('o_vectors', 'o_centroids', 'l2')})""",
+    "knn_l2": f"SELECT {_HITS.format('vec_id')} FROM ({knn('o_vectors', 'o_centroids', 'l2')})",
     "bm25_topk": f"SELECT {_HITS.format('doc_id')} FROM o_doc_hits",
     "bm25_term_stats": f"""
 WITH t AS (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents),

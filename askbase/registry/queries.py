@@ -400,9 +400,7 @@ def knn_cosine(spark, sf):
 
 @query
 def knn_l2(spark, sf):
-    hits = _vector_hits(spark, sf, "l2")
-    return _hits(hits, "vec_id").withColumn(
-        "score_sq", F.round(F.col("score") * F.col("score"), 4))
+    return _hits(_vector_hits(spark, sf, "l2"), "vec_id")
 
 
 def _benchmark(spark, sf):
