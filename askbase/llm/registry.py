@@ -1,9 +1,10 @@
 """The subpackage's named queries and the SQL that checks them."""
 
-from askbase.llm import simhash
+from askbase.llm import line_dedup, simhash
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
