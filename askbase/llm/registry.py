@@ -1,10 +1,14 @@
 """The subpackage's named queries and the SQL that checks them."""
 
-from askbase.llm import line_dedup, simhash
+from askbase.llm import decontaminate, line_dedup, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.SQL,
+    "op5_decontamination": decontaminate.SQL,
+}
