@@ -1,10 +1,11 @@
 """The subpackage's named queries and the SQL that checks them."""
 
-from askbase.llm import decontaminate, line_dedup, simhash
+from askbase.llm import decontaminate, line_dedup, quality, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
