@@ -1,19 +1,49 @@
-"""From raw documents to encoded training text: five stages, each stored before the next."""
+"""From raw documents to encoded training text: five stages, each stored before the next.
 
-from pyspark.sql import DataFrame, SparkSession
+A stage gets what its predecessor kept and returns the columns of documents (the
+last one adds the encoding). Where a stage shortens a text it also sets n_chars.
+"""
 
-from askbase.llm import simhash
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from askbase.llm import decontaminate, line_dedup, pieces, quality, simhash
 from askbase.llm.common import stored, table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or their stratum's certified cutoffs go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in three or more documents stay in one of them only."""
+    kept = line_dedup.dedup_lines(docs).select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash_near_dedup", simhash_near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is benchmark passages go."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.judged(found).where("NOT contaminated").select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text as piece ids, decoded again as a check."""
+    return pieces.encode_and_check(docs, pieces.default_model())
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", drop_repeated_lines),
+          ("simhash_near_dedup", simhash_near_dedup), ("decontamination", decontamination),
+          ("sentencepiece", sentencepiece)]
 
-#: Fingerprints, fitted thresholds and piece merges are beyond SQL; tests compare with brute force.
+#: Fingerprints, certified cutoffs and piece merges are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
