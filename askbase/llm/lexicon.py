@@ -1,0 +1,74 @@
+"""A table of words that every task holds, of bounded size, with exact lookup."""
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
+
+#: Characters handled at a time inside a task.
+CHUNK = 4 << 20
+
+
+class Words:
+    """Distinct words in flat arrays, found by hash and confirmed by their bytes."""
+
+    def __init__(self, words: pa.Array):
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+        self.order = np.argsort(hashes)
+        words = words.take(pa.array(self.order))
+        self.hashes = hashes[self.order]
+        self.at = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1] \
+            if len(words) else np.zeros(1, np.int32)
+        self.blob = words.buffers()[2].to_pybytes() if len(words) else b""
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The row of each word, -1 where it is not in here."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        hashes, at, blob, last = self.hashes, self.at, self.blob, len(self.hashes)
+        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        row = np.searchsorted(hashes, h)
+        row[row == last] = 0
+        hit = hashes[row] == h
+        for k in np.nonzero(hit)[0].tolist():
+            r = int(row[k])
+            while r < last and hashes[r] == h[k] and blob[at[r]:at[r + 1]] != words[k]:
+                r += 1  # another word with the same hash
+            row[k] = r if r < last and hashes[r] == h[k] else -1
+        row[~hit] = -1
+        return row
+
+
+def columns_of(df: DataFrame) -> list[pa.Array]:
+    """The columns of a table whose size was checked, each as one array."""
+    got = df.toArrow().combine_chunks()
+    return [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in got.columns]
+
+
+def most_frequent(words: DataFrame, count: str, weight: Column, room: int) -> Column:
+    """Condition for the most frequent rows whose ``weight`` adds up to no more than ``room``.
+
+    Counts in classes a quarter of a doubling apart decide, so that only some
+    hundred sums reach the driver.
+    """
+    level = F.floor(4 * F.log2(F.col(count).cast("double")))
+    sums = words.groupBy(level.alias("level")).agg(F.sum(weight).alias("w")).orderBy(F.desc("level"))
+    cut = None
+    for r in sums.collect():
+        room -= r["w"]
+        if room < 0:
+            break
+        cut = r["level"]
+    return F.lit(False) if cut is None else level >= F.lit(cut)
+
+
+def chunks(texts: list):
+    """(start, end) of slices of a batch with about CHUNK characters each."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= CHUNK:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

@@ -33,13 +33,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from askbase.llm.common import id_key, let, map_columns, stored, table
+from askbase.llm.lexicon import Words, chunks, columns_of, most_frequent
 
 MARK, LONG = "▁", 48
-LEXICON_BYTES, CHUNK, TASK_UNITS = 256 << 20, 4 << 20, 400_000
+LEXICON_BYTES, TASK_UNITS = 256 << 20, 400_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -252,44 +252,14 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     return folded.unionByName(long)
 
 
-class Lexicon:
-    """Encoded units in flat arrays, found by hash and confirmed by their bytes."""
+class Lexicon(Words):
+    """Encoded units."""
 
     def __init__(self, units: pa.Array, ids: pa.Array):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(u) for u in units.to_pylist()), np.uint64, len(units))
-        order = np.argsort(hashes)
-        units, ids = units.take(pa.array(order)), ids.take(pa.array(order))
-        self.hashes = hashes[order]
-        self.at = np.frombuffer(units.buffers()[1], np.int32)[units.offset:units.offset + len(units) + 1]
-        self.blob = units.buffers()[2].to_pybytes() if len(units) else b""
-        self.first = np.asarray(ids.offsets)
-        self.ids = ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
-
-    def find(self, units: list[bytes]) -> np.ndarray:
-        """The row of each unit, -1 where it is not in here."""
-        if not len(self.hashes):
-            return np.full(len(units), -1)
-        h = np.fromiter((xxhash.xxh64_intdigest(u) for u in units), np.uint64, len(units))
-        row = np.searchsorted(self.hashes, h)
-        row[row == len(self.hashes)] = 0
-        for k, u in enumerate(units):
-            r = row[k]
-            while r < len(self.hashes) and self.hashes[r] == h[k] and self.blob[self.at[r]:self.at[r + 1]] != u:
-                r += 1  # another unit with the same hash
-            row[k] = r if r < len(self.hashes) and self.hashes[r] == h[k] else -1
-        return row
-
-
-def _chunks(texts: list[str | None]):
-    """Slices of a batch with about CHUNK characters each."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHUNK:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+        super().__init__(units)
+        ids = ids.take(pa.array(self.order))
+        self.first = np.asarray(ids.offsets).astype(np.int64)
+        self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
 
 def _flat(texts, find) -> tuple[list[str], np.ndarray]:
@@ -314,9 +284,8 @@ def _encode_chunk(texts, tails, lexicon: Lexicon, find) -> tuple[np.ndarray, np.
     base = len(lexicon.ids)
     ids = np.concatenate([lexicon.ids, *[np.array(m, np.int32) for m in more]]) if more else lexicon.ids
     known = np.maximum(row, 0)
-    start = lexicon.first[known].astype(np.int64) if len(lexicon.hashes) else np.zeros(len(names), np.int64)
-    count = (lexicon.first[known + 1] - lexicon.first[known]).astype(np.int64) \
-        if len(lexicon.hashes) else np.zeros(len(names), np.int64)
+    first = lexicon.first if len(lexicon.hashes) else np.zeros(2, np.int64)
+    start, count = first[known], first[known + 1] - first[known]
     lengths = np.array([len(m) for m in more], np.int64)
     start[lacking], count[lacking] = base + np.cumsum(lengths) - lengths, lengths
     codes = coded.indices.to_numpy()
@@ -338,24 +307,13 @@ def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     total = known.agg(F.sum(weight)).first()[0] or 0
     if total <= lexicon_bytes:
         sent, rest = known, None
-    else:  # the most frequent units that fit; counts in classes a quarter apart decide
-        level = F.floor(4 * F.log2(F.col("n").cast("double")))
-        sized = known.join(counted, "unit").withColumn("level", level).withColumn(
-            "fits", F.length("unit") <= LONG)
-        room, cut = lexicon_bytes, None
-        for r in (sized.where("fits").groupBy("level").agg(F.sum(weight).alias("w"))
-                  .orderBy(F.desc("level")).collect()):  # some hundred classes at most
-            room -= r["w"]
-            if room < 0:
-                break
-            cut = r["level"]
-        head = F.col("fits") & (F.col("level") >= F.lit(cut)) if cut is not None else F.lit(False)
+    else:  # the most frequent units that fit
+        sized = known.join(counted, "unit")
+        fits = F.length("unit") <= LONG
+        head = fits & most_frequent(sized.where(fits), "n", weight, lexicon_bytes)
         sent, rest = sized.where(head).select("unit", "ids"), sized.where(~head).select("unit", "ids")
-    got = sent.select(F.col("unit").cast("binary").alias("unit"), "ids").toArrow().combine_chunks()
-    units, ids = ((got.column(c).chunk(0) if got.num_rows else pa.array([], got.schema.field(c).type))
-                  for c in ("unit", "ids"))
-    shared = spark.sparkContext.broadcast(Lexicon(units, ids))
-    del got, units, ids
+    shared = spark.sparkContext.broadcast(
+        Lexicon(*columns_of(sent.select(F.col("unit").cast("binary").alias("unit"), "ids"))))
     held = documents.select(F.struct("*").alias("row"), id_key(id_col).alias("id"),
                             F.col(text_col).alias("text"))
     if rest is not None:
@@ -365,7 +323,7 @@ def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 ids, names = batch.column(0).to_pylist(), []
                 owners: list[int] = []
                 texts = batch.column(1).to_pylist()
-                for s, e in _chunks(texts):
+                for s, e in chunks(texts):
                     flat, sizes = _flat(texts[s:e], find)
                     coded = pa.array(flat, pa.string()).dictionary_encode()
                     absent = shared.value.find(coded.dictionary.cast(pa.binary()).to_pylist()) < 0
@@ -388,7 +346,7 @@ def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         find = re.compile(pattern).findall
         texts, tails = columns[0].to_pylist(), columns[1].to_pylist()
         parts, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for s, e in _chunks(texts):
+        for s, e in chunks(texts):
             ids, size = _encode_chunk(texts[s:e], tails[s:e], shared.value, find)
             parts.append(ids)
             sizes.append(size)
