@@ -1,12 +1,13 @@
 """The subpackage's named queries and the SQL that checks them."""
 
-from askbase.llm import decontaminate, line_dedup, lm, pieces, quality, simhash
+from askbase.llm import decontaminate, extract, line_dedup, lm, pieces, quality, simhash
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_lm_scoring": lm.op4_lm_scoring,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_html_extraction": extract.op6_html_extraction,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
