@@ -17,10 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in three or more documents stay in one of them only."""
-    kept = line_dedup.dedup_lines(docs).select(*docs.columns)
-    if "n_chars" not in docs.columns:
-        return kept
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    kept = line_dedup.dedup_lines(docs.select(F.struct("*").alias("row"), "doc_id", "text"))
+    now = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return kept.select(*[now.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +29,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is benchmark passages go."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return decontaminate.judged(found).where("NOT contaminated").select(*docs.columns)
+    found = decontaminate.find_contamination(docs.select(F.struct("*").alias("row"), "text"),
+                                             table(spark, sf_dir, "benchmark"))
+    clean = decontaminate.judged(found).where("NOT contaminated")
+    return clean.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
