@@ -1,6 +1,6 @@
 """The subpackage's named queries and the SQL that checks them."""
 
-from askbase.llm import decontaminate, extract, line_dedup, lm, pieces, quality, simhash
+from askbase.llm import decontaminate, extract, license_scan, line_dedup, lm, pieces, quality, simhash, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -8,6 +8,8 @@ QUERIES = {
     "op4_lm_scoring": lm.op4_lm_scoring,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_html_extraction": extract.op6_html_extraction,
+    "op7_warc_revisits": warc.op7_warc_revisits,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
@@ -17,4 +19,5 @@ ORACLES: dict[str, str] = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_lm_scoring": lm.op4_lm_scoring,
     "op5_decontamination": decontaminate.SQL,
+    "op7_warc_revisits": warc.SQL,
 }
