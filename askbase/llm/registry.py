@@ -1,9 +1,10 @@
 """The subpackage's named queries and the SQL that checks them."""
 
-from askbase.llm import decontaminate, extract, license_scan, line_dedup, lm, pieces, quality, simhash, warc
+from askbase.llm import decontaminate, extract, license_scan, line_dedup, lm, pieces, quality, shards, simhash, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_token_shards": shards.op2_token_shards,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_lm_scoring": lm.op4_lm_scoring,
     "op5_decontamination": decontaminate.op5_decontamination,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op2_token_shards": shards.op2_token_shards,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_lm_scoring": lm.op4_lm_scoring,
     "op5_decontamination": decontaminate.SQL,
