@@ -1,4 +1,4 @@
-"""Checked sizes, spread of small inputs, and the shared working folder."""
+"""Checked sizes and the shared working folder."""
 
 import tempfile
 import uuid
@@ -13,7 +13,9 @@ def collect_bounded(df: DataFrame, bound: int):
 
 
 def broadcast_if(df: DataFrame, row_bound: int | None, limit: int = 200_000) -> DataFrame:
-    """Broadcast a side whose row count is known not to exceed ``row_bound``.
+    """Broadcast a side of ids and numbers whose row count is at most ``row_bound``.
+
+    Rows must be narrow: a side with texts is never hinted, whatever its count.
 
     Without a known bound, or above the limit, the choice stays with the
     optimizer, which checks the measured size at run time.
@@ -21,27 +23,6 @@ def broadcast_if(df: DataFrame, row_bound: int | None, limit: int = 200_000) ->
     return F.broadcast(df) if row_bound is not None and row_bound <= limit else df
 
 
-def _split_bytes(spark: SparkSession) -> int:
-    setting = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    return int(setting[:-1]) * units[setting[-1]] if setting[-1] in units else int(setting)
-
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Split a table that is read in fewer parts than there are cores.
-
-    Tables with many files or many splits pass through untouched, so that no
-    shuffle is paid for at scale. ``key`` is a column of unique values; without
-    one the rows are dealt out in turn, so that equal rows do not gather.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if len(df.inputFiles()) >= cores or size >= cores * _split_bytes(spark):
-        return df
-    return df.repartition(cores, key) if key else df.repartition(cores)
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,11 +1,9 @@
 """From ranked hits to answers: linking, context, drafting, provenance."""
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text, vocab
-from ..functions.sizing import broadcast_if, collect_bounded
+from ..functions.sizing import broadcast_if
 
 
 def with_text(hits: DataFrame, chunks: DataFrame, hits_bound: int | None = None,
@@ -23,14 +21,15 @@ def pair_link(hits: DataFrame, chunks: DataFrame, hits_bound: int | None = None)
     """Answer chunk of every question hit; a fixed text where there is none.
 
     ``hits_bound`` is a known upper bound of the number of hits (queries times
-    k); it allows the corpus side to be read without a shuffle.
+    k); it allows the corpus side to be read without a shuffle. Only ids are
+    sent to every task by that bound; answers' texts are joined by their size.
     """
     linked = hits.withColumn("answer_id", answer_id("chunk_id"))
     answers = chunks.filter(F.col("role") == "answer").select(
         F.col("chunk_id").alias("answer_id"), F.col("text").alias("answer_text"))
     wanted = linked.select("answer_id").distinct()
     found = answers.join(broadcast_if(wanted, hits_bound), "answer_id")
-    return linked.join(broadcast_if(found, hits_bound), "answer_id", "left").withColumn(
+    return linked.join(found, "answer_id", "left").withColumn(
         "answer_text", F.coalesce("answer_text", F.lit(vocab.ANSWER_MISSING)))
 
 
@@ -65,48 +64,28 @@ def draft_or_refuse(questions: DataFrame, top: DataFrame, min_score: float,
     ).drop("_best")
 
 
-def _name_pattern(name: str) -> str:
-    quoted = name.lower().replace("\\E", "\\E\\\\E\\Q")
-    return rf"(?U)\b\Q{quoted}\E\b"
-
-
-def _first_word(name: str) -> str:
-    found = re.search(r"\w+", name.lower())
-    return found.group() if found else ""
-
-
 def client_mentions(answers: DataFrame, clients: DataFrame, text_col: str = "answer",
-                    id_col: str = "query_id", in_row_limit: int = 500) -> DataFrame:
+                    id_col: str = "query_id") -> DataFrame:
     """Names of clients found in each answer as whole words, in any case.
 
-    Up to ``in_row_limit`` names are tested inside the row, with no shuffle.
-    Longer lists join on the first word of the name and verify the match.
+    A name is looked for where its first word occurs; one without any word
+    character can only fill the gap between two words, and is looked up as that.
+    Words are joined with the names' keys as (id, word) rows, so no text is
+    shuffled for a word; a match is then verified in the answer's row.
     """
     low = F.lower(F.coalesce(text_col, F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0))
-    names = collect_bounded(clients.select("client").distinct(), in_row_limit)
-    if names is not None:
-        table = [F.struct(F.lit(n).alias("name"), F.lit(_first_word(n)).alias("word"),
-                          F.lit(_name_pattern(n)).alias("pattern"))
-                 for n in sorted(r.client for r in names)]
-        if not table:
-            return answers.withColumn("mentioned_clients", F.array().cast("array<string>"))
-        with_words = answers.withColumn("_words", words)
-        hits = F.filter(F.array(*table), lambda c: (
-            (c.word == "") | F.array_contains("_words", c.word)) & F.regexp_like(low, c.pattern))
-        return with_words.withColumn(
-            "mentioned_clients", F.transform(hits, lambda c: c["name"])).drop("_words")
-    listed = clients.select("client").distinct().withColumn(
-        "word", F.regexp_extract(F.lower("client"), r"(?U)\w+", 0)).withColumn(
-        "pattern", F.concat(F.lit(r"(?U)\b\Q"), F.replace(
-            F.lower("client"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E\b")))
-    keyed = answers.select(id_col, low.alias("_low"), F.explode(
-        F.array_union(F.array_distinct(words), F.array(F.lit("")))).alias("word"))
-    found = (keyed.join(listed, "word").filter(F.regexp_like("_low", F.col("pattern")))
-             .groupBy(id_col).agg(F.array_sort(F.collect_set("client")).alias("mentioned_clients")))
-    return answers.join(found, id_col, "left").withColumn(
-        "mentioned_clients",
-        F.coalesce("mentioned_clients", F.array().cast("array<string>")))
+    word = F.regexp_extract(F.lower("client"), r"(?U)\w+", 0)
+    listed = clients.filter(F.col("client") != "").select("client").distinct().select(
+        "client", F.when(word != "", word).otherwise(F.lower("client")).alias("word"))
+    keys = F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)),
+                                     F.regexp_extract_all(low, F.lit(r"(?U)\W+"), F.lit(0))))
+    near = (answers.select(F.col(id_col).alias("_id"), F.explode(keys).alias("word")).join(listed, "word")
+            .groupBy("_id").agg(F.array_sort(F.collect_set("client")).alias("_names")))
+    joined = answers.join(near, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    verified = F.filter("_names", lambda n: F.regexp_like(low, F.concat(
+        F.lit(r"(?U)\b\Q"), F.replace(F.lower(n), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E\b"))))
+    return joined.withColumn("mentioned_clients", F.coalesce(
+        verified, F.array().cast("array<string>"))).drop("_names")
 
 
 def sources_of(top: DataFrame, by=("query_id",)) -> DataFrame:

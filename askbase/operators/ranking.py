@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as rules, vocab
-from ..functions.sizing import collect_bounded, spread
+from ..functions.sizing import collect_bounded
 
 QUERY_BLOCK = 1024
 _CELLS = 2_000_000
@@ -118,8 +118,7 @@ def knn(corpus: DataFrame, queries: DataFrame, n: int = vocab.POOL_SIZE,
     if metric not in ("cosine", "l2", "l2_sq"):
         raise ValueError(f"unknown metric {metric!r}")
     context = corpus.sparkSession.sparkContext
-    rows = spread(corpus.select(F.col(id_col).alias("id"), vector)
-                  .filter(F.col(vector).isNotNull()), "id")
+    rows = corpus.select(F.col(id_col).alias("id"), vector).filter(F.col(vector).isNotNull())
     queries = queries.select(F.col("query_id").cast("string"), vector)
 
     def search(names, matrix):
@@ -169,7 +168,7 @@ def _term_rows(corpus: DataFrame, text: str) -> DataFrame:
                               w.alias("term"), (w != before).cast("bigint").alias("first")))
 
     once = F.transform(F.array(F.sort_array(rules.tokens(text))), flagged)
-    return spread(corpus.select(text)).select(F.inline(F.element_at(once, 1))).groupBy("term").agg(
+    return corpus.select(F.inline(F.element_at(once, 1))).groupBy("term").agg(
         F.sum("first").alias("df"), F.count("*").alias("tf_total"))
 
 
@@ -283,8 +282,8 @@ def _sparse_search(corpus: DataFrame, queries: DataFrame, n: int, model: str,
                    id_col: str, text: str, block: int) -> DataFrame:
     weigh_query, document, score_type = _MODELS[model]
     context = corpus.sparkSession.sparkContext
-    rows = spread(corpus.select(F.col(id_col).alias("id"), text), "id").select(
-        "id", F.coalesce(rules.token_line(text), F.lit("")).alias("line"))
+    rows = corpus.select(
+        F.col(id_col).alias("id"), F.coalesce(rules.token_line(text), F.lit("")).alias("line"))
     words = _Vocabulary(rows)
     stats = {"n_docs": words.n_docs, "mean_length": words.mean_length,
              "mean_idf": words.mean_idf() if model == "bm25" else 0.0}

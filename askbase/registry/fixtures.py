@@ -11,7 +11,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.sizing import spread
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -223,7 +222,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents set as pages of 50 lines: headings, list items and wide gaps."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = spread(documents, "doc_id").select(
+    lines = documents.repartition("doc_id").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     marked = F.when(F.col("line") % 4 == 0, F.concat(F.lit("- "), "body")).otherwise(F.col("body"))
     words = lines.select("doc_id", "line", F.posexplode(F.split(marked, " ")).alias("w", "text"))

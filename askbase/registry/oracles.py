@@ -502,6 +502,11 @@ SELECT source_file, sheet, col_letter, sample_no, {cut('v', 80)} AS sample FROM
 SELECT c.source_file, c.sheet, c.row_no, c.value AS text FROM o_cells c
 JOIN o_question_columns q USING (source_file, sheet, col_letter) JOIN o_headers h USING (source_file, sheet)
 WHERE c.row_no > h.header_row AND c.value <> ''""",
+    "question_preview": """
+SELECT source_file, sheet, string_agg(c.value, ' | ' ORDER BY c.row_no) AS preview FROM (
+  SELECT c.*, row_number() OVER (PARTITION BY source_file, sheet ORDER BY c.row_no) AS k FROM o_cells c
+  JOIN o_question_columns q USING (source_file, sheet, col_letter) JOIN o_headers h USING (source_file, sheet)
+  WHERE c.row_no > h.header_row AND c.value <> '') c WHERE k <= 3 GROUP BY 1, 2""",
     "mapping_except": """
 SELECT source_file, col_letter, 'missing' AS problem FROM (SELECT source_file, col_letter FROM fx_mapping
   EXCEPT ALL SELECT source_file, col_letter FROM o_bad_mapping)
@@ -633,12 +638,18 @@ SELECT query_id, string_agg('[past Q&A ' || rank || ', source=' || source_file |
 SELECT answer_no, lower(answer) LIKE '%cannot find this in our corpus%' AS says_refusal,
   {strip('answer')} = '{REFUSAL}' AS is_refusal FROM fx_answers""",
     "config_matrix": "SELECT *, (SELECT count(*) FROM fx_files) AS n_files FROM o_configs",
+    "config_pending": f"""
+SELECT config_no, collection, retrieval, rerank, config_key FROM o_configs
+WHERE collection IN (SELECT list_extract([{texts(list(vocab.COLLECTIONS)[:3])}], doc_id % 3 + 1) FROM documents)
+  AND config_no NOT IN (SELECT config_no FROM labels JOIN o_configs ON config_no = doc_id % 36 + 1
+                        WHERE config_key NOT LIKE '%|none') ORDER BY config_no LIMIT 5""",
     "eval_questions": "SELECT query_id, text, scope, expected_pair_id FROM fx_questions",
     "eval_rank": """
 SELECT q.query_id, min(h.rank) AS hit_rank, CASE WHEN min(h.rank) IS NULL THEN 0 ELSE 1 END AS recall,
   round(coalesce(1.0 / min(h.rank), 0), 6) AS mrr
 FROM fx_questions q LEFT JOIN (SELECT o.*, k.pair_id FROM o_hybrid o JOIN o_kept k ON k.chunk_id = o.id) h
-  ON h.query_id = q.query_id AND h.pair_id = q.expected_pair_id WHERE q.scope = 'in' GROUP BY 1""",
+  ON h.query_id = q.query_id AND h.pair_id = q.expected_pair_id AND h.rank <= 3
+WHERE q.scope = 'in' GROUP BY 1""",
     "eval_aggregate": f"""SELECT collection, retrieval, rerank, n_in_scope, n_out_scope, n_judged, {_RATES}
 FROM o_aggregates""",
     "eval_axis_means": """

@@ -107,7 +107,7 @@ def load_rows_from_cells(spark, sf):
 @query
 def config_scan(spark, sf):
     path = shared_dir(spark, "configs")
-    cf.write_configs(_configs(spark, sf), path)
+    cf.write_configs(_configs(spark, sf).repartition(3, "source_file"), path)
     return cf.read_configs(spark, path).select(
         "source_file", "sheet", "header_row", F.col("columns")["question"].alias("question"),
         F.col("columns")["answer"].alias("answer"), F.array_join("ignore", ",").alias("ignored"),
@@ -225,6 +225,11 @@ def question_list(spark, sf):
     return profile.question_list(cells, headers, columns)
 
 
+@query
+def question_preview(spark, sf):
+    return profile.question_preview(question_list(spark, sf))
+
+
 def _sheet_columns(spark, sf):
     return _fx(spark, sf, "fx_mapping").select("source_file", "col_letter")
 
@@ -550,17 +555,34 @@ def config_matrix(spark, sf):
 @query
 def eval_questions(spark, sf):
     path = shared_dir(spark, "questions")
-    listed = F.array(F.struct(F.col("query_id").alias("id"), F.col("text").alias("question"),
-                              "scope", "expected_pair_id")).alias("questions")
-    _fx(spark, sf, "fx_questions").select(listed).write.json(path)
+    asked = _fx(spark, sf, "fx_questions").withColumn("part", F.length("text") % 7)
+    listed = F.array_sort(F.collect_list(F.struct(F.col("query_id").alias("id"), F.col("text").alias("question"),
+                                                  "scope", "expected_pair_id"))).alias("questions")
+    asked.groupBy("part").agg(listed).drop("part").write.json(path)  # documents of many questions
     return ev.read_questions(spark, path)
 
 
+@query
+def config_pending(spark, sf):
+    """Configurations left to run: some are finished, one collection is missing."""
+    done = fx.table(spark, sf, "labels").select(
+        F.element_at(_config_keys(spark), (F.col("doc_id") % 36 + 1).cast("int")).alias("config_key"))
+    there = fx.table(spark, sf, "documents").select(
+        F.element_at(F.array(*map(F.lit, list(vocab.COLLECTIONS)[:3])), (F.col("doc_id") % 3 + 1).cast("int"))
+        .alias("collection")).distinct()
+    return ev.pending_configs(ev.config_matrix(spark), done.where(~F.endswith("config_key", F.lit("|none"))), there, first=5)
+
+
+def _config_keys(spark):
+    return F.array(*[F.lit(r.config_key) for r in ev.config_matrix(spark).orderBy("config_no").collect()])
+
+
 @query
 def eval_rank(spark, sf):
     questions = _questions(spark, sf)
-    hits = answers.with_text(_hybrid(spark, sf), _corpus(spark, sf, role="question"),
-                             _questions_bound(questions) * vocab.POOL_SIZE)
+    final = fusion.rerank_none(_hybrid(spark, sf), vocab.TOP_K)
+    hits = answers.with_text(final, _corpus(spark, sf, role="question"),
+                             _questions_bound(questions) * vocab.TOP_K)
     ranks = ev.expected_ranks(hits, questions)
     hit, reciprocal = ev.rank_scores("hit_rank")
     return questions.filter(F.col("scope") == "in").join(ranks, "query_id", "left").select(

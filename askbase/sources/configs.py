@@ -55,12 +55,38 @@ def build_configs(mapping: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def write_configs(configs: DataFrame, path: str) -> None:
-    configs.write.mode("overwrite").json(path)
-
-
-def read_configs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Configs from JSON files; the schema is fixed, nothing is inferred."""
-    return spark.read.schema(CONFIG_SCHEMA).json(path, multiLine=multi_line)
+    """One JSON document for each config; ignored columns are a list inside ``columns``."""
+    roles = F.expr("left(to_json(columns), length(to_json(columns)) - 1)")
+    ignored = F.to_json(F.coalesce("ignore", F.array().cast("array<string>")))
+    columns = F.when(F.col("columns").isNull(), F.lit("null")).otherwise(F.concat(
+        roles, F.when(F.size(F.map_keys("columns")) > 0, F.lit(",")).otherwise(F.lit("")),
+        F.lit('"ignore":'), ignored, F.lit("}")))
+    rest = F.to_json(F.struct("source_file", "sheet", "header_row", "metadata_fields", "client", "date"))
+    body = F.concat(F.expr("left(rest, length(rest) - 1)"), F.lit(',"columns":'), F.col("cols"), F.lit("}"))
+    ready = configs.select(F.base64(F.encode("source_file", "utf-8")).alias("name"), rest.alias("rest"),
+                           columns.alias("cols"))
+    named = F.translate("name", "/+=\n\r", "_-")
+    (ready.select(named.alias("config"), body.alias("value"))
+     .write.mode("overwrite").partitionBy("config").text(path))
+
+
+def read_configs(spark: SparkSession, path: str) -> DataFrame:
+    """Configs from JSON documents, one for each file of a folder and its subfolders.
+
+    The list of ignored columns is taken out of ``columns``. A file that is not
+    such a document stops the read.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    parsed = files.select(F.from_json("value", CONFIG_SCHEMA, {"mode": "FAILFAST"}).alias("c"),
+                          "value").select("c.*", "value")
+    inside = F.from_json(F.try_element_at("columns", F.lit("ignore")), "array<string>")
+    broken = F.col("source_file").isNull() & F.col("columns").isNull()
+    checked = F.when(broken, F.raise_error(F.concat(F.lit("not a config: "), F.left("value", F.lit(80))))
+                     .cast("string")).otherwise(F.col("source_file"))
+    return parsed.select(
+        checked.alias("source_file"), "sheet", "header_row",
+        F.map_filter("columns", lambda k, _: k != "ignore").alias("columns"),
+        F.coalesce(inside, F.col("ignore")).alias("ignore"), "metadata_fields", "client", "date")
 
 
 def config_problems(configs: DataFrame, basename: str | None = None) -> DataFrame:

@@ -234,14 +234,17 @@ def test_ranking_is_a_permutation(spark, raw, want):
     assert [r.score for r in got] == ([4.0, 3.0, 2.0, 1.0] if raw and raw != "no" else [0.5] * 4)
 
 
-@pytest.mark.parametrize("limit", [500, 0])
-def test_client_mentions_are_whole_words(spark, limit):
+@pytest.mark.parametrize("more", [0, 600])
+def test_client_mentions_are_whole_words(spark, more):
     said = spark.createDataFrame([(1, "We do outfield work."), (2, "For FIELD and a.c. Ltd"), (3, None),
-                                  (4, "aXc Ltd, Éfield")], "query_id long, answer string")
-    clients = spark.createDataFrame([("Field",), ("A.C. Ltd",), ("Other",)], "client string")
-    got = answers.client_mentions(said, clients, in_row_limit=limit).collect()
+                                  (4, "aXc Ltd, Éfield"), (5, "The Cafe\u0301 Noir & a\\Eb, q&a")],
+                                 "query_id long, answer string")
+    clients = spark.createDataFrame(
+        [("Field",), ("A.C. Ltd",), ("Other",), ("Cafe\u0301 Noir",), ("A\\Eb",), ("&",), (" & ",), ("",),
+         *[(f"Company {i}",) for i in range(more)]], "client string")
+    got = answers.client_mentions(said, clients).collect()
     assert {r.query_id: r.mentioned_clients for r in got} == {
-        1: [], 2: ["A.C. Ltd", "Field"], 3: [], 4: []}
+        1: [], 2: ["A.C. Ltd", "Field"], 3: [], 4: [], 5: [" & ", "&", "A\\Eb", "Cafe\u0301 Noir"]}
 
 
 def test_answer_id_changes_only_the_suffix(spark):
