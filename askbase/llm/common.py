@@ -38,12 +38,19 @@ def with_columns(df: DataFrame, added: dict[str, Column]) -> DataFrame:
                      *[c.alias(n) for n, c in added.items()])
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about ``size`` bytes: what a task holds as Python objects."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def map_columns(df: DataFrame, inputs: dict[str, Column], outputs: str,
                 fn: Callable[[list[pa.Array]], list[pa.Array]]) -> DataFrame:
     """Add columns made by ``fn`` from batches of ``inputs``; the other columns pass through.
 
-    ``fn`` is called for one Arrow batch after another, so a task holds a batch
-    at a time. Names in ``outputs`` replace columns of ``df`` with these names.
+    ``fn`` is called for one slice of rows after another. Names in ``outputs`` replace columns of ``df`` with these names.
     """
     names = [part.strip().split(" ")[0] for part in _split(outputs)]
     keep = [c for c in df.columns if c not in names]
@@ -54,7 +61,7 @@ def map_columns(df: DataFrame, inputs: dict[str, Column], outputs: str,
                        *[c.alias(h) for h, c in zip(held, inputs.values())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = fn([batch.column(len(keep) + i) for i in range(len(held))])
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made,
                                              names=keep + names)

@@ -2,41 +2,78 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Characters handled at a time inside a task.
-CHUNK = 4 << 20
+SLICE = 1 << 16
 
 
 class Words:
-    """Distinct words in flat arrays, found by hash and confirmed by their bytes."""
+    """Distinct words in sorted order, found by hash and confirmed by their bytes.
+
+    Sorted words compress well, so that is how they travel; each worker makes
+    the hash index for itself. ``order`` is where the sorted words stood.
+    """
 
     def __init__(self, words: pa.Array):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
-        self.order = np.argsort(hashes)
-        words = words.take(pa.array(self.order))
-        self.hashes = hashes[self.order]
-        self.at = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1] \
-            if len(words) else np.zeros(1, np.int32)
-        self.blob = words.buffers()[2].to_pybytes() if len(words) else b""
+        order = pc.sort_indices(words)
+        self.order: np.ndarray | None = order.to_numpy()
+        words = words.take(order)
+        self.at = np.r_[0, np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))].astype(np.int64)
+        self.blob = b"".join(b"".join(words[s:s + SLICE].to_pylist()) for s in range(0, len(words), SLICE))
+        self.hashes = self.rows = None
+
+    def __getstate__(self):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return {k: pack(v.tobytes()) + v.dtype.str.encode() if isinstance(v, np.ndarray) else v
+                for k, v in (self.__dict__ | {"order": None, "hashes": None, "rows": None, "blob": None,
+                                              "at": np.diff(self.at).astype(np.int32)}).items()
+                } | {"blob": pack(self.blob)}
+
+    def __setstate__(self, state):
+        unpack = zstandard.ZstdDecompressor().decompress
+        self.blob = unpack(state.pop("blob"))
+        for k, v in state.items():
+            setattr(self, k, np.frombuffer(unpack(v[:-3]), v[-3:].decode()) if isinstance(v, bytes) else v)
+        self.at = np.r_[0, np.cumsum(self.at, dtype=np.int64)]
+
+    def _index(self) -> None:
+        n, digest, at, blob = len(self.at) - 1, xxhash.xxh64_intdigest, self.at, self.blob
+        hashes = np.empty(n, np.uint64)
+        for s in range(0, n, SLICE):
+            cut = at[s:s + SLICE + 1].tolist()
+            hashes[s:s + SLICE] = [digest(blob[i:j]) for i, j in zip(cut, cut[1:])]
+        order = np.argsort(hashes)
+        self.hashes, self.rows = hashes[order], order.astype(np.int32)
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """The row of each word, -1 where it is not in here."""
-        if not len(self.hashes):
+        if self.hashes is None:
+            self._index()
+        last = len(self.hashes)
+        if not last:
             return np.full(len(words), -1)
-        hashes, at, blob, last = self.hashes, self.at, self.blob, len(self.hashes)
+        hashes, rows, at, blob = self.hashes, self.rows, self.at, self.blob
         h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-        row = np.searchsorted(hashes, h)
-        row[row == last] = 0
-        hit = hashes[row] == h
+        place = np.searchsorted(hashes, h)
+        place[place == last] = 0
+        hit = hashes[place] == h
+        found = np.full(len(words), -1)
+        starts, ends = at[rows[place]].tolist(), at[rows[place] + 1].tolist()
         for k in np.nonzero(hit)[0].tolist():
-            r = int(row[k])
-            while r < last and hashes[r] == h[k] and blob[at[r]:at[r + 1]] != words[k]:
-                r += 1  # another word with the same hash
-            row[k] = r if r < last and hashes[r] == h[k] else -1
-        row[~hit] = -1
-        return row
+            p = int(place[k])
+            if blob[starts[k]:ends[k]] == words[k]:
+                found[k] = rows[p]
+                continue
+            p += 1
+            while p < last and hashes[p] == h[k]:  # another word with the same hash
+                if blob[at[rows[p]]:at[rows[p] + 1]] == words[k]:
+                    found[k] = rows[p]
+                    break
+                p += 1
+        return found
 
 
 def columns_of(df: DataFrame) -> list[pa.Array]:
@@ -61,14 +98,3 @@ def most_frequent(words: DataFrame, count: str, weight: Column, room: int) -> Co
         cut = r["level"]
     return F.lit(False) if cut is None else level >= F.lit(cut)
 
-
-def chunks(texts: list):
-    """(start, end) of slices of a batch with about CHUNK characters each."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHUNK:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)

@@ -33,13 +33,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from askbase.llm.common import id_key, let, map_columns, stored, table
-from askbase.llm.lexicon import Words, chunks, columns_of, most_frequent
+from askbase.llm.common import id_key, let, map_columns, slices, stored, table
+from askbase.llm.lexicon import Words, columns_of, most_frequent
 
 MARK, LONG = "▁", 48
-LEXICON_BYTES, TASK_UNITS = 256 << 20, 400_000
+LEXICON_BYTES, TASK_UNITS, UNITS = 256 << 20, 400_000, 50_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -145,7 +146,7 @@ def count_units(documents: DataFrame, text_col: str, model: Model) -> DataFrame:
             total.clear()
             return made
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 total.update(units_of(text, find))
                 if len(total) > TASK_UNITS:
@@ -214,10 +215,15 @@ def _viterbi_fold(unit: Column, edges: Column, low: float) -> Column:
 
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, n, ids) for each row of ``units`` (unit, n)."""
+    """(unit, ids) for each row of ``units`` (distinct).
+
+    Units are dealt out before they grow into edges: about UNITS a partition,
+    whose edges are then grouped where they are made.
+    """
     spark = units.sparkSession
-    short = units.where(F.length("unit") <= LONG)
-    edges = lattice(short.select("unit"), piece_table(spark, model), model.longest)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), units.count() // UNITS + 1)
+    short = units.where(F.length("unit") <= LONG).select("unit").repartition(parts, "unit")
+    edges = lattice(short, piece_table(spark, model), model.longest)
     unit, e = F.col("unit"), F.col("edges")
     bounds = _merge_fold(unit, e) if model.kind == "bpe" else _viterbi_fold(unit, e, model.low)
     if model.byte_ids:
@@ -243,7 +249,7 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [shared.value.encode_long(u) for u in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))],
                                              names=["unit", "ids"])
@@ -258,8 +264,9 @@ class Lexicon(Words):
     def __init__(self, units: pa.Array, ids: pa.Array):
         super().__init__(units)
         ids = ids.take(pa.array(self.order))
-        self.first = np.asarray(ids.offsets).astype(np.int64)
-        self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        self.first = np.r_[0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))].astype(np.int32)
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        self.ids = flat.astype(np.uint16 if len(flat) and flat.max() < 1 << 16 else np.int32)
 
 
 def _flat(texts, find) -> tuple[list[str], np.ndarray]:
@@ -272,7 +279,7 @@ def _flat(texts, find) -> tuple[list[str], np.ndarray]:
     return flat, np.array(sizes, np.int64)
 
 
-def _encode_chunk(texts, tails, lexicon: Lexicon, find) -> tuple[np.ndarray, np.ndarray]:
+def _encode_texts(texts, tails, lexicon: Lexicon, find) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, ids per text)."""
     flat, sizes = _flat(texts, find)
     coded = pa.array(flat, pa.string()).dictionary_encode()
@@ -284,14 +291,14 @@ def _encode_chunk(texts, tails, lexicon: Lexicon, find) -> tuple[np.ndarray, np.
     base = len(lexicon.ids)
     ids = np.concatenate([lexicon.ids, *[np.array(m, np.int32) for m in more]]) if more else lexicon.ids
     known = np.maximum(row, 0)
-    first = lexicon.first if len(lexicon.hashes) else np.zeros(2, np.int64)
-    start, count = first[known], first[known + 1] - first[known]
+    first = lexicon.first if len(lexicon.first) > 1 else np.zeros(2, np.int32)
+    start, count = first[known].astype(np.int64), (first[known + 1] - first[known]).astype(np.int64)
     lengths = np.array([len(m) for m in more], np.int64)
     start[lacking], count[lacking] = base + np.cumsum(lengths) - lengths, lengths
     codes = coded.indices.to_numpy()
     start, count = start[codes], count[codes]
     before = np.cumsum(count) - count
-    out = ids[np.repeat(start - before, count) + np.arange(count.sum())]
+    out = ids[np.repeat(start - before, count) + np.arange(count.sum())].astype(np.int32)
     return out, np.add.reduceat(np.r_[count, 0], np.r_[0, np.cumsum(sizes)[:-1]]) * (sizes > 0) \
         if len(sizes) else sizes
 
@@ -319,21 +326,17 @@ def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     if rest is not None:
         def lacking(batches):
             find = re.compile(pattern).findall
-            for batch in batches:
-                ids, names = batch.column(0).to_pylist(), []
-                owners: list[int] = []
-                texts = batch.column(1).to_pylist()
-                for s, e in chunks(texts):
-                    flat, sizes = _flat(texts[s:e], find)
-                    coded = pa.array(flat, pa.string()).dictionary_encode()
-                    absent = shared.value.find(coded.dictionary.cast(pa.binary()).to_pylist()) < 0
-                    at = np.nonzero(absent[coded.indices.to_numpy()])[0]
-                    doc = np.repeat(np.arange(s, e), sizes)[at]
-                    pairs = {(ids[d], flat[i]) for d, i in zip(doc.tolist(), at.tolist())}
-                    owners += [d for d, _ in pairs]
-                    names += [u for _, u in pairs]
-                yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(names, pa.string())],
-                                                 names=["tail_id", "unit"])
+            for batch in slices(batches):
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                flat, sizes = _flat(texts, find)
+                coded = pa.array(flat, pa.string()).dictionary_encode()
+                absent = shared.value.find(coded.dictionary.cast(pa.binary()).to_pylist()) < 0
+                at = np.nonzero(absent[coded.indices.to_numpy()])[0]
+                doc = np.repeat(np.arange(len(texts)), sizes)[at]
+                pairs = list({(ids[d], flat[i]) for d, i in zip(doc.tolist(), at.tolist())})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([d for d, _ in pairs], pa.int64()), pa.array([u for _, u in pairs], pa.string())],
+                    names=["tail_id", "unit"])
 
         pairs = held.select("id", "text").mapInArrow(lacking, "tail_id bigint, unit string")
         tails = (pairs.join(rest, "unit").groupBy("tail_id")
@@ -344,14 +347,8 @@ def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def fn(columns):
         find = re.compile(pattern).findall
-        texts, tails = columns[0].to_pylist(), columns[1].to_pylist()
-        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for s, e in chunks(texts):
-            ids, size = _encode_chunk(texts[s:e], tails[s:e], shared.value, find)
-            parts.append(ids)
-            sizes.append(size)
-        ends = np.cumsum(np.concatenate(sizes)).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))]
+        ids, sizes = _encode_texts(columns[0].to_pylist(), columns[1].to_pylist(), shared.value, find)
+        return [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids))]
 
     out = map_columns(held.select("row", "text", "tail"), {"t": F.col("text"), "tail": F.col("tail")},
                       "piece_ids array<int>", fn)
