@@ -94,10 +94,9 @@ SELECT file_no, source_file, row_no, row_no * 25 + file_no AS answer_no, categor
   'client_file_' || CAST(file_no AS STRING) || '_row_' || CAST(row_no AS STRING) AS pair_id
 FROM fx_sheet WHERE role = 'user' AND question <> ''""",
     "fx_questions": """
-SELECT 'in-' || source_file || '-' || category AS query_id,
-  regexp_replace(max_by(question, row_no), '[ ]+[^ ]+$', '') AS text, 'in' AS scope,
-  max_by(pair_id, row_no) AS expected_pair_id
-FROM fx_user_rows GROUP BY source_file, category
+SELECT 'in-' || pair_id AS query_id, regexp_replace(question, '[ ]+[^ ]+$', '') AS text, 'in' AS scope,
+  pair_id AS expected_pair_id
+FROM fx_user_rows
 UNION ALL
 SELECT 'out-' || CAST(item_id AS STRING), text, 'out', NULL FROM benchmark""",
     "fx_rankings": """
