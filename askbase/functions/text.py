@@ -105,7 +105,7 @@ def column_index(c) -> Column:
 
 
 def column_letter(c) -> Column:
-    """1-based index to spreadsheet letters, up to three of them."""
+    """1-based index to spreadsheet letters, up to three of them (18,278); more is an error."""
     def letter(n):
         return F.chr((n + 65).cast("int"))
 
@@ -115,8 +115,9 @@ def column_letter(c) -> Column:
     one, two, three = col(c) - 1, col(c) - 27, col(c) - 703
     return (F.when(col(c) <= 26, letter(one))
             .when(col(c) <= 702, F.concat(letter(div(two, 26)), letter(two % 26)))
-            .otherwise(F.concat(letter(div(three, 676)), letter(div(three, 26) % 26),
-                                letter(three % 26))))
+            .when(col(c) <= 18_278, F.concat(letter(div(three, 676)), letter(div(three, 26) % 26),
+                                             letter(three % 26)))
+            .when(col(c).isNotNull(), F.raise_error("no column beyond ZZZ").cast("string")))
 
 
 def header_label(c) -> Column:

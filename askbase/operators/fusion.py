@@ -68,11 +68,11 @@ def rescore(pairs: DataFrame, score_fn: Callable | None = None, k: int | None =
     """New score for every (query_text, text) pair, best first.
 
     ``score_fn`` takes the two columns and returns a column (a built-in
-    expression or a pandas UDF).
+    expression or a pandas UDF); without one the words' overlap is the score.
     """
     scored = pairs.withColumn("score", (score_fn or lexical_overlap)(
         F.col("query_text"), F.col("text")))
-    return rank_by(scored.withColumn("score_type", F.lit("crossencoder")),
+    return rank_by(scored.withColumn("score_type", F.lit("crossencoder" if score_fn else "overlap")),
                    F.round("score", 9).desc(), id_col, by=by, top=k)
 
 

@@ -132,6 +132,9 @@ def knn(corpus: DataFrame, queries: DataFrame, n: int = vocab.POOL_SIZE,
                 id_type = batch.column(0).type
                 ids = _ids(batch.column(0))
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                if len(flat) != len(ids) * q.shape[1] or (
+                        np.diff(np.asarray(batch.column(1).offsets)) != q.shape[1]).any():
+                    raise ValueError(f"vectors need {q.shape[1]} numbers, as the queries have")
                 x = flat.astype(np.float64).reshape(len(ids), -1)
                 for at in range(0, len(ids), step):
                     d = _distances(x[at:at + step], q, metric)

@@ -11,6 +11,6 @@ from run_checks import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    spark = session(4)
+    spark = session(int(os.environ.get("TEST_CPUS", 4)))
     yield spark
     spark.stop()

@@ -15,7 +15,7 @@ import __spark_entry__ as entry  # noqa: E402
 from askbase.registry.fixtures import BASE  # noqa: E402
 
 
-def session(cores=8):
+def session(cores=int(os.environ.get("TEST_CPUS", 8))):
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master(f"local[{cores}]")
              .config("spark.sql.shuffle.partitions", str(cores)).config("spark.ui.enabled", "false")

@@ -336,3 +336,51 @@ def test_pending_work_uses_both_keys(spark):
     units = spark.createDataFrame([("a", "f"), ("b", "f")], "collection string, source_file string")
     done = spark.createDataFrame([("a", "f"), ("b", "g")], "collection string, source_file string")
     assert [tuple(r) for r in corpus.pending(units, done).collect()] == [("b", "f")]
+
+
+# ---- sinks and resumed runs ------------------------------------------------------------------------------
+
+def test_sinks(spark, tmp_path):
+    rated = spark.createDataFrame([("c", "bm25", "none", 0.5, 0.25, 0.1, 1.0, 4.0, 3.0, 2.0, 3, 1, 1)], (
+        "collection string, retrieval string, rerank string, recall_at_3 double, mrr double, "
+        "retrieval_gap_rate double, hallucination_refusal_rate double, faithfulness double, relevance double, "
+        "completeness double, n_in_scope long, n_out_scope long, n_judged long"))
+    evaluation.write_comparison(rated, str(tmp_path / "table"))
+    assert any("bm25" in r.value for r in spark.read.text(str(tmp_path / "table")).collect())
+    evaluation.write_results(rated, str(tmp_path / "results"))
+    assert spark.read.json(str(tmp_path / "results")).count() == 1
+
+
+def test_resumed_matrix(spark):
+    configs = evaluation.config_matrix(spark)
+    done = configs.filter("config_no IN (1, 2, 30)").select("config_key")
+    there = spark.createDataFrame([("combined_cosine",), ("separated_l2",)], "collection string")
+    left = [r.config_no for r in evaluation.pending_configs(configs, done, there).collect()]
+    assert sorted(left) == [3, 4, 5, 6, 7, 8, 9, 28, 29, *range(31, 37)]
+    assert [r.config_no for r in evaluation.pending_configs(configs, done, there, 3).collect()] == [3, 4, 5]
+    old = configs.filter("config_no < 4").selectExpr(*evaluation.AXES, "'old' AS run")
+    new = configs.filter("config_no = 2").selectExpr(*evaluation.AXES, "'new' AS run")
+    assert sorted(r.run for r in evaluation.with_earlier(new, old).collect()) == ["new", "old", "old"]
+
+
+def test_config_documents(spark, tmp_path):
+    body = """{
+  "source_file": "A.xlsx", "sheet": "S", "header_row": 3,
+  "columns": {"question": "B", "answer": "C", "ignore": ["E", "F"]},
+  "metadata_fields": ["ref"], "client": null, "date": "2020"
+}"""
+    (tmp_path / "a.json").write_text(body)
+    got = configs.read_configs(spark, str(tmp_path)).first()
+    assert (got.header_row, got.columns, got.ignore, got.client) == (3, {"question": "B", "answer": "C"}, ["E", "F"], None)
+    (tmp_path / "b.json").write_text(body[:60])
+    with pytest.raises(Exception):
+        configs.read_configs(spark, str(tmp_path)).collect()
+
+
+def test_ragged_vectors_and_far_columns_are_errors(spark):
+    corpus = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0]), ("c", [1.0, 2.0, 3.0])], "chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
+    with pytest.raises(Exception):
+        ranking.knn(corpus, asked, 2, "cosine", vector="embedding").collect()
+    with pytest.raises(Exception):
+        spark.range(20_000, 20_001).select(text.column_letter("id")).collect()
