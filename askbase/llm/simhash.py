@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from askbase.llm.common import map_columns, raw, stored, table
+from askbase.llm.common import map_columns, raw, slices, stored, table
 
 SHINGLE, RADIUS, CROWD, SEED = 4, 4, 1024, 42
 
@@ -153,39 +153,39 @@ def _links(batches: Iterator[pa.RecordBatch], masks: dict[int, int], radius: int
         yield of(held[0])
 
 
+def _deal(masks: dict[int, list[tuple[int, int]]]):
+    """Rows (t, fp) to one row (number, key, fp) for each of table t's (number, mask)."""
+    def run(batches):
+        for batch in slices(batches):
+            t, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for table in np.unique(t):
+                own = fp[t == table]
+                for number, mask in masks[int(table)]:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(own), number)), pa.array(own & np.int64(_signed(mask))),
+                         pa.array(own)], names=["t", "k", "fp"])
+    return run
+
+
 def near_pairs(prints: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """Links (u > v) that connect all of ``prints`` (column fp, distinct) within the radius."""
-    first = covering_masks(list(range(64)), radius)
-    full = {0: 0}  # table number -> bits on which all of a bucket agree
-    deal = []
-    for t, mask in enumerate(first, 1):
-        full[t * 100] = mask
-        deal.append(F.struct(F.lit(t * 100).alias("t"),
-                             F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("k")))
-    keys = prints.select("fp", F.explode(F.array(*deal)).alias("at")).select("at.t", "at.k", "fp")
-    crowded = (keys.groupBy("t", "k").count().where(F.col("count") > crowd)
-               .select(F.col("t").alias("ct"), F.col("k").alias("ck")))
-    crowded = stored(crowded, "simhash-crowded")
-    again = []  # a crowded bucket's rows go to one sub-bucket for each mask over its open bits
-    for t, mask in enumerate(first, 1):
-        parts = []
-        for s, sub in enumerate(covering_masks(_open_bits(mask), radius), 1):
-            full[t * 100 + s] = mask | sub
-            parts.append(F.struct(F.lit(t * 100 + s).alias("t"),
-                                  F.col("fp").bitwiseAND(F.lit(_signed(mask | sub))).alias("k")))
-        again.append((t * 100, parts))
+    layout = "t bigint, k bigint, fp bigint"
+    full: dict[int, int] = {}  # table number -> bits on which all of a bucket agree
+    first, again = [], {}
+    for t, mask in enumerate(covering_masks(list(range(64)), radius), 1):
+        first.append((t * 100, mask))
+        again[t * 100] = [(t * 100 + s, mask | sub)
+                          for s, sub in enumerate(covering_masks(_open_bits(mask), radius), 1)]
+        full |= {t * 100: mask, **dict(again[t * 100])}
+    keys = prints.select(F.lit(0).cast("bigint").alias("t"), "fp").mapInArrow(_deal({0: first}), layout)
+    crowded = stored(keys.groupBy("t", "k").count().where(F.col("count") > crowd)
+                     .select(F.col("t").alias("ct"), F.col("k").alias("ck")), "simhash-crowded")
     if crowded.isEmpty():
         buckets = keys
-    else:
+    else:  # a crowded bucket's rows go to one sub-bucket for each mask over its open bits
         both = keys.join(crowded, (F.col("t") == F.col("ct")) & (F.col("k") == F.col("ck")), "left")
-        plain = both.where(F.col("ct").isNull()).select("t", "k", "fp")
-        sub = F.array()
-        for t, parts in again:
-            sub = F.when(F.col("t") == t, F.array(*parts)).otherwise(sub) if t != again[0][0] else \
-                F.when(F.col("t") == t, F.array(*parts))
-        split = (both.where(F.col("ct").isNotNull()).select("fp", F.explode(sub).alias("at"))
-                 .select("at.t", "at.k", "fp"))
-        buckets = plain.unionByName(split)
+        buckets = both.where(F.col("ct").isNull()).select("t", "k", "fp").unionByName(
+            both.where(F.col("ct").isNotNull()).select("t", "fp").mapInArrow(_deal(again), layout))
     return (buckets.repartition("t", "k").sortWithinPartitions("t", "k", "fp")
             .mapInArrow(lambda batches: _links(batches, full, radius), "u bigint, v bigint")
             .distinct())
@@ -252,11 +252,13 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = documents.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"),
                             F.col(text_col).alias("text"))
     held = stored(with_fingerprints(held, out="fp").drop("text"), "simhash-rows")
-    group = stored(classes(held.select("doc_id", "fp"), radius), "simhash-classes")
-    kept = held.join(group, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = held.select("doc_id", "fp").join(group, "fp").where(
-        F.col("doc_id").eqNullSafe(F.col("component_id")))
-    if not ids.groupBy("root").count().where("count > 1").isEmpty():
+    # ids first: they are few and narrow, and a fingerprint that many share stays out of the texts' join
+    ids = held.select("doc_id", "fp")
+    chosen = stored(ids.join(classes(ids, radius), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+                    .select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp"), "root"), "simhash-kept")
+    kept = held.join(chosen.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id"))
+                     & (F.col("fp") == F.col("kept_fp")))
+    if not chosen.groupBy("root").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["root"])
     return kept.select(*[F.col("row").getField(c).alias(c) for c in columns])
 

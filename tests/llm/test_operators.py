@@ -403,4 +403,4 @@ def test_crowded_buckets(spark, crowd):
     want = simhash._smallest(np.arange(len(u)), a, b)
     ids = {p: i for i, p in rows}
     assert {ids[r.fp]: r.component_id for r in got} == dict(enumerate(want.tolist()))
-    assert (simhash.local_components(u, 0, 4, direct=16) == want).all()
+    assert (simhash.local_components(u, 0, 4, direct=128) == want).all()
