@@ -26,6 +26,7 @@ shard.
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from askbase.llm.common import NO_ID, id_key, shared_dir, table
 
-LENGTH, PER_SHARD, ROUNDS, MEMO = 256, 1 << 15, 6, 400_000
+LENGTH, PER_SHARD, ROUNDS, MEMO = 256, 1 << 15, 6, 600_000
 HEAD = np.dtype([("doc", "<i8"), ("seq", "<u4"), ("n", "<u2")])
 
 
@@ -50,7 +51,10 @@ def read_ranks(path: str | None = None) -> dict[bytes, int]:
 
 
 class Tokenizer:
-    """Texts to packed 16-bit ids, remembering the encodings of parts met before."""
+    """Texts to packed 16-bit ids, remembering the encodings of MEMO parts met before.
+
+    A worker keeps what it remembers from one task to the next.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str | None = None):
         if pattern is None:
@@ -59,22 +63,32 @@ class Tokenizer:
         self.ranks, self.pattern, self.end = ranks, pattern, max(ranks.values(), default=-1) + 1
         if self.end >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        self.pack = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"pack": None}
 
     def packer(self):
+        self.pack = self.pack or self._packer()
+        return self.pack
+
+    def _packer(self):
         import regex
         import tiktoken
         encode = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks,
                                    special_tokens={}).encode_ordinary
         parts, memo = regex.compile(self.pattern).findall, {}
+        known, some = memo.get, struct.pack
 
         def pack(text: str | None) -> bytes:
-            if len(memo) > MEMO:
-                memo.clear()
             out = []
             for part in parts(text or ""):
-                ids = memo.get(part)
+                ids = known(part)
                 if ids is None:
-                    ids = memo[part] = np.array(encode(part), "<u2").tobytes()
+                    found = encode(part)
+                    ids = some(f"<{len(found)}H", *found)
+                    if len(memo) < MEMO:
+                        memo[part] = ids
                 out.append(ids)
             return b"".join(out)
         return pack
