@@ -10,9 +10,10 @@ unit are collected and folded with ``aggregate``:
 * a unigram model by the Viterbi fold: for each end the best score of the edges
   that end there, then the way back;
 * a BPE model by its own rule, since the sum of its scores is not what it
-  maximises (a Viterbi path differs from the model's encoding): each step of
-  the fold merges the best-scoring edge that spans two neighbouring pieces, the
-  leftmost on ties.
+  maximises (a Viterbi path differs from the model's encoding): the fold merges
+  the best-scoring edge that spans two neighbouring pieces, the leftmost on
+  ties, until none is left. Where all pieces of a lattice are regular (reached
+  by merges of falling scores), one pass over its edges by score does that.
 
 Characters that no piece covers become byte pieces, or the unknown piece.
 
@@ -33,11 +34,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from askbase.llm.common import id_key, let, map_columns, slices, stored, table
-from askbase.llm.lexicon import Words, columns_of, most_frequent
+from askbase.llm.packed import Words, most_frequent, segments
 
 MARK, LONG = "▁", 48
 LEXICON_BYTES, TASK_UNITS, UNITS = 256 << 20, 400_000, 50_000
@@ -83,8 +83,18 @@ class Model:
     def encode_long(self, unit: str) -> list[int]:
         return self._viterbi(unit) if self.kind == "unigram" else self._merge(unit)
 
-    def _merge(self, unit: str) -> list[int]:
-        """BPE with a heap of candidate merges over a linked list of pieces."""
+    def irregular(self) -> set[str]:
+        """Pieces that BPE does not reach from their characters by merges of falling scores."""
+        out = set()
+        for p, (i, _) in self.pieces.items():
+            if len(p) > 1:
+                trace: list[float] = []
+                if self._merge(p, trace) != [i] or any(a < b for a, b in zip(trace, trace[1:])):
+                    out.add(p)
+        return out
+
+    def _merge(self, unit: str, trace: list[float] | None = None) -> list[int]:
+        """BPE with a heap of candidate merges over a linked list of pieces; ``trace`` gets their scores."""
         part, n = list(unit), len(unit)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[float, int, int, str]] = []
@@ -101,6 +111,8 @@ class Model:
             _, i, j, both = heapq.heappop(heap)
             if part[i] is None or after[i] != j or j >= n or part[i] + (part[j] or "") != both:
                 continue
+            if trace is not None:
+                trace.append(self.pieces[both][1])
             part[i], part[j], after[i] = both, None, after[j]
             if after[j] < n:
                 before[after[j]] = i
@@ -157,32 +169,52 @@ def count_units(documents: DataFrame, text_col: str, model: Model) -> DataFrame:
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """(piece, id, score): as many rows as the vocabulary has."""
+    """(piece, id, score, odd): as many rows as the vocabulary has."""
+    odd = model.irregular() if model.kind == "bpe" else set()
     rows = pa.table({"piece": list(model.pieces), "id": pa.array([i for i, _ in model.pieces.values()], pa.int32()),
-                     "score": pa.array([s for _, s in model.pieces.values()], pa.float64())})
+                     "score": pa.array([s for _, s in model.pieces.values()], pa.float64()),
+                     "odd": pa.array([p in odd for p in model.pieces])})
     return spark.createDataFrame(rows)
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(unit, edges): every piece in the unit, and each character; ``id`` is null without a piece."""
-    size = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), size - s)),
-        lambda n: F.struct(s.alias("s"), (s + n).alias("e"),
-                           F.substring(F.col("unit"), s + 1, n).alias("piece")))))
-    rows = units.select("unit", F.explode(spans).alias("x")).select("unit", "x.*")
+    size, s, e = F.length("unit"), F.col("s"), F.col("e")
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    rows = starts.select("unit", "s", F.explode(F.sequence(s + 1, F.least(s + longest, size))).alias("e")).select(
+        "unit", "s", "e", F.substring("unit", s + 1, e - s).alias("piece"))
     return (rows.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR e = s + 1")
-            .groupBy("unit").agg(F.collect_list(F.struct("s", "e", "id", "score")).alias("edges")))
+            .groupBy("unit").agg(F.collect_list(F.struct(
+                "s", "e", "id", "score", F.coalesce("odd", F.lit(False)).alias("odd"))).alias("edges")))
+
+
+def _next_to(bounds: Column, x: Column) -> Column:
+    """1-based place of x's start among the boundaries if its end is the next but one, else 0."""
+    return let(F.array_position(bounds, x["s"]).cast("int"), lambda p: F.when(
+        (p > 0) & (F.get(bounds, p + 1) == x["e"]), p).otherwise(0))
+
+
+def _merge_pass(unit: Column, edges: Column) -> Column:
+    """Boundaries of the BPE encoding, for edges of regular pieces.
+
+    In the order of their scores, leftmost first, each edge is merged if it
+    spans two neighbours at its turn. What lies between two boundaries that
+    still stand has met its merges as if alone, and a regular piece alone is
+    complete at its turn, so no edge needs a second look.
+    """
+    ranked = F.array_sort(F.transform(F.filter(edges, lambda x: x["e"] > x["s"] + 1), lambda x: F.struct(
+        (-x["score"]).alias("k"), x["s"].alias("s"), x["e"].alias("e"))))
+    return F.aggregate(ranked, F.sequence(F.lit(0), F.length(unit)), lambda b, x: let(
+        _next_to(b, x), lambda p: F.when(p > 0, F.array_remove(b, F.get(b, p))).otherwise(b)))
 
 
 def _merge_fold(unit: Column, edges: Column) -> Column:
-    """Boundaries of the BPE encoding."""
+    """Boundaries of the BPE encoding: the best edge of all is sought for each merge."""
     def best(bounds):
         return F.array_max(F.transform(
             F.filter(edges, lambda x: x["e"] > x["s"] + 1),
-            lambda x: let(F.array_position(bounds, x["s"]).cast("int"), lambda p: F.when(
-                (p > 0) & (F.get(bounds, p + 1) == x["e"]),
-                F.struct(x["score"].alias("score"), (-x["s"]).alias("left"), F.get(bounds, p).alias("mid"))))))
+            lambda x: let(_next_to(bounds, x), lambda p: F.when(p > 0, F.struct(
+                x["score"].alias("score"), (-x["s"]).alias("left"), F.get(bounds, p).alias("mid"))))))
 
     def step(state, _):
         return F.when(state["done"], state).otherwise(let(best(state["b"]), lambda m: F.struct(
@@ -225,7 +257,8 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     short = units.where(F.length("unit") <= LONG).select("unit").repartition(parts, "unit")
     edges = lattice(short, piece_table(spark, model), model.longest)
     unit, e = F.col("unit"), F.col("edges")
-    bounds = _merge_fold(unit, e) if model.kind == "bpe" else _viterbi_fold(unit, e, model.low)
+    bounds = _viterbi_fold(unit, e, model.low) if model.kind == "unigram" else F.when(
+        F.exists(e, lambda x: x["odd"]), _merge_fold(unit, e)).otherwise(_merge_pass(unit, e))
     if model.byte_ids:
         first = model.byte_ids[0]
         if model.byte_ids != list(range(first, first + 256)):
@@ -240,11 +273,10 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
             return F.array(F.lit(model.unknown))
 
     ids = F.flatten(let(bounds, lambda b: F.transform(
-        F.sequence(F.lit(1), F.size(b) - 1),
-        lambda i: let(F.get(F.filter(e, lambda x: (x["s"] == F.get(b, i - 1)) & (x["e"] == F.get(b, i))),
-                            F.lit(0))["id"],
-                      lambda found: F.when(found.isNotNull(), F.array(found)).otherwise(
-                          other(F.substring(unit, F.get(b, i - 1) + 1, F.lit(1))))))))
+        F.array_sort(F.filter(e, lambda x: let(F.array_position(b, x["s"]).cast("int"), lambda p: (
+            p > 0) & (F.get(b, p) == x["e"])))),
+        lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(
+            other(F.substring(unit, x["s"] + 1, F.lit(1)))))))
     folded = edges.select("unit", ids.alias("ids"))
     shared = spark.sparkContext.broadcast(model)
 
@@ -259,14 +291,15 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
 
 
 class Lexicon(Words):
-    """Encoded units."""
+    """Encoded units: where each one's ids start, and all ids in a row."""
 
-    def __init__(self, units: pa.Array, ids: pa.Array):
-        super().__init__(units)
-        ids = ids.take(pa.array(self.order))
-        self.first = np.r_[0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))].astype(np.int32)
-        flat = ids.flatten().to_numpy(zero_copy_only=False)
-        self.ids = flat.astype(np.uint16 if len(flat) and flat.max() < 1 << 16 else np.int32)
+    def open(self) -> "Lexicon":
+        if self.hashes is None:
+            super().open()
+            lengths, self.ids = self.values or (np.zeros(0, np.int32), np.zeros(0, np.uint16))
+            self.values = []
+            self.first = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+        return self
 
 
 def _flat(texts, find) -> tuple[list[str], np.ndarray]:
@@ -279,8 +312,8 @@ def _flat(texts, find) -> tuple[list[str], np.ndarray]:
     return flat, np.array(sizes, np.int64)
 
 
-def _encode_texts(texts, tails, lexicon: Lexicon, find) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts in a row, ids per text)."""
+def _encode_texts(texts, tails, lexicon: Lexicon, find, spelled: list[bytes]):
+    """(ids of all texts in a row, ids per text, the texts that the ids decode to)."""
     flat, sizes = _flat(texts, find)
     coded = pa.array(flat, pa.string()).dictionary_encode()
     names = coded.dictionary.cast(pa.binary()).to_pylist()
@@ -296,16 +329,22 @@ def _encode_texts(texts, tails, lexicon: Lexicon, find) -> tuple[np.ndarray, np.
     lengths = np.array([len(m) for m in more], np.int64)
     start[lacking], count[lacking] = base + np.cumsum(lengths) - lengths, lengths
     codes = coded.indices.to_numpy()
+    said = [b"".join([spelled[i] for i in ids[s:s + n].tolist()]) for s, n in zip(start.tolist(), count.tolist())]
+    ends = np.cumsum(sizes)
+    decoded = [b"".join([said[c] for c in codes[e - n:e].tolist()]) for e, n in zip(ends.tolist(), sizes.tolist())]
     start, count = start[codes], count[codes]
     before = np.cumsum(count) - count
     out = ids[np.repeat(start - before, count) + np.arange(count.sum())].astype(np.int32)
-    return out, np.add.reduceat(np.r_[count, 0], np.r_[0, np.cumsum(sizes)[:-1]]) * (sizes > 0) \
-        if len(sizes) else sizes
+    totals = np.add.reduceat(np.r_[count, 0], np.r_[0, ends[:-1]]) * (sizes > 0) if len(sizes) else sizes
+    return out, totals, decoded
 
 
 def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
            lexicon_bytes: int = LEXICON_BYTES) -> DataFrame:
-    """``documents`` with ``piece_ids``, the encoding of the text (a column of that name is replaced)."""
+    """``documents`` with ``piece_ids``, n_pieces and round_trip: whether the ids decode to the text.
+
+    Columns of the input with these names are replaced.
+    """
     spark, pattern = documents.sparkSession, model.pattern
     counted = stored(count_units(documents, text_col, model).groupBy("unit").agg(F.sum("n").alias("n")),
                      "piece-units")
@@ -320,7 +359,7 @@ def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         head = fits & most_frequent(sized.where(fits), "n", weight, lexicon_bytes)
         sent, rest = sized.where(head).select("unit", "ids"), sized.where(~head).select("unit", "ids")
     shared = spark.sparkContext.broadcast(
-        Lexicon(*columns_of(sent.select(F.col("unit").cast("binary").alias("unit"), "ids"))))
+        (Lexicon(segments(sent.select(F.col("unit").cast("binary").alias("unit"), "ids"))), model.spelled()))
     held = documents.select(F.struct("*").alias("row"), id_key(id_col).alias("id"),
                             F.col(text_col).alias("text"))
     if rest is not None:
@@ -330,7 +369,7 @@ def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 flat, sizes = _flat(texts, find)
                 coded = pa.array(flat, pa.string()).dictionary_encode()
-                absent = shared.value.find(coded.dictionary.cast(pa.binary()).to_pylist()) < 0
+                absent = shared.value[0].find(coded.dictionary.cast(pa.binary()).to_pylist()) < 0
                 at = np.nonzero(absent[coded.indices.to_numpy()])[0]
                 doc = np.repeat(np.arange(len(texts)), sizes)[at]
                 pairs = list({(ids[d], flat[i]) for d, i in zip(doc.tolist(), at.tolist())})
@@ -346,14 +385,17 @@ def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         held = held.withColumn("tail", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>"))
 
     def fn(columns):
-        find = re.compile(pattern).findall
-        ids, sizes = _encode_texts(columns[0].to_pylist(), columns[1].to_pylist(), shared.value, find)
-        return [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids))]
+        find, (lexicon, spelled) = re.compile(pattern).findall, shared.value
+        texts = columns[0].to_pylist()
+        ids, sizes, decoded = _encode_texts(texts, columns[1].to_pylist(), lexicon.open(), find, spelled)
+        same = [d.removeprefix(b" ") == (t or "").encode() for d, t in zip(decoded, texts)]
+        return [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids)),
+                pa.array(np.asarray(sizes, np.int64)), pa.array(same, pa.bool_())]
 
-    out = map_columns(held.select("row", "text", "tail"), {"t": F.col("text"), "tail": F.col("tail")},
-                      "piece_ids array<int>", fn)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in documents.columns if c != "piece_ids"],
-                      "piece_ids")
+    added = "piece_ids array<int>, n_pieces bigint, round_trip boolean"
+    out = map_columns(held.select("row", "text", "tail"), {"t": F.col("text"), "tail": F.col("tail")}, added, fn)
+    names = ("piece_ids", "n_pieces", "round_trip")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in documents.columns if c not in names], *names)
 
 
 def decode(df: DataFrame, model: Model, ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -377,15 +419,6 @@ def default_model(path: str | None = None) -> Model:
     return Model.load(path)
 
 
-def encode_and_check(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with piece_ids, n_pieces and round_trip (the decoded text is the text)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    done = decode(encode(documents, model), model)
-    return done.select(*[c for c in done.columns if c not in ("decoded", "n_pieces", "round_trip")],
-                       F.size("piece_ids").cast("bigint").alias("n_pieces"),
-                       (text == F.col("decoded")).alias("round_trip"))
-
-
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_and_check(documents, default_model()).select("doc_id", "n_pieces", "round_trip", "piece_ids")
+    return encode(documents, default_model()).select("doc_id", "n_pieces", "round_trip", "piece_ids")

@@ -100,12 +100,12 @@ def test_pieces_equal_the_library(docs, empty):
     model = pieces.default_model()
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for size in (pieces.LEXICON_BYTES, 400):  # all units sent; a few sent and the others joined
-        got = pieces.encode_and_check(docs, model) if size > 400 else pieces.encode(docs, model, lexicon_bytes=size)
+        got = pieces.decode(pieces.encode(docs, model, lexicon_bytes=size), model)
         assert kept_columns(got, docs, ["piece_ids"])
         for r in got.collect():
-            assert list(r.piece_ids) == sp.encode(r.text or "")
-            if size > 400:
-                assert r.round_trip == ("▁" not in (r.text or ""))
+            assert list(r.piece_ids) == sp.encode(r.text or "") and r.n_pieces == len(r.piece_ids)
+            assert r.decoded == (r.text or "").replace("▁", " ")
+            assert r.round_trip == ("▁" not in (r.text or ""))
     assert pieces.encode(empty, model).count() == 0
 
 
@@ -145,6 +145,8 @@ def test_language_model(docs, empty):
         assert all(math.isclose(a[5], b[5], rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(got, want))
         assert all(r[6] < 0 for r in got)
     assert lm.score_texts(empty).count() == 0
+    only = lm.score_texts(docs.where(lm.held_out("doc_id"))).collect()  # nothing to learn from
+    assert only and all(r.train_tokens == 0 and r.base_score == 0 and r.n_known == 0 for r in only)
 
 
 def test_model_probabilities_add_up_and_learn():
