@@ -12,7 +12,8 @@ bits of some mask and meets in that mask's table. No pair is missed.
 Only distinct fingerprints enter the tables. A bucket with more than ``crowd``
 fingerprints is dealt out again by the same construction over the bits its mask
 ignored, which halves the open bits each time: at the second level a bucket
-holds at most 2^16, and a task cuts those further before it compares pairs. A
+holds at most 2^16. A task cuts crowded ones further before it compares pairs;
+at 16 open bits or fewer it spreads labels over the cube of all their values. A
 bucket gives at most one link per member (to its local component's smallest),
 never all pairs. Components are then found by alternating large and small stars
 on the shared folder's tables.
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from askbase.llm.common import map_columns, raw, slices, stored, table
 
 SHINGLE, RADIUS, CROWD, SEED = 4, 4, 1024, 42
+CUBE = 16  # open bits up to which a task works on all their values
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -91,11 +93,31 @@ def _smallest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return labels
 
 
+def _cube(codes: np.ndarray, bits: int, radius: int) -> np.ndarray:
+    """For each of distinct ``codes`` of ``bits`` bits the index of its component's smallest.
+
+    ``radius`` steps along the edges of the cube carry to each value the least
+    label within the radius: exact, at bits x 2^bits a step for any number of codes.
+    """
+    own = labels = np.arange(len(codes))
+    flips = [np.arange(1 << bits) ^ 1 << b for b in range(bits)]
+    while True:
+        near = np.full(1 << bits, len(codes))
+        near[codes] = labels
+        for _ in range(min(radius, bits)):
+            near = np.minimum.reduce([near, *(near[f] for f in flips)])
+        if (near[codes] == labels).all():
+            return labels
+        labels = _smallest(labels, np.r_[own, own], np.r_[labels, near[codes]])
+
+
 def local_components(prints: np.ndarray, known: int, radius: int, direct: int = 256) -> np.ndarray:
     """For each of sorted distinct ``prints`` the index of its component's smallest member.
 
     All agree on the bits of ``known``. More than ``direct`` are cut by covering
-    masks over the other bits until the groups are small or no bit is left.
+    masks over the other bits until the groups are small or at most ``CUBE`` bits
+    are open. Where too few are open for covering masks that all keep some, one of
+    radius + 1 parts is kept: any ``radius`` positions leave a part untouched.
     """
     labels = np.arange(len(prints))
     todo, a, b = [(labels, known)], [], []
@@ -107,7 +129,20 @@ def local_components(prints: np.ndarray, known: int, radius: int, direct: int =
             a.append(members[i])
             b.append(members[j])
             continue
-        for sub in covering_masks(_open_bits(mask), radius):
+        bits = _open_bits(mask)
+        if len(bits) <= max(radius, CUBE):
+            low = np.zeros(len(members), np.int64)  # within the radius whatever the bits
+            if len(bits) > radius:
+                codes = sum((prints[members] >> np.uint64(p) & np.uint64(1)).astype(np.int64) << k
+                            for k, p in enumerate(bits))
+                low = _cube(codes, len(bits), radius)
+            a.append(members)
+            b.append(members[low])
+            continue
+        subs = covering_masks(bits, radius)
+        if not all(subs):
+            subs = [sum(1 << p for p in bits[i::radius + 1]) for i in range(radius + 1)]
+        for sub in subs:
             keys = prints[members] & np.uint64(sub)
             order = np.argsort(keys, kind="stable")
             cuts = np.nonzero(np.diff(keys[order]))[0] + 1
