@@ -83,6 +83,7 @@ def _open_bits(mask: int) -> list[int]:
 
 def _smallest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after joining a[i] with b[i] (indexes) until nothing changes."""
+    labels = labels.copy()
     while True:
         before = labels.copy()
         low = np.minimum(labels[a], labels[b])
@@ -111,7 +112,8 @@ def _cube(codes: np.ndarray, bits: int, radius: int) -> np.ndarray:
         labels = _smallest(labels, np.r_[own, own], np.r_[labels, near[codes]])
 
 
-def local_components(prints: np.ndarray, known: int, radius: int, direct: int = 256) -> np.ndarray:
+def local_components(prints: np.ndarray, known: int, radius: int, direct: int = 256,
+                     fold: int = 1 << 20) -> np.ndarray:
     """For each of sorted distinct ``prints`` the index of its component's smallest member.
 
     All agree on the bits of ``known``. More than ``direct`` are cut by covering
@@ -119,15 +121,23 @@ def local_components(prints: np.ndarray, known: int, radius: int, direct: int =
     are open. Where too few are open for covering masks that all keep some, one of
     radius + 1 parts is kept: any ``radius`` positions leave a part untouched.
     """
-    labels = np.arange(len(prints))
-    todo, a, b = [(labels, known)], [], []
+    own = labels = np.arange(len(prints))
+    todo, a, b, found = [(labels, known)], [], [], 0
+
+    def folded():
+        """Labels with the pairs found since; the earlier labels count as links too."""
+        return _smallest(labels, np.concatenate([own, *a]), np.concatenate([labels, *b]))
+
     while todo:
+        if found > fold:
+            labels, a, b, found = folded(), [], [], 0
         members, mask = todo.pop()
         if len(members) <= direct:
             x = prints[members]
             i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= radius, 1))
             a.append(members[i])
             b.append(members[j])
+            found += len(i)
             continue
         bits = _open_bits(mask)
         if len(bits) <= max(radius, CUBE):
@@ -138,6 +148,7 @@ def local_components(prints: np.ndarray, known: int, radius: int, direct: int =
                 low = _cube(codes, len(bits), radius)
             a.append(members)
             b.append(members[low])
+            found += len(members)
             continue
         subs = covering_masks(bits, radius)
         if not all(subs):
@@ -147,10 +158,7 @@ def local_components(prints: np.ndarray, known: int, radius: int, direct: int =
             order = np.argsort(keys, kind="stable")
             cuts = np.nonzero(np.diff(keys[order]))[0] + 1
             todo += [(g, mask | sub) for g in np.split(members[order], cuts) if len(g) > 1]
-        if sum(map(len, a)) > 1 << 20:  # fold the pairs found so far into labels
-            labels = _smallest(labels, np.concatenate(a), np.concatenate(b))
-            a, b = [], []
-    return _smallest(labels, np.concatenate(a or [labels[:0]]), np.concatenate(b or [labels[:0]]))
+    return folded()
 
 
 def _links(batches: Iterator[pa.RecordBatch], masks: dict[int, int], radius: int):

@@ -32,6 +32,22 @@ def test_dense_bucket_ends(count, width, radius):
     assert (simhash.local_components(prints, known, radius) == brute(prints, radius)).all()
 
 
+@pytest.mark.parametrize("fold", [0, 50, 500])
+def test_links_before_a_fold_stay(fold):
+    rng = np.random.default_rng(fold)
+
+    def four():  # a link on four bits is mostly found in one table only
+        return np.uint64(sum(1 << int(p) for p in rng.choice(64, 4, replace=False)))
+
+    crowd = dense(400, list(range(12)), 1)  # crowded in the tables, so that pairs are folded between them
+    prints = [crowd]
+    for middle in rng.integers(0, 1 << 64, 150, np.uint64):
+        prints.append(np.array([middle, middle ^ four(), middle ^ four()]))
+    prints = np.unique(np.concatenate(prints))
+    got = simhash.local_components(prints, 0, 4, direct=16, fold=fold)
+    assert (got == brute(prints, 4)).all()
+
+
 def test_second_level_bucket_gives_its_links(spark):
     prints = dense(400, list(range(0, 30, 2)), 5)  # 400 fingerprints agree on 49 bits
     rows = [(k, simhash._signed(int(p))) for k, p in enumerate(prints)]
