@@ -1,9 +1,12 @@
 """Licence recognition by sentence rules.
 
-A text is cut into sentences, which are normalised (lower case, punctuation
-and comment marks dropped). A
-normalised sentence is looked up in the table of known sentences and becomes
-its identifier; others disappear. Licences are ordered sequences of
+A text is cut into sentences at stops, clause marks and blank lines; comment
+and list marks at line starts, letter case and punctuation are dropped. A line
+end inside a sentence is kept as a place where a known sentence may start or
+end, but need not: wrapped licences and one-line notices between unfinished
+lines are both found. A run of whole lines or a whole sentence that equals one
+of the table of known sentences becomes its identifier, the longest first;
+others disappear. Licences are ordered sequences of
 identifiers: a rule holds when its identifiers occur in its order, other known
 sentences between them allowed within ``gap``. Rules are tried from the most
 specific on; the sentences a rule has used are not used again, so a text may
@@ -18,10 +21,19 @@ with known sentences but no matching rule has status ``unknown rule``. Repeated
 rows each get their result.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from askbase.llm.common import LOWER, UPPER, let, table
 
+GPL_ANY = ("you can redistribute it and or modify it under the terms of the gnu general public license "
+           "as published by the free software foundation")
+MIT_GRANT = ("permission is hereby granted free of charge to any person obtaining a copy of this software and "
+             "associated documentation files the software to deal in the software without restriction")
+AS_IS = "the software is provided as is without warranty of any kind"
+KINDS = "including but not limited to the warranties of merchantability fitness for a particular purpose and"
+
 #: Sentences of well-known licences and notices in normalised form, and what they say.
 SENTENCES = {
     "licensed under cc by nc 4 0": "cc-by-nc-4",
@@ -31,13 +43,21 @@ SENTENCES = {
     "this work is licensed under the gnu general public license version 3": "gpl-3",
     "this work is licensed under the gnu general public license version 2": "gpl-2",
     "this program is free software": "free-software",
-    "you can redistribute it and or modify it under the terms of the gnu general public license "
-    "as published by the free software foundation": "gpl-any",
+    GPL_ANY: "gpl-any",
     "version 3 of the license": "version-3",
     "version 2 of the license": "version-2",
     "either version 3 of the license or at your option any later version": "version-3-on",
     "either version 2 of the license or at your option any later version": "version-2-on",
+    **{f"{GPL_ANY} either version {n} of the license or at your option any later version": f"gpl-{n}-on"
+       for n in (2, 3)},
+    **{f"{GPL_ANY} version {n} of the license": f"gpl-{n}" for n in (2, 3)},
+    **{GPL_ANY.replace("license as", f"license version {n} as"): f"gpl-{n}" for n in (2, 3)},
+    "gnu general public license version 3 29 june 2007": "gpl-3-text",
+    "gnu general public license version 2 june 1991": "gpl-2-text",
     "licensed under the apache license version 2 0": "apache-2",
+    "licensed under the apache license version 2 0 the license": "apache-2",
+    "the asf licenses this file to you under the apache license version 2 0 the license": "apache-2",
+    "apache license version 2 0 january 2004": "apache-2",
     "you may not use this file except in compliance with the license": "apache-comply",
     "you may obtain a copy of the license at": "apache-copy",
     "unless required by applicable law or agreed to in writing software distributed under the license is "
@@ -45,28 +65,58 @@ SENTENCES = {
         "apache-as-is",
     "released under the mit license": "mit-name",
     "licensed under the mit license": "mit-name",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-    "associated documentation files the software to deal in the software without restriction": "mit-grant",
+    MIT_GRANT: "mit-grant",
+    f"{MIT_GRANT} including without limitation the rights to use copy modify merge publish distribute sublicense "
+    "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject "
+    "to the following conditions": "mit-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial "
     "portions of the software": "mit-notice",
-    "the software is provided as is without warranty of any kind": "as-is",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all "
+    "copies or substantial portions of the software": "mit-notice",
+    AS_IS: "as-is",
+    f"{AS_IS} express or implied": "as-is",
+    f"{AS_IS} express or implied {KINDS} noninfringement": "as-is",
+    f"{AS_IS} express or implied {KINDS} non infringement": "as-is",
     "redistribution and use in source and binary forms with or without modification are permitted provided "
     "that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice": "bsd-source",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the "
+    "following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice": "bsd-binary",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+    "following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
     "promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "the name of the author may not be used to endorse or promote products derived from this software without "
+    "specific prior written permission": "bsd-endorse",
     "all rights reserved": "all-rights",
 }
 
-#: Ordered rules, most specific first.
-RULES = [
-    ("GPL-3.0-or-later", ["gpl-any", "version-3-on"]),
-    ("GPL-2.0-or-later", ["gpl-any", "version-2-on"]),
+#: Wordings with a name in them, and how the table has them (in marked text, see ``marked``).
+NAMED = [(r"neither the names? of (?:[^ ]+ ){1,24}?nor the names of (?:/ )?(?:its|their|any) (?:/ )?contributors",
+          "neither the name of the copyright holder nor the names of its contributors")]
+
+#: Whole licences and headers, most specific first.
+TEXTS = [
     ("Apache-2.0", ["apache-2", "apache-comply", "apache-copy", "apache-as-is"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+]
+#: Ordered rules, most specific first.
+RULES = [
+    *[(name, ["all-rights", *ids]) for name, ids in TEXTS],  # a copyright line above belongs to the licence
+    # the licences' own texts end with the notice to use
+    ("GPL-3.0-only", ["gpl-3-text", "gpl-3-on"]),
+    ("GPL-2.0-only", ["gpl-2-text", "gpl-any", "version-2-on"]),
+    ("GPL-2.0-only", ["gpl-2-text", "gpl-2-on"]),
+    ("GPL-3.0-only", ["gpl-3-text"]),
+    ("GPL-2.0-only", ["gpl-2-text"]),
+    ("GPL-3.0-or-later", ["gpl-3-on"]),
+    ("GPL-2.0-or-later", ["gpl-2-on"]),
+    ("GPL-3.0-or-later", ["gpl-any", "version-3-on"]),
+    ("GPL-2.0-or-later", ["gpl-any", "version-2-on"]),
+    *TEXTS,
     ("GPL-3.0-only", ["gpl-any", "version-3"]),
     ("GPL-2.0-only", ["gpl-any", "version-2"]),
     ("MIT", ["mit-grant", "mit-notice"]),
@@ -80,22 +130,30 @@ RULES = [
     ("Proprietary", ["all-rights"]),
 ]
 GAP = 3
-#: A line end, or a stop before white space, ends a sentence; a clause mark ends one too.
-_END = r"[.](?=[\s]|$)|[\n;:]"
+#: Characters of words: letters and digits, no spaces, signs and quotes beyond ASCII.
+_WORD = r"a-z0-9\x{C0}-\x{1FFF}\x{2070}-\x{10FFFF}"
+#: A stop before white space, a clause mark, and the bracket of a list mark end a sentence.
+_END = r"[.](?=[\s]|$)|[;:]|(?<=\n[0-9a-z]{1,2})[)]"
 
 
-def normalised(sentence: Column) -> Column:
-    lowered = F.translate(sentence, UPPER, LOWER)
-    return F.btrim(F.regexp_replace(lowered, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
+def marked(text: Column) -> Column:
+    """The text's words, " | " between sentences and " / " between the lines of one, at both ends too."""
+    lines = F.concat(F.lit("\n\n"), F.coalesce(text, F.lit("")), F.lit("\n\n"))
+    out = F.translate(F.regexp_replace(lines, r"\r\n?", "\n"), UPPER, LOWER)
+    for pattern, new in [(rf"\n[^{_WORD}\n]++", "\n"), (_END, "\n\n"), (rf"[^{_WORD}\n]++", " "),
+                         (r" ?\n[ \n]*\n ?", " | "), (r" ?\n ?", " / "), *NAMED]:
+        out = F.regexp_replace(out, pattern, new)
+    return out
 
 
 def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
-    """Identifiers of the known sentences of a text, in order, with their sentence numbers."""
+    """Identifiers of the known sentences of a text, in order, with their numbers."""
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), _END), normalised)
-    found = F.transform(parts, lambda s, i: F.struct(
-        F.when(F.length(s) <= max(map(len, sentences)), F.try_element_at(known, s)).alias("id"), i.alias("at")))
-    return F.filter(found, lambda x: x["id"].isNotNull())
+    longest = sorted(sentences, key=lambda s: (-len(s), s))
+    wrapped = "|".join(" (?:/ )?".join(map(re.escape, s.split())) for s in longest)
+    found = F.regexp_extract_all(marked(text), F.lit(f"(?<=[|/] )(?:{wrapped})(?= [|/])"), F.lit(0))
+    return F.transform(found, lambda s, i: F.struct(
+        F.try_element_at(known, F.replace(s, F.lit(" / "), F.lit(" "))).alias("id"), i.alias("at")))
 
 
 def apply_rule(state: Column, rule: Column, gap: int) -> Column:
