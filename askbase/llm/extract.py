@@ -19,7 +19,8 @@ back to the page by key, by broadcast when few; html is read again, not stored.
 Defined cases: a null or empty html has an empty text. A null URL is a page of
 the host and path "". A page alone on its host, or whose mate has the very same
 lines, deletes nothing. Repeated rows each get the same text. Unclosed and
-cut-off markup ends with the page.
+cut-off markup ends with the page; a head without end tag ends where the body's
+content starts.
 """
 
 import re
@@ -44,6 +45,8 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
          "tr", "ul"}
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "audio", "video",
           "canvas", "head", "title"}
+#: Elements that stand in a head; others, and text, end a head that was left open.
+HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 CHROME = {"nav", "aside", "form", "footer", "menu", "dialog", "button", "select", "textarea", "search"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog",
          "alert", "menu", "menubar", "toolbar"}
@@ -77,7 +80,16 @@ class _Lines(HTMLParser):
             _, rank, chrome, _ = self._at()
             self.lines.append((text, rank, chrome))
 
+    def _end_head(self, body: bool = False) -> None:
+        """Close an open head; one with elements open in it only where the body starts."""
+        if body and "template" not in (tags := [x[0] for x in self.open]) and "head" in tags:
+            del self.open[tags.index("head"):]
+        elif self._at()[0] == "head":
+            self.open.pop()
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self._end_head(tag == "body")
         if tag == "br":
             self.words.append(" ")
         elif tag in ("td", "th"):
@@ -129,6 +141,8 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         if not self._at()[3]:
             self.words.append(data)
 
