@@ -17,9 +17,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
-    "op2_token_shards": shards.op2_token_shards,
-    "op3_sentencepiece": pieces.op3_sentencepiece,
-    "op4_lm_scoring": lm.op4_lm_scoring,
     "op5_decontamination": decontaminate.SQL,
     "op7_warc_revisits": warc.SQL,
 }
