@@ -71,6 +71,22 @@ def map_columns(df: DataFrame, inputs: dict[str, Column], outputs: str,
     return source.mapInArrow(run, schema)
 
 
+def skew_join(left: DataFrame, right: DataFrame, key: str, rows: str, heavy: int = 1000) -> DataFrame:
+    """Inner join on ``key``; ``right`` has each key once, with the count of its rows in ``left`` in column ``rows``.
+
+    Keys with over 1 / ``heavy`` of all rows of ``left``, fewer than ``heavy`` keys whatever the data, are
+    broadcast, so that no task has to take all rows of one key; the others are joined by shuffle.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    often = F.col(rows) * heavy > F.lit(total)
+    side = right.drop(rows)
+    hot = F.broadcast(right.where(often).drop(rows))
+    rest = left.join(F.broadcast(right.where(often).select(key)), key, "left_anti").join(
+        right.where(~often).drop(rows), key)
+    columns = [key] + [c for c in left.columns if c != key] + [c for c in side.columns if c != key]
+    return left.join(hot, key).select(*columns).unionByName(rest.select(*columns))
+
+
 def _split(outputs: str) -> list[str]:
     """The parts of a schema string at commas outside brackets."""
     parts, depth = [""], 0

@@ -127,3 +127,103 @@ def common_length(a, b):
         for j, y in enumerate(b):
             d[i + 1, j + 1] = d[i, j] + 1 if x == y else max(d[i, j + 1], d[i + 1, j])
     return int(d[-1, -1])
+
+
+def jaccard_groups(rows, width=3, percent=90):
+    """(id, set size, component) per row, by comparing all pairs."""
+    def shingles(text):
+        ws = words(lower(text))
+        return frozenset([tuple(ws)] if 0 < len(ws) < width else zip(*(ws[i:] for i in range(width))))
+
+    sets = [shingles(t) for _, t in rows]
+    kinds = list(set(s for s in sets if s))
+    label = {s: k for k, s in enumerate(kinds)}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    up = list(range(len(kinds)))
+    for a in range(len(kinds)):
+        for b in range(a):
+            if 100 * min(len(kinds[a]), len(kinds[b])) >= percent * max(len(kinds[a]), len(kinds[b])):
+                common = len(kinds[a] & kinds[b])
+                if 100 * common >= percent * (len(kinds[a]) + len(kinds[b]) - common):
+                    up[root(a)] = root(b)
+    least = {}
+    for (i, _), s in zip(rows, sets):
+        if s and i is not None:
+            least[root(label[s])] = min(least.get(root(label[s]), i), i)
+    return [(i, len(s), least.get(root(label[s])) if s else i) for (i, _), s in zip(rows, sets)]
+
+
+def runs(ws, least=6, exponent=4):
+    """(start, length, period) by trying every start and period."""
+    found = {}
+    for q in range(1, len(ws) // exponent + 1):
+        s = 0
+        while s + q < len(ws):
+            e = s + q
+            while e < len(ws) and ws[e] == ws[e - q]:
+                e += 1
+            if e - s >= max(least, exponent * q) and (s, e) not in found:
+                found[s, e] = q
+            s = e - q + 1
+    return sorted(((s, e - s, q) for (s, e), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(ws):
+    gone = {k for s, n, q in runs(ws) for k in range(s + q, s + n)}
+    return " ".join(w for k, w in enumerate(ws) if k not in gone)
+
+
+def planted_words(doc_id, text):
+    ws, h = words(text), zlib.crc32(str(doc_id).encode())
+    if h % 10 or not ws:
+        return ws
+    g, n = h // 10, len(ws)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else ws[a + (i - a) % p] for i, w in enumerate(ws)]
+
+
+def one_error(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:k] + b[k + 1:] == a for k in range(len(b)))
+
+
+def near_words(counts):
+    """{word: (near words, largest count, its word)}, by comparing all pairs."""
+    out = {}
+    for a in counts:
+        near = [b for b in counts if one_error(a, b)]
+        if near:
+            best = min(near, key=lambda b: (-counts[b], b))
+            out[a] = len(near), counts[best], best
+    return out
+
+
+def variants(rows, min_count=3, planted=False):
+    counts = collections.Counter()
+    for i, t in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = lower(w)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if planted and h % 97 == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            counts[w] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 5 and n >= min_count}
+    near = near_words(counts)
+    form = {w: (b, m) for w, (_, m, b) in near.items() if m >= 2 * counts[w]}
+    out = {}
+    for w, n in counts.items():
+        root = w
+        while root in form:
+            root = form[root][0]
+        out[w] = n, near.get(w, (0,))[0], *form.get(w, (None, None)), root
+    return out
