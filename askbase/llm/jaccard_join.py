@@ -39,7 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from askbase.llm.common import raw, skew_join, slices, stored, table
+from askbase.llm.common import SPACE, raw, skew_join, slices, stored, table
 from askbase.llm.line_dedup import FILTER_BITS, _holds, twice_filter
 from askbase.llm.simhash import _smallest, components
 
@@ -47,6 +47,8 @@ WIDTH, PERCENT = 3, 90
 ERRORS, CELLS = 1, 3
 #: Shingles, and sets, that are compared in one go.
 GROUP, MEMBERS = 1 << 18, 1024
+#: Bytes of texts that a task holds as shingles at a time.
+SLICE = 1 << 20
 #: Odd multipliers that tell positions in a shingle or a signature apart (fixed values).
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -58,29 +60,79 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _WordHashes(dict):
-    """Hashes of words met before; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def shingle_set(text: bytes, width: int, hashes: _WordHashes) -> np.ndarray:
-    """The distinct shingles' hashes in ascending order."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < width:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), len(words))], np.uint64)
-    h = np.array([hashes[w] for w in words], np.uint64)
-    n = len(h) - width + 1
-    total = np.zeros(n, np.uint64)
-    for i in range(width):  # position by position: the same words in another order differ
-        total = (total ^ (h[i:i + n] * ODD[i % 4])) * ODD[4 + i % 4]
-    return np.unique(_mixed(total))
+#: Bytes that part words, and a random number for each byte; capital letters have their small ones' number.
+_SPACE = np.isin(np.arange(256), np.frombuffer(SPACE.encode(), np.uint8))
+_BYTE = np.random.default_rng(42).integers(0, 1 << 64, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+#: The base of the words' polynomials and its inverse modulo 2^64; bytes hashed in one go.
+BASE, INVERSE, PIECE = 0x9E3779B97F4A7C13, pow(0x9E3779B97F4A7C13, -1, 1 << 64), 1 << 19
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[:1] = 1
+    return np.cumprod(factors, dtype=np.uint64)
+
+
+class WordHashes:
+    """Hashes of the words of many texts at once: polynomials over the texts' bytes, modulo 2^64."""
+
+    def __init__(self):
+        self.up, self.down = _powers(BASE, PIECE), _powers(INVERSE, PIECE)
+
+    def _piece(self, data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the words of ``data``; a word ends before each of ``breaks``."""
+        while len(self.up) < len(data):
+            self.up, self.down = _powers(BASE, 2 * len(self.up)), _powers(INVERSE, 2 * len(self.up))
+        inside = ~_SPACE[data]
+        left = np.concatenate([[False], inside[:-1]])
+        left[breaks] = False
+        right = np.concatenate([inside[1:], [False]])
+        right[breaks[breaks > 0] - 1] = False
+        starts, ends = np.nonzero(inside & ~left)[0], np.nonzero(inside & ~right)[0]
+        sums = np.cumsum(_BYTE[data] * self.up[:len(data)], dtype=np.uint64)
+        before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+        return starts, _mixed((sums[ends] - before) * self.down[starts] + (ends - starts).astype(np.uint64) * ODD[1])
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """For each text, from one of ``offsets`` to the next, the hashes of its words."""
+        starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+        while at < len(data):
+            end = min(at + PIECE, len(data))
+            if end < len(data):  # cut at white space or between texts
+                text = offsets[np.searchsorted(offsets, end, "right") - 1]
+                gaps = np.nonzero(_SPACE[data[max(at, text):end]])[0]
+                end = max(at, text) + int(gaps[-1]) + 1 if len(gaps) else int(text)
+                if end <= at:  # a word longer than a piece
+                    limit = int(offsets[np.searchsorted(offsets, at, "right")])
+                    later = np.nonzero(_SPACE[data[at + PIECE:limit]])[0]
+                    end = at + PIECE + int(later[0]) if len(later) else limit
+            inner = offsets[(offsets >= at) & (offsets < end)] - at
+            s, h = self._piece(data[at:end], inner)
+            starts.append(s + at)
+            hashes.append(h)
+            at = end
+        starts, hashes = np.concatenate(starts), np.concatenate(hashes)
+        return np.split(hashes, np.searchsorted(starts, offsets[1:-1]))
+
+
+def _shingled(words: np.ndarray, width: int) -> np.ndarray:
+    """One hash for each ``width`` neighbouring words; the same words in another order differ."""
+    n = len(words) - width + 1
+    total = np.full(n, width, np.uint64)
+    for i in range(width):
+        total = (total ^ (words[i:i + n] * ODD[i % 4])) * ODD[4 + i % 4]
+    return _mixed(total)
+
+
+def shingle_sets(texts: pa.Array, width: int, hashes: WordHashes) -> list[np.ndarray]:
+    """For each text (binary, no nulls) its distinct shingles' hashes in ascending order."""
+    if not len(texts):
+        return []
+    bounds = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]]
+    return [np.unique(_shingled(w, min(width, len(w)))) if len(w) else w
+            for w in hashes.words(data, bounds - bounds[0])]
 
 
 def set_key(features: np.ndarray) -> int:
@@ -94,7 +146,7 @@ class PartEnum:
         self.percent, self.errors, self.cells = percent, errors, cells
         self.tops: list[int] = []  # the largest size of each band
         self.made: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}
-        self.kept = [np.array(c) for c in combinations(range(cells), cells - errors)]
+        self.kept = np.array(list(combinations(range(cells), cells - errors)))
 
     def top(self, band: int) -> int:
         """The largest size in a band."""
@@ -136,11 +188,10 @@ class PartEnum:
                 bounds, salts = instance
                 at = np.concatenate([[0], np.searchsorted(features, bounds), [len(features)]])
                 content = _mixed(sums[at[1:]] - sums[at[:-1]]).reshape(-1, self.cells)
-                for j, kept in enumerate(self.kept):
-                    one = salts[:, j].copy()
-                    for i, cell in enumerate(kept):
-                        one = (one ^ content[:, cell]) * ODD[i % 8]
-                    out.append(_mixed(one))
+                one = salts
+                for i in range(self.cells - self.errors):
+                    one = (one ^ content[:, self.kept[:, i]]) * ODD[i % 8]
+                out.append(_mixed(one).ravel())
         return np.concatenate(out)
 
 
@@ -153,9 +204,9 @@ def document_sets(documents: DataFrame, id_col: str, text_col: str, width: int)
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        hashes = _WordHashes()
-        for batch in slices(batches):
-            sets = [shingle_set(t, width, hashes) for t in batch.column(1).to_pylist()]
+        hashes = WordHashes()
+        for batch in slices(batches, SLICE):
+            sets = shingle_sets(batch.column(1), width, hashes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())],
@@ -165,33 +216,28 @@ def document_sets(documents: DataFrame, id_col: str, text_col: str, width: int)
             .mapInArrow(run, f"doc_id {kind}, n_shingles bigint, key bigint"))
 
 
-def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int):
-    """(key, set) of the texts of a task, each key once as far as a bounded memo tells."""
-    hashes, met = _WordHashes(), set()
-    for batch in slices(batches):
-        for text in batch.column(0).to_pylist():
-            features = shingle_set(text, width, hashes)
+def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[dict[int, np.ndarray]]:
+    """{key: set} of one slice of texts after another, each key once as far as a bounded memo tells."""
+    hashes, met = WordHashes(), set()
+    for batch in slices(batches, SLICE):
+        found = {}
+        for features in shingle_sets(batch.column(0), width, hashes):
             if len(features) and (key := set_key(features)) not in met:
-                if len(met) > 500_000:
-                    met.clear()
+                found[key] = features
                 met.add(key)
-                yield key, features
+        if len(met) > 500_000:
+            met.clear()
+        yield found
 
 
 def signature_rows(documents: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
     """(sig, key) for every distinct set; a copy's rows may come again from another task."""
     def run(batches):
-        scheme, sigs, keys, held = PartEnum(percent), [], [], 0
-        for key, features in _distinct_sets(batches, width):
-            sigs.append(scheme.signatures(features))
-            keys.append(np.full(len(sigs[-1]), key, np.int64))
-            held += len(sigs[-1])
-            if held > 1 << 17:
-                yield pa.RecordBatch.from_arrays([_int64(np.concatenate(sigs)), pa.array(np.concatenate(keys))],
-                                                 names=["sig", "key"])
-                sigs, keys, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([_int64(np.concatenate(sigs)), pa.array(np.concatenate(keys))],
+        scheme = PartEnum(percent)
+        for found in _distinct_sets(batches, width):
+            sigs = [scheme.signatures(features) for features in found.values()]
+            keys = np.repeat(np.array(list(found), np.int64), [len(s) for s in sigs])
+            yield pa.RecordBatch.from_arrays([_int64(np.concatenate([*sigs, np.zeros(0, np.uint64)])), pa.array(keys)],
                                              names=["sig", "key"])
 
     return documents.select(raw(f"`{text_col}`").alias("t")).mapInArrow(run, "sig bigint, key bigint")
@@ -218,6 +264,10 @@ def _centred(batches: Iterator[pa.RecordBatch]):
 def _joined(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the similar pairs of ``sets``, as far as they join something."""
     sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        similar = (100 + percent) * common >= percent * int(sizes.sum())
+        return (np.ones(1, int), np.zeros(1, int)) if similar else (np.zeros(0, int),) * 2
     every = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, feature, times = np.unique(every, return_inverse=True, return_counts=True)
@@ -285,10 +335,12 @@ def similar_sets(documents: DataFrame, sets: DataFrame, text_col: str = "text",
     packed = documents.sparkSession.sparkContext.broadcast(twice_filter(wanted, filter_bits))
 
     def contents(batches):
-        for key, features in _distinct_sets(batches, width):
-            if _holds(packed.value, np.array([key], np.int64).view(np.uint64))[0]:
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([features.tobytes()], pa.binary())],
-                                                 names=["x", "s"])
+        for found in _distinct_sets(batches, width):
+            keys = np.array(list(found), np.int64)
+            use = _holds(packed.value, keys.view(np.uint64)) if len(keys) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[use]), pa.array([found[k].tobytes() for k in keys[use].tolist()], pa.binary())],
+                names=["x", "s"])
 
     texts = (documents.select(raw(f"`{text_col}`").alias("t")).mapInArrow(contents, "x bigint, s binary")
              .groupBy("x").agg(F.first("s").alias("s")))

@@ -192,7 +192,7 @@ def test_forms_lead_to_roots(spark):
 def test_variants_of_awkward_documents(docs, empty):
     got = {r.word: (r.n, r.n_near, r.form, r.form_n, r.root)
            for r in variants.spelling_variants(docs, min_count=1).collect()}
-    assert got == cases.variants(ROWS, min_count=1) and len(got) > 30
+    assert got == cases.variants(ROWS, min_count=1) and len(got) >= 30
     assert variants.spelling_variants(empty).count() == 0
 
 
