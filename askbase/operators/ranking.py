@@ -1,23 +1,21 @@
 """Exact top-n search: vectors, BM25 and sparse cosine.
 
-The corpus is read once and never shuffled. A block of queries (bounded rows)
-is broadcast; each task scores its own rows with numpy and keeps only its best
-``n`` per query, so what is shuffled is at most tasks x queries x n rows, and
-the final window sees nothing else. More queries than one block holds are
-taken block by block; every query meets the whole corpus.
+Vectors are scored with numpy in blocks of queries and parts of the corpus; a task
+keeps the best ``n`` of each of its queries, so what is shuffled is at most
+tasks x queries x n rows. Term search runs on an inverted index.
 """
 
-import math
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import text as rules, vocab
-from ..functions.sizing import collect_bounded
+from ..functions import vocab
+from ..functions.sizing import stored
+from ..sources.terms import TermIndex, temporary_index
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK, PART_ROWS, SALTS = 4096, 4096, 16
+#: Tasks that pack queries, so that few of them do not become as many blocks; blocks held by a search task.
+QUERY_TASKS, HELD_BLOCKS = 64, 8
 _CELLS = 2_000_000
 
 
@@ -67,273 +65,133 @@ def _ids(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _query_blocks(queries: DataFrame, size: int):
-    """The queries as lists of rows of at most about ``size``."""
-    rows = collect_bounded(queries, size)
-    if rows is not None:
-        yield rows
-        return
-    parts = 2 * math.ceil(queries.count() / size)
-    for part in range(parts):
-        yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
-
-
-def _ranked(hits: DataFrame, n: int, id_col: str, score_type: str) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("order_key", "id")
-    return (hits.withColumn("rank", F.row_number().over(order).cast("bigint"))
-            .filter(F.col("rank") <= n)
-            .select("query_id", F.col("id").alias(id_col), "rank", "score",
-                    F.lit(score_type).alias("score_type")))
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
-
-
-def _hit_schema(corpus: DataFrame, id_col: str) -> str:
-    return f"query_id string, id {corpus.schema[id_col].dataType.simpleString()}, " \
-           "score double, order_key double"
+def _top(hits: DataFrame, n: int, id_col: str, score_type: str) -> DataFrame:
+    """The best ``n`` of each query: first among its rows of one salt, then among the winners."""
+    ranked = hits.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    for by in (["query_id", "salt"], ["query_id"]):
+        order = Window.partitionBy(*by).orderBy("order_key", "id")
+        ranked = ranked.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= n)
+    return ranked.select("query_id", F.col("id").alias(id_col), "rank", "score", F.lit(score_type).alias("score_type"))
 
 
 def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    dot = x @ q.T
     if metric == "cosine":
         size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
-        dot = x @ q.T
         return 1.0 - np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
-    squared = np.stack([((x - row) ** 2).sum(axis=1) for row in q], axis=1)
+    sizes = (x * x).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :]
+    squared = sizes - 2 * dot
+    row, query = np.nonzero(squared < 1e-3 * sizes)  # too near for the difference of large numbers
+    squared[row, query] = ((x[row] - q[query]) ** 2).sum(axis=1)
     return np.sqrt(squared) if metric == "l2" else squared
 
 
+def _packed(batches, size: int):
+    """Rows (id, vector) as rows of many: ids, their number, the vectors' numbers as bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            ids, vectors = (batch.column(i).slice(at, size) for i in range(2))
+            lengths = np.diff(np.asarray(vectors.offsets))
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            ragged = len(flat) != len(ids) * lengths[0] or (lengths != lengths[0]).any()
+            yield pa.RecordBatch.from_arrays(
+                [pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([-1 if ragged else int(lengths[0])], pa.int64()),
+                 pa.array([flat.tobytes()], pa.binary())], names=["ids", "width", "x"])
+
+
+def _pack(rows: DataFrame, size: int) -> DataFrame:
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "vector").mapInArrow(lambda batches: _packed(batches, size),
+                                                  f"ids array<{kind}>, width bigint, x binary")
+
+
 def knn(corpus: DataFrame, queries: DataFrame, n: int = vocab.POOL_SIZE,
         metric: str = "cosine", id_col: str = "chunk_id", vector: str = "embedding",
-        block: int = QUERY_BLOCK) -> DataFrame:
+        block: int = QUERY_BLOCK, part: int = PART_ROWS) -> DataFrame:
     """Exact nearest neighbours; ``score`` is the distance, smaller is nearer.
 
     ``queries`` has ``query_id`` and ``vector``; ``metric`` is cosine, l2 or
     l2_sq. Filter ``corpus`` before the call to search a part of it.
+
+    Queries and corpus are packed into rows of many vectors, the queries in numbered
+    blocks. A block meets a group of corpus parts under one key, so the grid of
+    (block, group) pairs is an ordinary join: a small query side is broadcast by the
+    optimizer and the corpus stays where it is, a large one is shuffled block by
+    block. Nothing passes through the driver, and the corpus is read once
+    for any number of queries.
     """
     if metric not in ("cosine", "l2", "l2_sq"):
         raise ValueError(f"unknown metric {metric!r}")
-    context = corpus.sparkSession.sparkContext
-    rows = corpus.select(F.col(id_col).alias("id"), vector).filter(F.col(vector).isNotNull())
-    queries = queries.select(F.col("query_id").cast("string"), vector)
-
-    def search(names, matrix):
-        shared = context.broadcast((names, matrix))
-
-        def score(batches):
-            names, q = shared.value
-            best, id_type = _Best(len(names), n), None
-            step = max(1, _CELLS // max(1, len(names)))
-            for batch in batches:
-                id_type = batch.column(0).type
-                ids = _ids(batch.column(0))
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                if len(flat) != len(ids) * q.shape[1] or (
-                        np.diff(np.asarray(batch.column(1).offsets)) != q.shape[1]).any():
-                    raise ValueError(f"vectors need {q.shape[1]} numbers, as the queries have")
-                x = flat.astype(np.float64).reshape(len(ids), -1)
+    rows = corpus.select(F.col(id_col).alias("id"), F.col(vector).alias("vector")).filter(F.col(vector).isNotNull())
+    asked = queries.select(F.col("query_id").cast("string").alias("id"), F.col(vector).alias("vector"))
+    asked = stored(_pack(asked.filter(F.col("vector").isNotNull()).coalesce(QUERY_TASKS), block)
+                   .withColumn("mark", F.monotonically_increasing_id()), "query-blocks")
+    blocks = asked.count()
+    if not blocks:
+        raise ValueError("no query vectors")
+    asked = asked.withColumn("slot", F.pmod(F.xxhash64("mark"), F.lit(blocks)).cast("int"))
+    groups = max(1, rows.sparkSession.sparkContext.defaultParallelism // blocks)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    grid = asked.select("mark", "slot", F.col("ids").alias("query_ids"), F.col("width").alias("query_width"),
+                        F.col("x").alias("q"), every(groups).alias("part"))
+    parts = (_pack(rows, part).withColumn("part", F.pmod(F.xxhash64("x"), F.lit(groups)).cast("int"))
+             .withColumn("slot", every(blocks)))
+    pairs = parts.join(grid, ["slot", "part"]).select("mark", "query_ids", "query_width", "q", "ids", "width", "x")
+
+    def score(batches):
+        best: dict[int, _Best] = {}
+        held: dict[int, tuple] = {}
+        id_type = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, width = batch.column(0)[i].as_py(), batch.column(5)[i].as_py()
+                if number not in held and len(held) == HELD_BLOCKS:  # a block that comes again starts anew
+                    for old, found in best.items():
+                        yield found.batch(held[old][0], id_type)
+                    held.clear()
+                    best.clear()
+                if number not in held:
+                    names, q_width = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+                    held[number] = names, q_width, np.frombuffer(batch.column(3)[i].as_py()).reshape(len(names), -1)
+                    best[number] = _Best(len(names), n)
+                names, q_width, q = held[number]
+                if width != q_width or width < 0:
+                    raise ValueError(f"vectors need {q_width} numbers, as the queries have")
+                values = batch.column(4)[i].values
+                ids, id_type = _ids(values), values.type
+                x = np.frombuffer(batch.column(6)[i].as_py()).reshape(len(ids), -1)
+                step = max(1, _CELLS // len(names))
                 for at in range(0, len(ids), step):
                     d = _distances(x[at:at + step], q, metric)
-                    best.offer(np.round(d, 9), d, ids[at:at + step])
-            if id_type is not None:
-                yield best.batch(names, id_type)
-
-        return rows.mapInArrow(score, _hit_schema(corpus, id_col))
-
-    hits = []
-    for part in _query_blocks(queries, block):
-        matrix = np.array([r[1] for r in part], dtype=np.float64).reshape(len(part), -1)
-        if part:
-            hits.append(search([r[0] for r in part], matrix))
-    if not hits:
-        raise ValueError("no query vectors")
-    return _ranked(_union(hits), n, id_col, "distance")
-
+                    best[number].offer(np.round(d, 9), d, ids[at:at + step])
+        for number, found in best.items():
+            yield found.batch(held[number][0], id_type)
 
-def _raw_idf(df, n_docs):
-    return F.ln(n_docs - df + 0.5) - F.ln(df + 0.5)
+    return _top(pairs.mapInArrow(score, _hit_schema(corpus, id_col)), n, id_col, "distance")
 
 
-def _term_rows(corpus: DataFrame, text: str) -> DataFrame:
-    """term, df and tf_total; partial sums keep frequent terms from piling up.
+def _hit_schema(corpus: DataFrame, id_col: str) -> str:
+    return f"query_id string, id {corpus.schema[id_col].dataType.simpleString()}, " \
+           "score double, order_key double"
 
-    In the sorted tokens of a document a term counts for df where it differs
-    from its left neighbour. The one-element array binds the sorted list.
-    """
-    def flagged(words):
-        left = F.concat(F.array(F.lit("")), F.slice(words, 1, F.size(words)))
-        return F.zip_with(words, F.slice(left, 1, F.greatest(F.size(words), F.lit(0))),
-                          lambda w, before: F.struct(
-                              w.alias("term"), (w != before).cast("bigint").alias("first")))
 
-    once = F.transform(F.array(F.sort_array(rules.tokens(text))), flagged)
-    return corpus.select(F.inline(F.element_at(once, 1))).groupBy("term").agg(
-        F.sum("first").alias("df"), F.count("*").alias("tf_total"))
+def term_stats(corpus: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Document frequency, total frequency and BM25 idf of every term."""
+    return temporary_index(corpus, id_col, text).term_stats()
 
 
-def term_stats(corpus: DataFrame, text: str = "text") -> DataFrame:
-    """Document frequency, total frequency and BM25 idf of every term.
+def bm25(corpus: DataFrame | TermIndex, queries: DataFrame, n: int = vocab.POOL_SIZE,
+         id_col: str = "chunk_id", text: str = "text") -> DataFrame:
+    """BM25 top ``n`` with positive score; statistics come from ``corpus`` as given.
 
-    A negative idf is replaced by a quarter of the vocabulary's mean idf.
+    A corpus that is searched more than once should come as its index.
     """
-    n_docs = corpus.agg(F.count("*").alias("n")).scalar()
-    raw = _term_rows(corpus, text).withColumn("raw_idf", _raw_idf(F.col("df"), n_docs))
-    mean = raw.agg(F.avg("raw_idf").alias("m")).scalar()
-    idf = F.when(F.col("raw_idf") < 0, mean * vocab.BM25_EPSILON).otherwise(F.col("raw_idf"))
-    return raw.select("term", "df", "tf_total", idf.alias("idf"))
-
-
-class _Vocabulary:
-    """Corpus counts needed to weigh the terms of a block of queries."""
-
-    def __init__(self, lines: DataFrame):
-        """``lines`` has one token line per document."""
-        self.spark = lines.sparkSession
-        words = F.filter(F.split("line", " "), lambda w: w != "")
-        row = lines.agg(F.count("*"), F.coalesce(F.avg(F.size(words)), F.lit(0.0))).first()
-        self.n_docs, self.mean_length = row[0], row[1]
-        distinct = F.explode(F.array_distinct(words)).alias("term")
-        self.terms = (lines.select(distinct).groupBy("term")
-                      .agg(F.count("*").alias("df")).persist())
-
-    def mean_idf(self) -> float:
-        raw = _raw_idf(F.col("df"), F.lit(float(self.n_docs)))
-        return self.terms.agg(F.coalesce(F.avg(raw), F.lit(0.0))).first()[0]
-
-    def frequencies(self, wanted: list[str]) -> dict[str, int]:
-        """df of the given terms only, however large the vocabulary is."""
-        names = self.spark.createDataFrame([(t,) for t in wanted], "term string")
-        return {r.term: r.df for r in self.terms.join(names, "term").collect()}
-
-
-def _bm25_weights(counts: Counter, df: dict, stats: dict) -> dict:
-    n, floor = stats["n_docs"], vocab.BM25_EPSILON * stats["mean_idf"]
-    out = {}
-    for term, times in counts.items():
-        if term in df:
-            idf = math.log(n - df[term] + 0.5) - math.log(df[term] + 0.5)
-            out[term] = times * (floor if idf < 0 else idf)
-    return out
+    index = corpus if isinstance(corpus, TermIndex) else temporary_index(corpus, id_col, text)
+    return index.bm25(queries, n, id_col)
 
 
-def _cosine_weights(counts: Counter, df: dict, stats: dict) -> dict:
-    out = {t: (1 + math.log(c)) * math.log(stats["n_docs"] / df[t])
-           for t, c in counts.items() if t in df}
-    size = math.sqrt(sum(w * w for w in out.values()))
-    return {t: w / size for t, w in out.items() if w} if size else {}
-
-
-def _bm25_document(counts: Counter, stats: dict):
-    k1, b = vocab.BM25_K1, vocab.BM25_B
-    length = sum(counts.values())
-    base = k1 * (1 - b + b * length / (stats["mean_length"] or 1.0))
-    return lambda tf: tf * (k1 + 1) / (tf + base)
-
-
-def _cosine_document(counts: Counter, stats: dict):
-    size = math.sqrt(sum((1 + math.log(c)) ** 2 for c in counts.values())) or 1.0
-    return lambda tf: (1 + math.log(tf)) / size
-
-
-_MODELS = {"bm25": (_bm25_weights, _bm25_document, "bm25"),
-           "cosine": (_cosine_weights, _cosine_document, "tfidf")}
-
-
-def _postings(weights: list[dict]):
-    """Per term, the queries that use it: an index and two flat arrays."""
-    index: dict[str, int] = {}
-    lists: list[list] = []
-    for q, terms in enumerate(weights):
-        for term, w in terms.items():
-            at = index.setdefault(term, len(lists))
-            if at == len(lists):
-                lists.append([])
-            lists[at].append((q, w))
-    start = np.cumsum([0] + [len(x) for x in lists])
-    flat = [p for x in lists for p in x]
-    return (index, start, np.array([p[0] for p in flat], dtype=np.int64),
-            np.array([p[1] for p in flat], dtype=np.float64))
-
-
-def _sparse_scores(lines: list[str], postings, n_queries: int, document, stats) -> np.ndarray:
-    index, start, query, weight = postings
-    doc, term, value = [], [], []
-    for d, line in enumerate(lines):
-        counts = Counter(line.split())
-        weigh = document(counts, stats)
-        for word, tf in counts.items():
-            at = index.get(word)
-            if at is not None:
-                doc.append(d)
-                term.append(at)
-                value.append(weigh(tf))
-    doc, term = np.array(doc, dtype=np.int64), np.array(term, dtype=np.int64)
-    fan = start[term + 1] - start[term]
-    first = np.repeat(start[term] - np.concatenate([[0], np.cumsum(fan)[:-1]]), fan) \
-        if len(term) else np.empty(0, dtype=np.int64)
-    pick = first + np.arange(fan.sum())
-    cell = np.repeat(doc, fan) * n_queries + query[pick]
-    part = np.repeat(np.array(value, dtype=np.float64), fan) * weight[pick]
-    return np.bincount(cell, part, len(lines) * n_queries).reshape(len(lines), n_queries)
-
-
-def _sparse_search(corpus: DataFrame, queries: DataFrame, n: int, model: str,
-                   id_col: str, text: str, block: int) -> DataFrame:
-    weigh_query, document, score_type = _MODELS[model]
-    context = corpus.sparkSession.sparkContext
-    rows = corpus.select(
-        F.col(id_col).alias("id"), F.coalesce(rules.token_line(text), F.lit("")).alias("line"))
-    words = _Vocabulary(rows)
-    stats = {"n_docs": words.n_docs, "mean_length": words.mean_length,
-             "mean_idf": words.mean_idf() if model == "bm25" else 0.0}
-    queries = queries.select(F.col("query_id").cast("string"),
-                             rules.token_line("text").alias("line"))
-
-    def search(names, postings):
-        shared = context.broadcast((names, postings))
-
-        def score(batches):
-            names, postings = shared.value
-            best, id_type = _Best(len(names), n), None
-            step = max(1, _CELLS // len(names))
-            for batch in batches:
-                id_type = batch.column(0).type
-                ids, lines = _ids(batch.column(0)), batch.column(1).to_pylist()
-                for at in range(0, len(ids), step):
-                    s = _sparse_scores([x or "" for x in lines[at:at + step]], postings,
-                                       len(names), document, stats)
-                    key = np.where(s > 0, -np.round(s, 9), np.nan)
-                    best.offer(key, s, ids[at:at + step])
-            if id_type is not None:
-                yield best.batch(names, id_type)
-
-        return rows.mapInArrow(score, _hit_schema(corpus, id_col))
-
-    hits = []
-    for part in _query_blocks(queries, block):
-        counts = [Counter((r[1] or "").split()) for r in part]
-        df = words.frequencies(sorted({t for c in counts for t in c}))
-        if part:
-            hits.append(search([r[0] for r in part],
-                               _postings([weigh_query(c, df, stats) for c in counts])))
-    words.terms.unpersist()
-    if not hits:
-        raise ValueError("no queries")
-    return _ranked(_union(hits), n, id_col, score_type)
-
-
-def bm25(corpus: DataFrame, queries: DataFrame, n: int = vocab.POOL_SIZE,
-         id_col: str = "chunk_id", text: str = "text", block: int = QUERY_BLOCK) -> DataFrame:
-    """BM25 top ``n`` with positive score; statistics come from ``corpus`` as given."""
-    return _sparse_search(corpus, queries, n, "bm25", id_col, text, block)
-
-
-def tfidf_cosine(corpus: DataFrame, queries: DataFrame, n: int = vocab.POOL_SIZE,
-                 id_col: str = "chunk_id", text: str = "text",
-                 block: int = QUERY_BLOCK) -> DataFrame:
+def tfidf_cosine(corpus: DataFrame | TermIndex, queries: DataFrame, n: int = vocab.POOL_SIZE,
+                 id_col: str = "chunk_id", text: str = "text") -> DataFrame:
     """Sparse cosine: log-tf documents, log-tf times idf queries, both unit length."""
-    return _sparse_search(corpus, queries, n, "cosine", id_col, text, block)
+    index = corpus if isinstance(corpus, TermIndex) else temporary_index(corpus, id_col, text)
+    return index.tfidf_cosine(queries, n, id_col)

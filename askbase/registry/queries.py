@@ -11,6 +11,7 @@ from ..operators import (answers, chunks as ch, evaluation as ev, fusion, layout
 from ..plans import answering, experiment
 from ..plans.ingest import ingest
 from ..sources import cells as cl, configs as cf, corpus as store, files as fl
+from ..sources.terms import TermIndex, temporary_index
 from ..streaming import ingest as stream
 from . import fixtures as fx
 
@@ -43,6 +44,8 @@ def _chunks(spark, sf):
 
 
 _STORED: dict[tuple, str] = {}
+#: The role of the chunks that are searched, by strategy.
+_ASKED = {"separated": "question", "combined": None}
 
 
 def _library(spark, sf) -> str:
@@ -63,6 +66,23 @@ def _corpus(spark, sf, strategy="separated", role=None):
     return store.CorpusStore(spark, _library(spark, sf)).read(strategy, role)
 
 
+def _index(spark, sf, strategy="separated", role="question"):
+    """The store's inverted index of these chunks."""
+    return store.CorpusStore(spark, _library(spark, sf)).term_index(strategy, role)
+
+
+def _doc_index(spark, sf):
+    """The inverted index of all documents, built once per session.
+
+    The table is one file of one row group here, so it is dealt out first.
+    """
+    key = (spark.sparkContext.applicationId, sf, "documents")
+    if key not in _STORED:
+        docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+        _STORED[key] = temporary_index(docs.repartition(spark.sparkContext.defaultParallelism), "doc_id").path
+    return TermIndex(spark, _STORED[key])
+
+
 def _questions(spark, sf):
     return spark.read.parquet(f"{_library(spark, sf)}/questions")
 
@@ -415,24 +435,23 @@ def _benchmark(spark, sf):
 
 @query
 def bm25_topk(spark, sf):
-    docs = fx.table(spark, sf, "documents")
-    return _hits(ranking.bm25(docs, _benchmark(spark, sf), id_col="doc_id"), "doc_id")
+    return _hits(ranking.bm25(_doc_index(spark, sf), _benchmark(spark, sf), id_col="doc_id"), "doc_id")
 
 
 @query
 def bm25_term_stats(spark, sf):
-    found = ranking.term_stats(fx.table(spark, sf, "documents"))
+    found = _doc_index(spark, sf).term_stats()
     return found.withColumn("idf", F.round("idf", 6))
 
 
 @query
 def tfidf_cosine(spark, sf):
-    docs = fx.table(spark, sf, "documents")
-    return _hits(ranking.tfidf_cosine(docs, _benchmark(spark, sf), id_col="doc_id"), "doc_id")
+    return _hits(ranking.tfidf_cosine(_doc_index(spark, sf), _benchmark(spark, sf), id_col="doc_id"), "doc_id")
 
 
 def _hybrid(spark, sf):
-    return answering.retrieve(_corpus(spark, sf, role="question"), _questions(spark, sf), "hybrid")
+    return answering.retrieve(_corpus(spark, sf, role="question"), _questions(spark, sf), "hybrid",
+                              index=_index(spark, sf))
 
 
 @query
@@ -443,7 +462,7 @@ def rrf_hybrid(spark, sf):
 def _bm25_pairs(spark, sf):
     """BM25 pools over question chunks, with the text of both sides."""
     corpus, questions = _corpus(spark, sf, role="question"), _questions(spark, sf)
-    pool = stored(ranking.bm25(corpus, questions), "pool")
+    pool = stored(ranking.bm25(_index(spark, sf), questions), "pool")
     bound = _questions_bound(questions) * vocab.POOL_SIZE
     return answers.with_text(pool, corpus, bound).join(
         questions.select("query_id", F.col("text").alias("query_text")), "query_id")
@@ -451,8 +470,7 @@ def _bm25_pairs(spark, sf):
 
 @query
 def rerank_none(spark, sf):
-    docs = fx.table(spark, sf, "documents")
-    hits = ranking.bm25(docs, _benchmark(spark, sf), id_col="doc_id")
+    hits = ranking.bm25(_doc_index(spark, sf), _benchmark(spark, sf), id_col="doc_id")
     return _hits(fusion.rerank_none(hits), "doc_id")
 
 
@@ -469,8 +487,7 @@ def rerank_permutation(spark, sf):
 
 @query
 def score_gap(spark, sf):
-    docs = fx.table(spark, sf, "documents")
-    gaps = fusion.score_gap(ranking.bm25(docs, _benchmark(spark, sf), id_col="doc_id"))
+    gaps = fusion.score_gap(ranking.bm25(_doc_index(spark, sf), _benchmark(spark, sf), id_col="doc_id"))
     return gaps.withColumns({c: F.round(c, 6) for c in ("top_score", "second_score", "gap")})
 
 
@@ -631,7 +648,8 @@ def eval_matrix(spark, sf):
     chunks = _corpus(spark, sf, None)
     bound = _questions_bound(questions) * vocab.POOL_SIZE * 36
     rows = experiment.run_matrix(
-        chunks, questions, _fx(spark, sf, "fx_rankings"), experiment.pools(chunks, questions),
+        chunks, questions, _fx(spark, sf, "fx_rankings"),
+        experiment.pools(chunks, questions, index=lambda s: _index(spark, sf, s, _ASKED[s])),
         ev.config_matrix(spark), hits_bound=bound)
     judged = ev.with_judge(rows, _fx(spark, sf, "fx_question_judge"))
     return ev.aggregate_configs(judged).withColumns({c: F.round(c, 6) for c in RATES})

@@ -4,9 +4,12 @@ Distance is chosen when searching, so two stored strategies serve four logical
 collections.
 """
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text, vocab
+from .terms import TermIndex, build_index
 
 CHUNKS = ("chunk_id string, text string, metadata map<string,string>, pair_id string, "
           "role string, chunk_index bigint, embedding array<float>, "
@@ -67,6 +70,7 @@ class CorpusStore:
         self.spark = spark
         self.chunks_path = f"{root}/chunks"
         self.checkpoint_path = f"{root}/checkpoint"
+        self.index_path = f"{root}/terms"
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -106,6 +110,30 @@ class CorpusStore:
          .option("partitionOverwriteMode", "dynamic")
          .partitionBy("strategy", "source_file").parquet(self.chunks_path))
 
+    def version(self) -> str:
+        """Changes with the stored chunks: their files' names, sizes and times."""
+        if not self._exists(self.chunks_path):
+            return "empty"
+        path = self._path(self.chunks_path)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        mark = hashlib.sha256()
+        names = []
+        while files.hasNext():
+            f = files.next()
+            names.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        for name in sorted(names):
+            mark.update(name.encode())
+        return mark.hexdigest()[:16]
+
+    def term_index(self, strategy: str, role: str | None = None) -> TermIndex:
+        """The inverted index of these chunks, built once for each version of the store."""
+        path = f"{self.index_path}/{strategy}-{role or 'all'}-{self.version()}"
+        if self._exists(f"{path}/postings/_SUCCESS"):  # written last
+            return TermIndex(self.spark, path)
+        if self._exists(path):  # a build that did not end
+            self._remove(self._path(path))
+        return build_index(self.read(strategy, role), path)
+
     def checkpoint(self) -> DataFrame:
         if not self._exists(self.checkpoint_path):
             return self.spark.createDataFrame([], CHECKPOINT)
@@ -138,6 +166,6 @@ class CorpusStore:
         return counts
 
     def reset(self) -> None:
-        for path in (self.chunks_path, self.checkpoint_path):
+        for path in (self.chunks_path, self.checkpoint_path, self.index_path):
             if self._exists(path):
                 self._remove(self._path(path))

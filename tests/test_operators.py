@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from askbase.functions import payloads, text, vocab
 from askbase.operators import answers, chunks, evaluation, fusion, layout, ordered, ranking, rows
-from askbase.sources import cells, configs, corpus, files
+from askbase.sources import cells, configs, corpus, files, terms
 from askbase.sources.corpus import CorpusStore
 from askbase.plans.ingest import ingest
 
@@ -174,12 +174,13 @@ def made_docs(n, seed):
     return [(f"d{i:03}", " ".join(rng.choices(vocabulary, k=rng.randint(0, 25)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_bm25_equals_brute_force(spark, block):
+@pytest.mark.parametrize("how, sent", [({}, 1000), ({"salts": 3, "heavy_share": 0.0, "buckets": 2}, 1000),
+                                       ({"salts": 4, "heavy_share": 0.03}, 0)])
+def test_bm25_equals_brute_force(spark, how, sent):
     docs = made_docs(80, 1) + [(f"copy{i}", "w1 w2 the") for i in range(40)]
     asked = [("q1", "W1 w2 the the"), ("q2", "w9 unknown"), ("q3", "zzz"), ("q4", "the"), ("q5", "w3-w4")]
-    got = ranking.bm25(spark.createDataFrame(docs, "chunk_id string, text string").repartition(5),
-                       spark.createDataFrame(asked, "query_id string, text string"), 7, block=block)
+    index = terms.temporary_index(spark.createDataFrame(docs, "chunk_id string, text string").repartition(5), **how)
+    got = index.bm25(spark.createDataFrame(asked, "query_id string, text string"), 7, sent=sent)
     found = {}
     for r in got.orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((r.chunk_id, round(r.score, 6)))
@@ -188,8 +189,8 @@ def test_bm25_equals_brute_force(spark, block):
         assert found.get(q, []) == want
 
 
-@pytest.mark.parametrize("metric", ["cosine", "l2", "l2_sq"])
-def test_knn_equals_brute_force_with_ties(spark, metric):
+@pytest.mark.parametrize("metric, how", [("cosine", {}), ("l2", {}), ("l2_sq", {"block": 1, "part": 7})])
+def test_knn_equals_brute_force_with_ties(spark, metric, how):
     rng = random.Random(3)
     data = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
     data += [(100 + i, [1.0, 0.0, 0.0, 0.0]) for i in range(30)] + [(200, [0.0] * 4)]
@@ -203,13 +204,57 @@ def test_knn_equals_brute_force_with_ties(spark, metric):
         return 1 - (sum(p * q for p, q in zip(x, y)) / size if size else 0)
 
     got = ranking.knn(spark.createDataFrame(data, "chunk_id long, embedding array<double>").repartition(4),
-                      spark.createDataFrame(asked, "query_id string, embedding array<double>"), 9, metric)
+                      spark.createDataFrame(asked, "query_id string, embedding array<double>"), 9, metric, **how)
     for q, v in asked:
         want = sorted(((round(distance(x, v), 9), i) for i, x in data))[:9]
         mine = [r.chunk_id for r in got.filter(F.col("query_id") == q).orderBy("rank").collect()]
         assert mine == [i for _, i in want]
 
 
+def test_many_queries_meet_the_whole_corpus(spark):
+    """More queries than a block holds; the corpus is scanned once and nothing is collected on the way."""
+    rng = random.Random(9)
+    data = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(200)]
+    asked = [(f"q{i}", [rng.gauss(0, 1) for _ in range(3)]) for i in range(1500)]
+    corpus = spark.createDataFrame(data, "chunk_id long, embedding array<double>").repartition(3)
+    got = ranking.knn(corpus, spark.createDataFrame(asked, "query_id string, embedding array<double>").repartition(20),
+                      2, "l2", block=64)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the packed corpus once, and the scores
+    best = {(r.query_id, r.rank): r.chunk_id for r in got.collect()}
+    assert len(best) == 3000
+    for q, v in asked[::50]:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(x, v)), i) for i, x in data)
+        assert [best[q, 1], best[q, 2]] == [near[0][1], near[1][1]]
+    words = [(f"d{i}", f"w{i % 300} w{i % 7} the") for i in range(900)]
+    index = terms.temporary_index(spark.createDataFrame(words, "chunk_id string, text string"))
+    found = index.bm25(spark.createDataFrame([(f"q{i}", f"w{i % 300}") for i in range(1500)], "query_id string, text string"), 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "regexp" not in plan
+    top = {r.query_id: int(r.chunk_id[1:]) for r in found.collect()}
+    assert len(top) == 1500 and all(top[f"q{i}"] % 300 == i % 300 or i % 300 < 7 for i in range(1500))
+
+
+def test_index_follows_the_store(spark, tmp_path):
+    """One index for a version of the store; a change of the chunks makes the next one."""
+    place = CorpusStore(spark, f"file://{tmp_path}/lib")
+    chunk = "chunk_id string, text string, metadata map<string,string>, pair_id string, role string, " \
+            "chunk_index long, strategy string, source_file string"
+    row = lambda i, f: (f"c{i}", f"word{i} common", {}, "p", "question", i, "separated", f)
+    place.write(spark.createDataFrame([row(1, "a"), row(2, "a")], chunk))
+    first = place.term_index("separated", "question")
+    assert place.term_index("separated", "question").path == first.path
+    assert {r.term: r.df for r in first.term_stats().collect()} == {"word1": 1, "word2": 1, "common": 2}
+    place.write(spark.createDataFrame([row(3, "b")], chunk))
+    second = place.term_index("separated", "question")
+    assert second.path != first.path and second.totals.n_docs == 3
+    assert place.term_index("separated", "answer").term_stats().count() == 0
+    asked = spark.createDataFrame([("q", "common")], "query_id string, text string")
+    assert place.term_index("separated", "answer").bm25(asked).count() == 0
+    place.reset()
+    assert place.term_index("separated").totals.n_docs == 0
+
+
 def hits(spark, items):
     return spark.createDataFrame(items, "query_id string, chunk_id string, rank long")
 
