@@ -39,8 +39,10 @@ def rerank_none(hits: DataFrame, k: int = vocab.TOP_K) -> DataFrame:
 
 
 def _jaccard(a: Column, b: Column) -> Column:
-    either = F.size(F.array_union(a, b))
-    return F.when(either == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """Of arrays without repeats."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - both
+    return F.when(either == 0, 0.0).otherwise(both / either)
 
 
 def _bigrams(words: Column) -> Column:
@@ -49,18 +51,21 @@ def _bigrams(words: Column) -> Column:
                                        lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def lexical_overlap(query, candidate) -> Column:
-    """Jaccard of tokens plus half the Jaccard of bigrams.
+def lexical_parts(c) -> Column:
+    """The distinct words and bigrams of a text: what the overlap of many pairs needs of each text once."""
+    return F.transform(F.array(text.tokens(c)), lambda words: F.struct(
+        F.array_distinct(words).alias("words"), _bigrams(words).alias("bigrams")))[0]
 
-    A deterministic stand-in for a neural pair scorer. The one-element array
-    binds the token lists, so that each text is tokenised once.
-    """
-    def score(p: Column) -> Column:
-        return _jaccard(F.array_distinct(p.q), F.array_distinct(p.c)) + 0.5 * _jaccard(
-            _bigrams(p.q), _bigrams(p.c))
 
-    both = F.struct(text.tokens(query).alias("q"), text.tokens(candidate).alias("c"))
-    return F.element_at(F.transform(F.array(both), score), 1)
+def parts_overlap(a: Column, b: Column) -> Column:
+    """Jaccard of tokens plus half the Jaccard of bigrams, a deterministic stand-in for a neural pair scorer."""
+    return _jaccard(a["words"], b["words"]) + 0.5 * _jaccard(a["bigrams"], b["bigrams"])
+
+
+def lexical_overlap(query, candidate) -> Column:
+    """The overlap of two texts. The one-element array binds their parts, so that each text is tokenised once."""
+    both = F.struct(lexical_parts(query).alias("q"), lexical_parts(candidate).alias("c"))
+    return F.transform(F.array(both), lambda p: parts_overlap(p["q"], p["c"]))[0]
 
 
 def rescore(pairs: DataFrame, score_fn: Callable | None = None, k: int | None = vocab.TOP_K,

@@ -165,11 +165,9 @@ WITH l AS (SELECT source_file, sheet, min((row_no, col_no, value, col_letter)) A
     FROM o_cells WHERE row_no <= 50 AND {asks('value')} AND {words('value')} >= 5 GROUP BY 1, 2)
 SELECT s.source_file, s.sheet,
   CAST(coalesce(l.x[1], greatest(q.x[1] - 1, 1), 1) AS BIGINT) AS header_row,
-  CASE WHEN l.x IS NOT NULL THEN 'row ' || l.x[1] || ' contains header label ''' || l.x[3]
-      || ''' in col ' || l.x[4]
-    WHEN q.x IS NOT NULL THEN 'no header label found; first long ''?'' question at row ' || q.x[1]
-      || ' (col ' || q.x[4] || ', ' || q.x[3] || ' words); header_row = ' || greatest(q.x[1] - 1, 1)
-    ELSE 'no header signal in first 50 rows — default to header_row=1' END AS reason
+  CASE WHEN l.x IS NOT NULL THEN 'label: ' || l.x[4] || l.x[1] || ' ' || l.x[3]
+    WHEN q.x IS NOT NULL THEN 'above question: ' || q.x[4] || q.x[1] || ' of ' || q.x[3] || ' words'
+    ELSE 'first row' END AS reason
 FROM o_sheets s LEFT JOIN l USING (source_file, sheet) LEFT JOIN q USING (source_file, sheet)""",
     "o_profile": f"""
 SELECT c.source_file, c.sheet, c.col_no, c.col_letter,
@@ -194,16 +192,12 @@ SELECT *, CASE WHEN h IN ({texts(vocab.QUESTION_HEADERS)}) THEN 'question'
     WHEN pct_non_empty < 0.1 THEN 'ignore'
     WHEN avg_words <= 3 AND share < 0.3 THEN 'metadata'
     WHEN q_rate > 0.5 THEN 'question' WHEN avg_words >= 30 THEN 'answer' ELSE 'context' END AS role,
-  CASE WHEN h IN ({texts(vocab.QUESTION_HEADERS)}) THEN 'header ''' || header || ''' matches question pattern'
-    WHEN h IN ({texts(vocab.ANSWER_HEADERS)}) THEN 'header ''' || header || ''' matches answer pattern'
-    WHEN h IN ({texts(vocab.CONTEXT_HEADERS)}) THEN 'header ''' || header || ''' matches context pattern'
-    WHEN m IS NOT NULL THEN 'header ''' || header || ''' matches metadata pattern'
-    WHEN pct_non_empty < 0.1 THEN {pct('pct_non_empty')} || ' non-empty (below 10% threshold)'
-    WHEN avg_words <= 3 AND share < 0.3 THEN 'avg ' || w || ' words, cardinality ' || cardinality
-      || '/' || non_empty || ' = ' || {pct('share')} || ' (categorical)'
-    WHEN q_rate > 0.5 THEN {pct('q_rate')} || ' of values end with ''?'''
-    WHEN avg_words >= 30 THEN 'avg ' || w || ' words (long prose)'
-    ELSE 'avg ' || w || ' words, no decisive signal' END AS reason
+  CASE WHEN h IN ({texts(vocab.QUESTION_HEADERS + vocab.ANSWER_HEADERS + vocab.CONTEXT_HEADERS)}) OR m IS NOT NULL
+      THEN 'header: ' || header
+    WHEN pct_non_empty < 0.1 THEN 'sparse: ' || {pct('pct_non_empty')}
+    WHEN avg_words <= 3 AND share < 0.3 THEN 'few values: ' || cardinality || ' in ' || non_empty || ' by ' || w
+    WHEN q_rate > 0.5 THEN 'asks: ' || {pct('q_rate')}
+    WHEN avg_words >= 30 THEN 'long: ' || w ELSE 'open: ' || w END AS reason
 FROM (SELECT *, {strip('lower(header)')} AS h, CASE {strip('lower(header)')} {_META_LABELS} END AS m,
   cardinality / CAST(nullif(non_empty, 0) AS DOUBLE) AS share,
   CAST(round_even(avg_words, 1) AS VARCHAR) AS w FROM o_profile)""",
@@ -212,7 +206,7 @@ SELECT r.source_file, r.sheet,
   coalesce(first(col_letter ORDER BY q_rate DESC, col_no) FILTER (role = 'question'),
     CASE WHEN bool_or(col_letter = 'B') THEN 'B' END) AS col_letter,
   CASE count(*) FILTER (role = 'question') WHEN 1 THEN 'heuristic'
-    WHEN 0 THEN 'mapping' ELSE 'heuristic (tie-broken on q_mark_rate)' END AS method
+    WHEN 0 THEN 'mapping' ELSE 'heuristic, most asked' END AS method
 FROM o_roles r GROUP BY 1, 2""",
     "o_bad_mapping": "SELECT source_file, upper(trim(col_letter)) AS col_letter, lower(trim(role)) AS role FROM fx_mapping_bad",
     "o_bench": "SELECT 'b' || item_id AS query_id, text FROM benchmark",
@@ -483,8 +477,7 @@ FROM (SELECT f.source_file, f.sheet, coalesce(s.max_row, 0) AS max_row, CASE fil
     "sheet_scores": """SELECT source_file, sheet, q_marks, max_row,
   max(max_row) OVER (PARTITION BY source_file) AS detected_rows FROM o_sheets""",
     "sheet_pick": """
-SELECT source_file, sheet, q_marks, max_row, CASE WHEN q_marks > 0 THEN 'highest question-mark count ('
-  || q_marks || ' cells ending ''?'')' ELSE 'no ''?''-ending cells in any sheet — picked largest by rows' END AS reason
+SELECT source_file, sheet, q_marks, max_row, CASE WHEN q_marks > 0 THEN 'asks: ' || q_marks ELSE 'most rows' END AS reason
 FROM o_sheets QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY q_marks DESC, max_row DESC, sheet_no) = 1""",
     "header_row": "SELECT * FROM o_headers",
     "column_profile": """SELECT source_file, sheet, col_no, col_letter, header, non_empty, cardinality, n_data_rows,
@@ -517,21 +510,15 @@ WITH roles AS (SELECT source_file, role, count(*) AS n FROM o_bad_mapping GROUP
   wanted AS (SELECT f.source_file, f.role, coalesce(r.n, 0) AS n FROM (SELECT * FROM fx_files,
     (VALUES ('question'), ('answer'), ('context')) v(role)) f LEFT JOIN roles r
     ON r.source_file = f.source_file AND r.role = f.role)
-SELECT source_file, 'Mapping is missing roles for columns: [' || string_agg('''' || col_letter || '''', ', '
-  ORDER BY col_letter) || ']' AS issue FROM (SELECT source_file, col_letter FROM fx_mapping
-  EXCEPT SELECT source_file, col_letter FROM o_bad_mapping) GROUP BY 1
-UNION ALL SELECT source_file, 'Mapping references unknown columns: [' || string_agg('''' || col_letter || '''', ', '
-  ORDER BY col_letter) || ']' FROM (SELECT source_file, col_letter FROM o_bad_mapping
-  EXCEPT SELECT source_file, col_letter FROM fx_mapping) GROUP BY 1
-UNION ALL SELECT source_file, 'Column ' || col_letter || ': role ''' || role || ''' is not a valid snake_case name '
-  || '(must be lowercase, start with letter, [a-z0-9_]).' FROM o_bad_mapping
+SELECT source_file, 'no role: ' || string_agg(col_letter, ' ' ORDER BY col_letter) AS issue
+FROM (SELECT source_file, col_letter FROM fx_mapping EXCEPT SELECT source_file, col_letter FROM o_bad_mapping) GROUP BY 1
+UNION ALL SELECT source_file, 'no such column: ' || string_agg(col_letter, ' ' ORDER BY col_letter)
+FROM (SELECT source_file, col_letter FROM o_bad_mapping EXCEPT SELECT source_file, col_letter FROM fx_mapping) GROUP BY 1
+UNION ALL SELECT source_file, 'role name: ' || col_letter || ' ' || role FROM o_bad_mapping
   WHERE NOT regexp_matches(role, '^[a-z][a-z0-9_]*$')
-UNION ALL SELECT source_file, 'Expected exactly 1 ''' || role || ''' column, got ' || n || '.' FROM wanted
-  WHERE role <> 'context' AND n <> 1
-UNION ALL SELECT source_file, 'Expected 0 or 1 ''context'' column, got ' || n || '.' FROM wanted
-  WHERE role = 'context' AND n > 1
-UNION ALL SELECT source_file, 'Metadata role ''' || role || ''' is assigned to ' || n
-  || ' columns; each metadata field must map to exactly one column.' FROM roles
+UNION ALL SELECT source_file, role || ' columns: ' || n || ' not 1' FROM wanted WHERE role <> 'context' AND n <> 1
+UNION ALL SELECT source_file, 'context columns: ' || n || ' not 0-1' FROM wanted WHERE role = 'context' AND n > 1
+UNION ALL SELECT source_file, 'repeated role: ' || role || ' ' || n FROM roles
   WHERE n > 1 AND role NOT IN ('question', 'answer', 'context', 'ignore')""",
     "mapping_rows": """
 SELECT m.source_file, 'single' AS kind, col_letter AS start_letter, col_letter AS end_letter,

@@ -72,14 +72,10 @@ def _index(spark, sf, strategy="separated", role="question"):
 
 
 def _doc_index(spark, sf):
-    """The inverted index of all documents, built once per session.
-
-    The table is one file of one row group here, so it is dealt out first.
-    """
+    """The inverted index of all documents, built once per session."""
     key = (spark.sparkContext.applicationId, sf, "documents")
     if key not in _STORED:
-        docs = fx.table(spark, sf, "documents").select("doc_id", "text")
-        _STORED[key] = temporary_index(docs.repartition(spark.sparkContext.defaultParallelism), "doc_id").path
+        _STORED[key] = temporary_index(fx.table(spark, sf, "documents"), "doc_id").path
     return TermIndex(spark, _STORED[key])
 
 

@@ -19,20 +19,6 @@ HEAVY_SHARE = 0.001
 SENT_WEIGHTS = 500_000
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
-def _counted(tokens: Column) -> Column:
-    """(term, tf) of a text's tokens: where the sorted tokens change, a term begins."""
-    def runs(words: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.get(words, i).eqNullSafe(F.get(words, i - 1)))
-        return _let(starts, lambda at: F.transform(at, lambda i, k: F.struct(
-            F.get(words, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(words)) - i).cast("bigint").alias("tf"))))
-
-    return _let(F.sort_array(tokens), runs)
-
-
 def _raw_idf(df, n_docs) -> Column:
     return F.ln(n_docs - df + 0.5) - F.ln(df + 0.5)
 
@@ -42,10 +28,13 @@ def build_index(corpus: DataFrame, path: str, id_col: str = "chunk_id", text: st
     """Write the index of ``corpus`` (one row per id) under ``path`` and open it."""
     spark = corpus.sparkSession
     n_docs = corpus.count()
-    texts = corpus.select(F.col(id_col).alias("id"), rules.tokens(text).alias("tokens")).where(F.size("tokens") > 0)
-    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.pow(1 + F.ln(t["tf"]), 2)))
-    raw = stored(texts.select("id", F.size("tokens").cast("bigint").alias("dl"), _counted(F.col("tokens")).alias("terms"))
-                 .select("id", "dl", norm.alias("norm"), F.inline("terms")), "postings")
+    # dealt by id once: counting a text's terms and its norm need no further shuffle
+    texts = corpus.select(F.col(id_col).alias("id"), F.col(text).alias("text")).repartition("id")
+    words = texts.select("id", rules.tokens("text").alias("tokens")).select(
+        "id", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("term"))
+    norm = F.sqrt(F.sum(F.pow(1 + F.ln("tf"), 2)).over(Window.partitionBy("id")))
+    raw = stored(words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+                 .select("id", "dl", norm.alias("norm"), "term", "tf"), "postings")
     terms = stored(raw.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf_total")), "terms")
     mean = F.avg(_raw_idf(F.col("df"), F.lit(float(n_docs))))
     totals = terms.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"),
