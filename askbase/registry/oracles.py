@@ -745,6 +745,18 @@ SELECT b.doc_id, b.table_row, b.n AS para_no, coalesce(d.date, '') AS date
 FROM b LEFT JOIN d ON d.doc_id = b.doc_id AND d.table_row = b.table_row AND d.i = b.i""",
     "stream_ingest": f"""SELECT 'conv_' || conv_id || '_row_' || turn || '__' || role AS chunk_id, text, role
 FROM conversations WHERE role <> 'system' AND {strip('text')} <> ''""",
+    "stream_ingest_chunks": f"SELECT {_CHUNK} FROM o_kept",
+    "stream_ingest_checkpoint": """
+SELECT c.collection, r.source_file, r.n AS rows, coalesce(k.n, 0) AS chunks_embedded
+FROM (SELECT source_file, count(*) AS n FROM o_rows GROUP BY 1) r, o_collections c
+LEFT JOIN (SELECT strategy, source_file, count(*) AS n FROM o_kept GROUP BY 1, 2) k
+  ON k.strategy = c.strategy AND k.source_file = r.source_file""",
+    "stream_sessions": """
+WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events),
+  s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 21600000000 THEN 0 ELSE 1 END AS begins FROM e),
+  g AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM s),
+  w AS (SELECT user_id AS session_id, min(t) AS started, max(t) + 21600000000 AS ended, count(*) AS n_events FROM g GROUP BY user_id, k)
+SELECT * FROM w WHERE ended <= (SELECT max(t) FROM e)""",
     "stream_progress": """
 SELECT user_id AS run_id, event_id % 4 AS collection, arg_max(event_type, event_id) AS type,
   arg_max(event_id % 40 + 1, event_id) AS batch, max(event_id) AS seq, count(*) AS n_events FROM events GROUP BY 1, 2""",

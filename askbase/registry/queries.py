@@ -850,6 +850,47 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{root}/chunks").select("chunk_id", "text", "role")
 
 
+def _sheet_stream(spark, sf) -> store.CorpusStore:
+    """Half of the source files arrive, the stream stops; the others arrive, and some again; it goes on."""
+    key = (spark.sparkContext.applicationId, sf, "sheets")
+    if key not in _STORED:
+        root = shared_dir(spark, "sheet-stream")
+        wide = _fx(spark, sf, "fx_wide")
+        half = F.pmod(F.xxhash64("source_file"), F.lit(2))
+        for k in range(3):  # the third delivery repeats the first
+            part = wide.where(half == k % 2).repartition("source_file")
+            part.write.mode("append").parquet(f"{root}/inbox")
+            arriving = spark.readStream.schema(wide.schema).parquet(f"{root}/inbox")
+            stream.ingest_stream(store.CorpusStore(spark, f"{root}/store"), arriving, _configs(spark, sf),
+                                 f"{root}/state")
+        _STORED[key] = f"{root}/store"
+    return store.CorpusStore(spark, _STORED[key])
+
+
+@query
+def stream_ingest_chunks(spark, sf):
+    return _chunk_columns(_sheet_stream(spark, sf).read())
+
+
+@query
+def stream_ingest_checkpoint(spark, sf):
+    return _sheet_stream(spark, sf).checkpoint()
+
+
+@query
+def stream_sessions(spark, sf):
+    """Sessions that have ended, each written once."""
+    root = shared_dir(spark, "stream-sessions")
+    events = _stream(spark, sf, "events").select(F.col("user_id").alias("session_id"),
+                                                 F.col("ts").cast("timestamp").alias("ts"))
+    for _ in range(2):  # a second run finds nothing new
+        stream.session_stream(events, f"{root}/closed", f"{root}/state", "6 hours")
+    closed = spark.read.schema("session_id long, started timestamp, ended timestamp, n_events long").parquet(
+        f"{root}/closed")
+    return closed.select("session_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"),
+                         "n_events")
+
+
 @query
 def stream_answer(spark, sf):
     root = shared_dir(spark, "stream-answer")
@@ -868,7 +909,7 @@ def stream_progress(spark, sf):
     events = _stream(spark, sf, "events").select(
         F.col("user_id").alias("run_id"), (F.col("event_id") % 4).alias("collection"),
         F.col("event_type").alias("type"), (F.col("event_id") % 40 + 1).alias("batch"),
-        F.col("event_id").alias("seq"))
+        F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
     stream.progress_stream(events, f"{root}/latest", f"{root}/state")
     return stream.read_progress(spark, f"{root}/latest")
 

@@ -14,6 +14,7 @@ from askbase.operators import answers, chunks, evaluation, fusion, layout, order
 from askbase.sources import cells, configs, corpus, files, terms
 from askbase.sources.corpus import CorpusStore
 from askbase.plans.ingest import ingest
+from askbase.streaming import ingest as streaming
 
 
 def one(spark, value, expr, type_="string"):
@@ -255,6 +256,27 @@ def test_index_follows_the_store(spark, tmp_path):
     assert place.term_index("separated").totals.n_docs == 0
 
 
+def test_progress_state_does_not_grow(spark, tmp_path):
+    """Runs that end leave the state; one that goes on later is counted on."""
+    events = [(run, run % 2, "step", i, 100 * run + i, run * 3600 * 10 + i) for run in range(12) for i in range(5)]
+    events.append((0, 0, "late", 99, 5000, 11 * 36000 + 50))
+    rows = spark.createDataFrame(events, "run_id long, collection long, type string, batch long, seq long, s long").select(
+        "run_id", "collection", "type", "batch", "seq", F.timestamp_seconds(F.col("s") + 36_000_000).alias("ts"))
+    for run in range(12):
+        part = rows.where(F.floor(F.unix_seconds("ts") / 36000) == 1000 + run).coalesce(1)
+        part.write.mode("append").parquet(f"{tmp_path}/in")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        streaming.progress_stream(arriving, f"{tmp_path}/out", f"{tmp_path}/state", "1 second", 3600_000)
+    got = {(r.run_id, r.collection): (r.type, r.batch, r.seq, r.n_events)
+           for r in streaming.read_progress(spark, f"{tmp_path}/out").collect()}
+    want = {(run, run % 2): ("step", 4, 100 * run + 4, 5) for run in range(12)} | {(0, 0): ("late", 99, 5000, 6)}
+    assert got == want
+    finished = spark.read.parquet(f"{tmp_path}/out").where("finished").select("run_id").distinct().count()
+    assert finished == 11  # all but the last one
+    sizes = spark.read.format("statestore").load(f"{tmp_path}/state").count()
+    assert sizes <= 2
+
+
 def hits(spark, items):
     return spark.createDataFrame(items, "query_id string, chunk_id string, rank long")
 
