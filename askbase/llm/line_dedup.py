@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from askbase.llm.common import id_key, let, map_columns, raw, stored, table, with_columns
+from askbase.llm.common import id_key, let, map_columns, raw, skew_join, stored, table, with_columns
 
 MIN_CHARS, MIN_DOCS, PROBES = 20, 3, 4
 FILTER_BITS, SEGMENTS, PART_BITS = 1 << 28, 16, 1 << 24
@@ -168,8 +168,10 @@ def drops(documents: DataFrame, id_col: str, text_col: str, min_chars: int, min_
     reported = stored(repeats(line_hashes(documents, text_col, min_chars)), "line-repeats")
     lines = stored(suspects(documents, id_col, text_col, twice_filter(reported, filter_bits),
                             min_chars), "line-suspects")
-    common = lines.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper"))
-    lost = lines.join(common.where(F.col("n") >= min_docs), "key").where("id != keeper")
+    common = lines.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper"),
+                                      F.count("*").alias("rows")).where(F.col("n") >= min_docs)
+    common = stored(common.select("key", "keeper", "rows"), "line-common")
+    lost = skew_join(lines, common, "key", "rows").where("id != keeper")  # a very common line is no one task's
     return stored(lost.groupBy(F.col("id").alias("drop_id"), F.col("th").alias("drop_th"))
                   .agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")), "line-drops")
 
