@@ -57,21 +57,39 @@ NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising"
          "login", "register", "sidebar", "sidebars", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb",
          "breadcrumbs", "pagination", "pager", "footer", "footers", "comment", "comments", "disqus", "respond",
          "replies", "share", "sharing", "social", "related", "recommended", "widget", "widgets", "toolbar", "skip"}
+#: Words that go with them in a name like sidebar-left; with any other word (no-sidebar, market-share) a name tells nothing.
+BESIDE = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "column", "container", "content", "fixed",
+          "form", "global", "group", "holder", "icons", "inner", "item", "items", "left", "link", "links", "list", "main",
+          "mobile", "outer", "page", "panel", "posts", "primary", "right", "secondary", "section", "site", "slot",
+          "sticky", "text", "top", "unit", "wrap", "wrapper"}
 OUTSIDE_NAMES = {"header", "masthead", "topbar"}
 REMARKS = {"comment", "comments", "disqus", "respond", "replies", "ad", "ads", "advert", "sponsored", "promo"}
 
 
+#: How sure it is that an element is not text: by its tag or role, or only by its name.
+BY_TAG, BY_NAME = 2, 1
+
+
+def _told(names: list[str], words: set[str]) -> bool:
+    """Whether a class or id is made of ``words`` and words that go with them."""
+    for name in names:
+        parts = {p for p in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=\d)", name) if p and not p.isdigit()}
+        if parts & words and parts <= words | BESIDE:
+            return True
+    return False
+
+
 class _Lines(HTMLParser):
-    """(text, rank, chrome) per block; rank 2: in an article, 1: in main, 0: neither."""
+    """(text, rank, chrome) per block; rank 2: in an article, 1: in main, 0: neither; chrome 0: text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool]] = []
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, rank, chrome, silent
+        self.lines: list[tuple[str, int, int]] = []
+        self.open: list[tuple[str, int, int, bool]] = []  # tag, rank, chrome, silent
         self.words: list[str] = []
 
-    def _at(self) -> tuple[str, int, bool, bool]:
-        return self.open[-1] if self.open else ("", 0, False, False)
+    def _at(self) -> tuple[str, int, int, bool]:
+        return self.open[-1] if self.open else ("", 0, 0, False)
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -100,20 +118,25 @@ class _Lines(HTMLParser):
                 self._close_implied(tag)
         if tag in VOID:
             return
+        if tag in ("article", "main"):  # neither stands in these: their end tag is missing
+            left_open = [i for i, x in enumerate(self.open) if x[0] in ("nav", "svg")]
+            del self.open[left_open[0] if left_open else len(self.open):]
         _, rank, chrome, silent = self._at()
         given = {k: v or "" for k, v in attrs}
         role = given.get("role", "").lower()
-        names = set(re.split(r"[^a-z0-9]+", f"{given.get('class', '')} {given.get('id', '')}".lower()))
+        names = f"{given.get('class', '')} {given.get('id', '')}".lower().split()
         inside = rank > 0
         if tag == "article":
-            rank, chrome = 2, chrome or (inside and bool(names & REMARKS))
+            rank, chrome = 2, max(chrome, BY_TAG * (inside and _told(names, REMARKS)))
         elif tag == "main" or role == "main":
             rank = max(rank, 1)
         elif "articlebody" in given.get("itemprop", "").lower():
             rank = 2
         elif tag not in ("body", "html"):
-            chrome = (chrome or tag in CHROME or role in ROLES or bool(names & NAMES)
-                      or not inside and (tag == "header" or bool(names & OUTSIDE_NAMES)))
+            if tag in CHROME or role in ROLES or not inside and tag == "header":
+                chrome = BY_TAG
+            elif _told(names, NAMES) or not inside and _told(names, OUTSIDE_NAMES):
+                chrome = max(chrome, BY_NAME)
         hides = ("hidden" in given or given.get("aria-hidden", "").lower() == "true"
                  or re.search(r"display\s*:\s*none", given.get("style", ""), re.I) is not None)
         self.open.append((tag, rank, chrome, silent or tag in SILENT or hides))
@@ -147,7 +170,7 @@ class _Lines(HTMLParser):
             self.words.append(data)
 
 
-def lines_of(html: str | None) -> list[tuple[str, int, bool]]:
+def lines_of(html: str | None) -> list[tuple[str, int, int]]:
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
@@ -155,9 +178,15 @@ def lines_of(html: str | None) -> list[tuple[str, int, bool]]:
     return parser.lines
 
 
-def main_lines(lines: list[tuple[str, int, bool]], shared: set[int]) -> list[str]:
-    """What stays of a page whose positions ``shared`` (outside articles) were deleted."""
-    left = [(t, r) for i, (t, r, chrome) in enumerate(lines) if not chrome and i not in shared]
+def main_lines(lines: list[tuple[str, int, int]], shared: set[int]) -> list[str]:
+    """What stays of a page whose positions ``shared`` (outside articles) were deleted.
+
+    Where names alone leave nothing, they stood on what holds the text, and do not count.
+    """
+    for most in (0, BY_NAME):
+        left = [(t, r) for i, (t, r, chrome) in enumerate(lines) if chrome <= most and i not in shared]
+        if left:
+            break
     top = max((r for _, r in left), default=0)
     return [t for t, r in left if r == top]
 

@@ -49,8 +49,11 @@ def canonical_url(url: Column) -> Column:
 
 
 def lower_names(headers: Column) -> Column:
-    return F.coalesce(F.map_from_entries(F.array_distinct(F.transform(
-        F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))),
+    """Headers by lower-case name; of names that differ in case only the first one's value stays."""
+    entries = F.map_entries(headers)
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    return F.coalesce(F.map_from_entries(F.transform(names, lambda n: F.struct(
+        n.alias("key"), F.filter(entries, lambda e: F.lower(e["key"]) == n)[0]["value"].alias("value")))),
         F.create_map().cast("map<string,string>"))
 
 
