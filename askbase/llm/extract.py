@@ -24,6 +24,7 @@ content starts.
 """
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -70,15 +71,20 @@ REMARKS = {"comment", "comments", "disqus", "respond", "replies", "ad", "ads", "
 BY_TAG, BY_NAME = 2, 1
 
 
-def _told(names: list[str], words: set[str]) -> bool:
-    """Whether a class or id is made of ``words`` and words that go with them."""
-    for name in names:
+@lru_cache(1 << 14)
+def _told(names: str, kind: str) -> bool:
+    """Whether one of a class's or id's names is made of the kind's words and words that go with them."""
+    words = KINDS[kind]
+    for name in names.split():
         parts = {p for p in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=\d)", name) if p and not p.isdigit()}
         if parts & words and parts <= words | BESIDE:
             return True
     return False
 
 
+KINDS = {"chrome": NAMES, "outside": OUTSIDE_NAMES, "remark": REMARKS}
+
+
 class _Lines(HTMLParser):
     """(text, rank, chrome) per block; rank 2: in an article, 1: in main, 0: neither; chrome 0: text."""
 
@@ -124,10 +130,10 @@ class _Lines(HTMLParser):
         _, rank, chrome, silent = self._at()
         given = {k: v or "" for k, v in attrs}
         role = given.get("role", "").lower()
-        names = f"{given.get('class', '')} {given.get('id', '')}".lower().split()
+        names = f"{given.get('class', '')} {given.get('id', '')}".lower()
         inside = rank > 0
         if tag == "article":
-            rank, chrome = 2, max(chrome, BY_TAG * (inside and _told(names, REMARKS)))
+            rank, chrome = 2, max(chrome, BY_TAG * (inside and _told(names, "remark")))
         elif tag == "main" or role == "main":
             rank = max(rank, 1)
         elif "articlebody" in given.get("itemprop", "").lower():
@@ -135,7 +141,7 @@ class _Lines(HTMLParser):
         elif tag not in ("body", "html"):
             if tag in CHROME or role in ROLES or not inside and tag == "header":
                 chrome = BY_TAG
-            elif _told(names, NAMES) or not inside and _told(names, OUTSIDE_NAMES):
+            elif _told(names, "chrome") or not inside and _told(names, "outside"):
                 chrome = max(chrome, BY_NAME)
         hides = ("hidden" in given or given.get("aria-hidden", "").lower() == "true"
                  or re.search(r"display\s*:\s*none", given.get("style", ""), re.I) is not None)
