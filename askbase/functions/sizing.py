@@ -6,12 +6,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def collect_bounded(df: DataFrame, bound: int):
-    """All rows as a list, or None when there are more than ``bound``."""
-    rows = df.limit(bound + 1).collect()
-    return rows if len(rows) <= bound else None
-
-
 def broadcast_if(df: DataFrame, row_bound: int | None, limit: int = 200_000) -> DataFrame:
     """Broadcast a side of ids and numbers whose row count is at most ``row_bound``.
 
