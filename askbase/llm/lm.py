@@ -1,25 +1,37 @@
 """Scoring texts with a log-bilinear language model trained by noise-contrastive estimation.
 
 Tokens are lower-cased words and one end for each text. The ``head`` most
-frequent training tokens and the end are classes of their own, all others share
-the class *other*. A context's two classes give a predicted vector, the sum of
-their vectors scaled by the position's weights; its products with the classes'
-vectors, plus biases, are the classes' scores. Training contrasts each next
-class with classes drawn from the unigram distribution, so no step sums over
-all classes: numpy minibatches run inside the tasks over all training texts,
-and after each round the tasks' parameters are averaged, weighted by tokens.
-Scoring normalises: matrix products of the contexts met with all class vectors
-give the logarithm of the sum, so probabilities of classes add up to one.
-Within *other* a seen token has its share of the class, discounted by the
-Good-Turing share of words seen once, which is the share of the unseen token.
-The whole is a distribution over the training tokens and one unseen token, as
-the unigram base score is.
-
-Counts cover all training texts. The tasks hold the most frequent tokens'
-counts, up to ``lexicon_bytes``; the other tokens of a text (few, as they are
-rare) are joined with their counts, so no text is shuffled and no count of the
-corpus meets in one place. Head size, context and dimension bound the
-parameters: some 50,000 numbers.
+frequent training words and the end are classes of their own. Every other word
+with ``least`` or more occurrences is a leaf with a vector of its own, so the
+model grows with the corpus: leaves in order of frequency hang below groups,
+and groups below up to ``TOP`` classes. Words seen less often share the class
+*other*. The probability of a leaf is that of its class, times that of its
+group in the class, times its own in the group; each factor is log-bilinear and
+normalised, so only siblings are summed over.
+
+A context's two classes give a predicted vector, the sum of their vectors
+scaled by the position's weights; its products with the vectors of classes,
+groups or leaves, plus biases, are their scores. Training contrasts each next
+class with classes drawn from the unigram distribution, and in the last round,
+when the contexts have settled, each group and leaf with siblings drawn evenly,
+so no step sums over all of them: numpy minibatches run inside the tasks over
+all training texts, and after each round the tasks' parameters are averaged,
+those of classes weighted by tokens, those of groups and leaves by the times a
+task met them. There are as many training tasks as cores, however many files;
+how the texts are dealt to them changes the parameters a little. Within
+*other* a seen token has its share of the class, discounted by the Good-Turing
+share of words seen once, which is the share of the unseen token. The whole is
+a distribution over the training tokens and one unseen token, as the unigram
+base score is.
+
+Counts cover all training texts. Texts are split into words twice, for the
+counts and for their codes (a class or a leaf for each token), which are
+stored; training and scoring read the codes. The tasks hold the most frequent
+tokens' counts, up to ``lexicon_bytes``; the other tokens of a text (few, as
+they are rare) are joined with their counts, so no text is shuffled and no
+count of the corpus meets in one place. Leaves with their vectors take up to
+``vector_bytes``, the most frequent first (about 900,000 words); the words
+beyond are in *other*, as those seen too seldom are.
 
 Defined cases: a null or empty text is one end token. A null id counts as the
 empty string for the split. Rows that repeat are scored, and learned from, one
@@ -27,7 +39,9 @@ by one. Without any training text every base score is 0 (N = V = 0) and the
 model keeps its start, equal classes.
 """
 
+import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +52,8 @@ from askbase.llm.common import raw, slices, stored, table
 from askbase.llm.packed import Words, most_frequent, segments
 
 HEAD, DIM, CONTEXT, NOISE, BATCH, ROUNDS, RATE, SEED = 510, 16, 2, 48, 4096, 2, 0.1, 42
-LEXICON_BYTES, TASK_WORDS = 128 << 20, 400_000
+LEAST, TOP, SIBLINGS, TREE_BATCH, TREE_RATE = 5, 64, 3, 1 << 15, 0.3
+LEXICON_BYTES, VECTOR_BYTES, TASK_WORDS = 128 << 20, 96 << 20, 400_000
 END, OTHER = 0, 1
 
 
@@ -150,69 +165,115 @@ def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(at, values.ravel(), n * width).reshape(n, width).astype(np.float32)
 
 
-def train(texts: DataFrame, numbers: dict[bytes, int], counts: np.ndarray, rounds: int = ROUNDS) -> LogBilinear:
-    """The model after ``rounds`` passes over ``texts`` (t: bytes)."""
-    spark = texts.sparkSession
-    model = LogBilinear(counts)
-    for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((model, numbers))
-
-        def run(batches, turn=turn, shared=shared):
-            own, known = shared.value
-            rng = np.random.default_rng((SEED, turn, TaskContext.get().partitionId()))
-            squares = {n: np.full_like(getattr(own, n), 1e-6) for n in LogBilinear.NAMES}
-            seen, ctx, tgt, held = 0, [], [], 0
-            for batch in slices(batches):
-                for text in batch.column(0).to_pylist():
-                    sequence = np.array([known.get(w, OTHER) for w in tokens_of(text)], np.int32)
-                    ctx.append(own.contexts(sequence))
-                    tgt.append(sequence)
-                    held += len(sequence)
-                    if held >= BATCH:
-                        c, t, seen = np.concatenate(ctx), np.concatenate(tgt), seen + held
-                        for s in range(0, len(t), BATCH):
-                            own.train(c[s:s + BATCH], t[s:s + BATCH], rng, squares)
-                        ctx, tgt, held = [], [], 0
-            if held:
-                own.train(np.concatenate(ctx), np.concatenate(tgt), rng, squares)
-                seen += held
-            rows = [(f"{n} {i}", float(seen), row.astype(float).tolist())
-                    for n in LogBilinear.NAMES for i, row in enumerate(getattr(own, n))] if seen else []
-            yield pa.RecordBatch.from_pylist(
-                [{"slot": s, "w": w, "v": v} for s, w, v in rows],
-                schema=pa.schema([("slot", pa.string()), ("w", pa.float64()), ("v", pa.list_(pa.float64()))]))
-
-        made = texts.mapInArrow(run, "slot string, w double, v array<double>")
-        mean = (made.select("slot", "w", F.posexplode("v").alias("i", "x")).groupBy("slot", "i")
-                .agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
-                .groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")))
-        for r in mean.collect():  # one row for each row of a parameter matrix
-            name, i = r["slot"].split(" ")
-            getattr(model, name)[int(i)] = [x["x"] for x in r["v"]]
-        shared.unpersist()
-    return model
+class Tree:
+    """Groups and leaves below the top classes; level 0 holds the leaves, the last level hangs below the classes."""
 
+    def __init__(self, counts: np.ndarray):
+        """``counts`` of the leaves, the most frequent first."""
+        self.arity = max(2, math.ceil(math.sqrt(len(counts) / TOP)))
+        self.levels, self.leaf_counts = [], counts
+        below = counts.astype(float)
+        for _ in range(2):
+            above = np.add.reduceat(below, np.arange(0, len(below), self.arity)) if len(below) else below
+            level = np.zeros((len(below), DIM + 1), np.float32)  # the bias is last
+            level[:, -1] = np.log(below / np.repeat(above, self.arity)[:len(below)])
+            self.levels.append(level)
+            below = above
+        self.top_counts = below
+
+    def top(self, leaf: np.ndarray) -> np.ndarray:
+        return leaf // self.arity ** len(self.levels)
+
+    def log_probabilities(self, hidden: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """ln P(leaf | its top class, context); one matrix product for each family of siblings met."""
+        hidden = np.c_[hidden, np.ones(len(hidden), np.float32)]
+        out = np.zeros(len(leaf))
+        for depth, level in enumerate(self.levels):
+            node = leaf // self.arity ** depth
+            parent = node // self.arity
+            order = np.argsort(parent, kind="stable")
+            cuts = np.nonzero(np.diff(parent[order], prepend=-1, append=-1))[0].tolist() if len(leaf) else []
+            for i, j in zip(cuts, cuts[1:]):
+                rows = order[i:j]
+                first = int(parent[rows[0]]) * self.arity
+                scores = hidden[rows] @ level[first:first + self.arity].T
+                own = scores[np.arange(j - i), node[rows] - first]
+                top = scores.max(axis=1)
+                out[rows] += own - top - np.log(np.exp(scores - top[:, None]).sum(axis=1, dtype=np.float64))
+        return out
 
-def _score_batches(shared):
+    def train(self, hidden: np.ndarray, leaf: np.ndarray, rng, squares: list, met: list) -> None:
+        """One NCE step for each level, its noise drawn evenly among siblings; only rows met are touched."""
+        hidden = np.c_[hidden, np.ones(len(hidden), np.float32)]
+        for depth, level in enumerate(self.levels):
+            node = leaf // self.arity ** depth
+            first = node // self.arity * self.arity
+            size = np.minimum(self.arity, len(level) - first)
+            noise = first[:, None] + (rng.random((len(leaf), SIBLINGS), np.float32) * size[:, None]).astype(np.int64)
+            ids = np.c_[node, np.minimum(noise, (first + size - 1)[:, None])]
+            scores = np.matmul(level[ids], hidden[:, :, None])[:, :, 0] - np.log(SIBLINGS / size)[:, None]
+            wrong = -1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+            wrong[:, 0] += 1
+            flat = ids.ravel()
+            order = np.argsort(flat, kind="stable")
+            start = np.nonzero(np.diff(flat[order], prepend=-1))[0]
+            steps = wrong.astype(np.float32).ravel()[order, None] * hidden[order // ids.shape[1]]
+            rows, g = flat[order[start]], np.add.reduceat(steps, start)
+            squares[depth][rows] += g * g
+            level[rows] += TREE_RATE * g / np.sqrt(squares[depth][rows])
+            met[depth][rows] += np.diff(start, append=len(flat))
+
+
+class Codes:
+    """Numbers of tokens: a class below ``base``, or ``base`` and the leaf's number."""
+
+    def __init__(self, words: Words, head: list[bytes], least: int):
+        self.words, self.head, self.least, self.code = words, head, least, None
+
+    @property
+    def base(self) -> int:
+        return len(self.head) + 2
+
+    def open(self) -> "Codes":
+        if self.code is None:
+            values = self.words.open().values
+            self.count = np.r_[values[0] if values else [], 0].astype(np.int64)  # the last one for unknown words
+            self.code = np.full(len(self.count), OTHER, np.int32)
+            apart = self.words.find([b"", *self.head])
+            leaves = np.argsort(-self.count[:-1], kind="stable")
+            leaves = leaves[(self.count[leaves] >= self.least) & ~np.isin(leaves, apart)]
+            self.code[leaves] = self.base + np.arange(len(leaves))
+            self.code[apart[apart >= 0]] = np.r_[END, np.arange(2, self.base)][apart >= 0]
+        return self
+
+    def encode(self, flat: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(row in the lexicon or -1, code) of each token; an unknown end is still the end."""
+        self.open()
+        coded = pa.array(flat, pa.binary()).dictionary_encode()
+        kinds = coded.dictionary.to_pylist()
+        row = self.words.find(kinds)
+        code = self.code[row]
+        code[[k == b"" for k in kinds]] = END
+        at = coded.indices.to_numpy()
+        return row[at], code[at]
+
+
+def _encode_batches(shared):
     def run(batches):
-        model, numbers, known, total, kinds = shared.value
-        counts = np.r_[known.open().values[0] if known.open().values else [], 0]  # the last one for unknown words
-        log_base = np.log10((counts + 1.0) / (total + kinds + 1.0))
-        log_count = np.log10(np.maximum(counts, 1))
+        codes, total, kinds = shared.value
+        codes.open()
+        log_base = np.log10((codes.count + 1.0) / (total + kinds + 1.0))
+        log_count = np.log10(np.maximum(codes.count, 1))
         for batch in slices(batches):
             split = [tokens_of(t) for t in batch.column(3).to_pylist()]
             size = np.array([len(x) for x in split])
             flat = [w for x in split for w in x]
-            classes = np.fromiter((numbers.get(w, OTHER) for w in flat), np.int32, len(flat))
-            contexts = np.concatenate([model.contexts(c) for c in np.split(classes, np.cumsum(size)[:-1])])
-            score = model.log_probabilities(contexts, classes) / np.log(10)
-            coded = pa.array(flat, pa.binary()).dictionary_encode()
-            row = known.find(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-            found, other = row >= 0, classes == OTHER
-            at = np.r_[0, np.cumsum(size)[:-1]]
+            row, code = codes.encode(flat)
+            found, other = row >= 0, code == OTHER
+            at = np.r_[0, np.cumsum(size)]
 
             def per_text(x, at=at):
-                return np.add.reduceat(x.astype(float), at)
+                return pa.array(np.add.reduceat(x, at[:-1]))
 
             mine: list[Counter] = [Counter() for _ in split]
             doc = np.repeat(np.arange(len(split)), size)
@@ -221,43 +282,159 @@ def _score_batches(shared):
             lacking = [[{"token": w, "n": n} for w, n in c.items()] for c in mine]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(size.astype(np.int64)),
-                 pa.array(per_text(score)), pa.array(per_text(np.where(found, log_base[row], 0.0))),
-                 pa.array(per_text(found).astype(np.int64)),
-                 pa.array(per_text(np.where(found & other, log_count[row], 0.0))),
-                 pa.array(per_text(found & other).astype(np.int64)),
+                 pa.array([code[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()),
+                 per_text(np.where(found, log_base[row], 0.0)), per_text(found.astype(np.int64)),
+                 per_text(np.where(found & other, log_count[row], 0.0)), per_text((found & other).astype(np.int64)),
                  pa.array(lacking, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))],
-                names=["rid", "doc_id", "held_out", "n_tokens", "s", "b", "known", "oc", "on", "rare"])
+                names=["rid", "doc_id", "held_out", "n_tokens", "seq", "b", "known", "oc", "on", "rare"])
+    return run
+
+
+class Model:
+    """The classes' model and the tree below it; ``base`` is the number of classes without leaves."""
+
+    def __init__(self, counts: np.ndarray, leaves: np.ndarray):
+        self.base, self.tree = len(counts), Tree(leaves)
+        self.words = LogBilinear(np.r_[counts, self.tree.top_counts])
+
+    def read(self, seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(contexts, classes, leaves) of all tokens of some texts; a token without leaf has a negative one."""
+        leaf = [np.frombuffer(s, np.int32).astype(np.int64) - self.base for s in seqs]
+        classes = [np.where(x < 0, x + self.base, self.base + self.tree.top(x)) for x in leaf]
+        return np.concatenate([self.words.contexts(c) for c in classes]), np.concatenate(classes), np.concatenate(leaf)
+
+    def log_probabilities(self, seqs: list[bytes]) -> np.ndarray:
+        contexts, classes, leaf = self.read(seqs)
+        out = self.words.log_probabilities(contexts, classes)
+        at = np.nonzero(leaf >= 0)[0]
+        for s in range(0, len(at), 1 << 19):
+            part = at[s:s + (1 << 19)]
+            out[part] += self.tree.log_probabilities(self.words.predicted(contexts[part]), leaf[part])
+        return out
+
+
+PARAMETERS = "slot string, at int, w binary, v binary"
+
+
+def _learner(shared, turn: int, with_tree: bool):
+    """Trains on one task's texts; gives its parameters in blocks of rows, with weights."""
+    def run(batches):
+        model = shared.value
+        own, tree = model.words, model.tree
+        rng = np.random.default_rng((SEED, turn, TaskContext.get().partitionId()))
+        squares = {n: np.full_like(getattr(own, n), 1e-6) for n in LogBilinear.NAMES}
+        tree_squares = [np.ones_like(x) for x in tree.levels] if with_tree else []
+        met = [np.zeros(len(x), np.float32) for x in tree.levels] if with_tree else []
+        seen, held, size = 0, [], 0
+
+        def learn():
+            contexts, classes, leaf = model.read(held)
+            for s in range(0, len(classes), BATCH):
+                own.train(contexts[s:s + BATCH], classes[s:s + BATCH], rng, squares)
+            at = np.nonzero(leaf >= 0)[0] if with_tree else []
+            for s in range(0, len(at), TREE_BATCH):
+                part = at[s:s + TREE_BATCH]
+                tree.train(own.predicted(contexts[part]), leaf[part], rng, tree_squares, met)
+            return len(classes)
+
+        for batch in slices(batches):
+            for seq in batch.column(0).to_pylist():
+                held.append(seq)
+                size += len(seq) // 4
+                if size >= 4 * TREE_BATCH:
+                    seen, held, size = seen + learn(), [], 0
+        if held:
+            seen += learn()
+        parts = [(n, getattr(own, n), np.full(len(getattr(own, n)), seen, np.float32)) for n in LogBilinear.NAMES]
+        for slot, value, weight in parts + [(str(d), tree.levels[d], w) for d, w in enumerate(met)]:
+            for at in range(0, len(value), 256):
+                w = weight[at:at + 256]
+                if w.any():
+                    yield pa.RecordBatch.from_pylist(
+                        [{"slot": slot, "at": at, "w": w.tobytes(), "v": value[at:at + 256].astype(np.float32).tobytes()}],
+                        schema=pa.schema([("slot", pa.string()), ("at", pa.int32()), ("w", pa.binary()), ("v", pa.binary())]))
+    return run
+
+
+def _weighted_mean(key: tuple[pa.Scalar, ...], blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block of rows over all tasks, each row weighted by what the task saw of it."""
+    total = weight = 0
+    for batch in blocks:
+        for w, v in zip(batch.column("w").to_pylist(), batch.column("v").to_pylist()):
+            w = np.frombuffer(w, np.float32).astype(float)
+            total = total + w[:, None] * np.frombuffer(v, np.float32).reshape(len(w), -1)
+            weight = weight + w
+    mean = (total / np.maximum(weight, 1)[:, None]).astype(np.float32)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()),
+                                      pa.array([weight.astype(np.float32).tobytes()], pa.binary()),
+                                      pa.array([mean.tobytes()], pa.binary())], names=["slot", "at", "w", "v"])
+
+
+def train(seqs: DataFrame, counts: np.ndarray, leaves: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """The model after ``rounds`` passes over ``seqs`` (seq: int32 codes); its size is bounded by ``vector_bytes``."""
+    spark = seqs.sparkSession
+    model = Model(counts, leaves)
+    seqs = seqs.coalesce(max(1, spark.sparkContext.defaultParallelism))  # each task gives a set of parameters
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+        made = seqs.mapInArrow(_learner(shared, turn, turn == rounds - 1), PARAMETERS)
+        for r in made.groupBy("slot", "at").applyInArrow(_weighted_mean, PARAMETERS).collect():
+            value = model.tree.levels[int(r["slot"])] if r["slot"].isdigit() else getattr(model.words, r["slot"])
+            w = np.frombuffer(r["w"], np.float32)
+            block = value[r["at"]:r["at"] + len(w)]
+            block[w > 0] = np.frombuffer(r["v"], np.float32).reshape(len(w), -1)[w > 0]
+        shared.unpersist()
+    return model
+
+
+def _score_batches(shared):
+    def run(batches):
+        model = shared.value
+        for batch in slices(batches):
+            at = batch.schema.get_field_index("seq")
+            seqs = batch.column(at).to_pylist()
+            ends = np.cumsum([len(s) // 4 for s in seqs])
+            score = np.add.reduceat(model.log_probabilities(seqs) / np.log(10), np.r_[0, ends[:-1]])
+            yield batch.set_column(at, "s", pa.array(score))
     return run
 
 
 def score_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD,
-                rounds: int = ROUNDS, lexicon_bytes: int = LEXICON_BYTES) -> DataFrame:
+                rounds: int = ROUNDS, lexicon_bytes: int = LEXICON_BYTES, vector_bytes: int = VECTOR_BYTES,
+                least: int = LEAST) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
-    source = documents.select(F.col(id_col).cast("bigint").alias("doc_id"),
+    source = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"),
                               held_out(id_col).alias("held_out"), raw(text_col).alias("t"))
-    learned = source.where(~F.col("held_out")).select("t")
-    counts = stored(token_counts(learned), "lm-counts")
+    counts = stored(token_counts(source.where(~F.col("held_out")).select("t")), "lm-counts")
     total, kinds = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    top = counts.where(F.octet_length("token") > 0).orderBy(F.desc("c"), "token").limit(head).collect()
-    numbers = {b"": END} | {bytes(r["token"]): i for i, r in enumerate(top, 2)}
-    ends = counts.where(F.octet_length("token") == 0).agg(F.max("c")).first()[0] or 0
-    n_other = total - ends - sum(r["c"] for r in top)
+    named = F.octet_length("token") > 0
+    top = counts.where(named).orderBy(F.desc("c"), "token").limit(head).collect()
+    names = [bytes(r["token"]) for r in top]
+    ends = counts.where(~named).agg(F.max("c")).first()[0] or 0
     once = counts.where("c = 1").count() - sum(r["c"] == 1 for r in top)
-    model = train(learned, numbers, np.array([ends, n_other] + [r["c"] for r in top], float), rounds)
+    often = counts.where(named & (F.col("c") >= max(least, 2)) & ~F.col("token").isin([bytearray(w) for w in names]))
     weight = F.octet_length("token") + F.lit(28)
-    sent = (most_frequent(counts, "c", weight, lexicon_bytes)
-            | F.col("token").isin([bytearray(w) for w in numbers]))  # so the rare ones are all of class other
+    room = most_frequent(often, "c", weight + 4 * (DIM + 1), vector_bytes)
+    by_count = often.where(room).groupBy("c").count().orderBy(F.desc("c")).collect()
+    leaves = np.repeat([r[0] for r in by_count], [r[1] for r in by_count]).astype(float)
+    limit = int(leaves[-1]) if len(leaves) else 1 << 62
+    n_other = int(total - ends - sum(r["c"] for r in top) - leaves.sum())
+    sent = (most_frequent(counts, "c", weight, lexicon_bytes) | (named & (F.col("c") >= limit))
+            | F.col("token").isin([bytearray(w) for w in [b"", *names]]))  # so the rare ones are all of class other
     words = Words(segments(counts.where(sent).select("token", "c")))
-    shared = spark.sparkContext.broadcast((model, numbers, words, total, kinds))
-    scored = stored(source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "t")
-                    .mapInArrow(_score_batches(shared),
-                                "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, s double, b double, "
-                                "known bigint, oc double, on bigint, rare array<struct<token:binary,n:bigint>>"),
-                    "lm-scores")
+    shared = spark.sparkContext.broadcast((Codes(words, names, limit), total, kinds))
+    encoded = stored(source.mapInArrow(
+        _encode_batches(shared), "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, seq binary, b double, "
+        "known bigint, oc double, on bigint, rare array<struct<token:binary,n:bigint>>"), "lm-codes")
+    model = train(encoded.where(~F.col("held_out")).select("seq"),
+                  np.array([ends, n_other] + [r["c"] for r in top], float), leaves, rounds)
+    scored = encoded.drop("rare").mapInArrow(
+        _score_batches(spark.sparkContext.broadcast(model)), "rid bigint, doc_id bigint, held_out boolean, "
+        "n_tokens bigint, s double, b double, known bigint, oc double, on bigint")
     base = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1) - F.log10(F.lit(total + kinds + 1.0))
     seen = F.col("c").isNotNull()
-    rare = (scored.select("rid", F.explode("rare").alias("x")).select("rid", "x.token", "x.n")
+    rare = (encoded.select("rid", F.explode("rare").alias("x")).select("rid", "x.token", "x.n")
             .join(counts.where(~sent), "token", "left").groupBy("rid")
             .agg(F.sum(F.col("n") * base).alias("rb"),
                  F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("rk"),
@@ -266,7 +443,7 @@ def score_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
                  F.sum(F.when(seen, 0).otherwise(F.col("n"))).alias("ru")))
     unseen = (once + 0.5) / (n_other + 1.0)
     share = float(np.log10(max(1 - unseen, 1e-12) / max(n_other, 1)))
-    joined = scored.drop("rare").join(rare, "rid", "left").fillna(0, ["rb", "rk", "rc", "rn", "ru"])
+    joined = scored.join(rare, "rid", "left").fillna(0, ["rb", "rk", "rc", "rn", "ru"])
     score = (F.col("s") + F.col("oc") + F.col("rc") + (F.col("on") + F.col("rn")) * F.lit(share)
              + F.col("ru") * F.lit(float(np.log10(unseen))))
     return joined.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("rk")).alias("n_known"),
