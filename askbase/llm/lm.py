@@ -13,8 +13,8 @@ A context's two classes give a predicted vector, the sum of their vectors
 scaled by the position's weights; its products with the vectors of classes,
 groups or leaves, plus biases, are their scores. Training contrasts each next
 class with classes drawn from the unigram distribution, and in the last round,
-when the contexts have settled, each group and leaf with siblings drawn evenly,
-so no step sums over all of them: numpy minibatches run inside the tasks over
+when the contexts have settled, each group and leaf with its siblings, drawn
+evenly, so no step sums over all classes or leaves: numpy minibatches run inside the tasks over
 all training texts, and after each round the tasks' parameters are averaged,
 those of classes weighted by tokens, those of groups and leaves by the times a
 task met them. There are as many training tasks as cores, however many files;
@@ -45,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -52,8 +53,8 @@ from askbase.llm.common import raw, slices, stored, table
 from askbase.llm.packed import Words, most_frequent, segments
 
 HEAD, DIM, CONTEXT, NOISE, BATCH, ROUNDS, RATE, SEED = 510, 16, 2, 48, 4096, 2, 0.1, 42
-LEAST, TOP, SIBLINGS, TREE_BATCH, TREE_RATE = 5, 64, 3, 1 << 15, 0.3
-LEXICON_BYTES, VECTOR_BYTES, TASK_WORDS = 128 << 20, 96 << 20, 400_000
+LEAST, TOP, TREE_BATCH, TREE_RATE = 5, 64, 1 << 17, 0.3
+LEXICON_BYTES, VECTOR_BYTES, COUNTED, CODED, SCORED = 128 << 20, 96 << 20, 24 << 20, 6 << 20, 4 << 20
 END, OTHER = 0, 1
 
 
@@ -61,30 +62,24 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """Words, and the empty word as the end."""
-    words = text.lower().split()
-    words.append(b"")
-    return words
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all words of some texts as bytes, one after another; where each text's words end)."""
+    lower = pc.ascii_lower(pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset))
+    lists = pc.ascii_split_whitespace(lower)
+    flat, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy())
+    kept = pc.greater(pc.binary_length(flat), 0)  # white space around a text leaves an empty part
+    ends = np.r_[0, np.cumsum(kept.to_numpy(zero_copy_only=False))][ends]
+    return flat.filter(kept).view(pa.binary()), ends
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
-    """(token, c) over the rows of ``texts`` (t: bytes), added up inside a task first."""
+    """(token, c) over the rows of ``texts`` (t: bytes), counted in large slices first."""
     def run(batches):
-        total: Counter[bytes] = Counter()
-
-        def flush():
-            made = pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()),
-                                               pa.array(list(total.values()), pa.int64())], names=["token", "c"])
-            total.clear()
-            return made
-
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                total.update(tokens_of(text))
-                if len(total) > TASK_WORDS:
-                    yield flush()
-        yield flush()
+        for batch in slices(batches, COUNTED):
+            met = words_of(batch.column(0))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([met.field(0), met.field(1)], names=["token", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([batch.num_rows], pa.int64())],
+                                             names=["token", "c"])
 
     return texts.mapInArrow(run, "token binary, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -119,11 +114,14 @@ class LogBilinear:
         noise = rng.choice(self.classes, NOISE, p=self.unigram)
         shift = np.log(NOISE * self.unigram).astype(np.float32)
         hidden = self.predicted(contexts)
-        own = (hidden * self.target[targets]).sum(axis=1) + self.bias[targets, 0] - shift[targets]
-        others = hidden @ self.target[noise].T + self.bias[noise, 0] - shift[noise]
+        met, offset = self.target[targets], self.bias[:, 0] - shift
+        own = np.einsum("ij,ij->i", hidden, met) + offset[targets]
+        wrong = hidden @ self.target[noise].T
+        wrong += offset[noise]
         right = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # 1 - P(data)
-        wrong = -1 / (1 + np.exp(-np.clip(others, -30, 30)))
-        back = right[:, None] * self.target[targets] + wrong @ self.target[noise]
+        np.exp(np.negative(np.clip(wrong, -30, 30, out=wrong), out=wrong), out=wrong)
+        np.divide(-1, np.add(wrong, 1, out=wrong), out=wrong)
+        back = right[:, None] * met + wrong @ self.target[noise]
         add = {"target": _sums(targets, right[:, None] * hidden, self.classes),
                "bias": _sums(targets, right[:, None], self.classes),
                "context": np.zeros_like(self.context), "scale": np.zeros_like(self.scale)}
@@ -143,7 +141,8 @@ class LogBilinear:
         for s in range(0, len(contexts), 4096):
             scores = self.predicted(contexts[s:s + 4096]) @ self.target.T + self.bias[:, 0]
             top = scores.max(axis=1)
-            out[s:s + 4096] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1, dtype=np.float64))
+            scores -= top[:, None]
+            out[s:s + 4096] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
         return out
 
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -184,44 +183,44 @@ class Tree:
     def top(self, leaf: np.ndarray) -> np.ndarray:
         return leaf // self.arity ** len(self.levels)
 
+    def families(self, leaf: np.ndarray, depth: int):
+        """(rows of ``leaf``, their places among the siblings, the family's slice) for each family met."""
+        node = leaf // self.arity ** depth
+        parent = (node // self.arity).astype(np.int32)
+        order = np.argsort(parent, kind="stable")
+        cuts = np.nonzero(np.diff(parent[order], prepend=-1, append=-1))[0].tolist() if len(leaf) else []
+        place = (node % self.arity)[order]
+        for i, j in zip(cuts, cuts[1:]):
+            first = int(parent[order[i]]) * self.arity
+            yield order[i:j], place[i:j], slice(first, first + self.arity)
+
     def log_probabilities(self, hidden: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """ln P(leaf | its top class, context); one matrix product for each family of siblings met."""
+        """ln P(leaf | its top class, context); one matrix product for each family."""
         hidden = np.c_[hidden, np.ones(len(hidden), np.float32)]
         out = np.zeros(len(leaf))
         for depth, level in enumerate(self.levels):
-            node = leaf // self.arity ** depth
-            parent = node // self.arity
-            order = np.argsort(parent, kind="stable")
-            cuts = np.nonzero(np.diff(parent[order], prepend=-1, append=-1))[0].tolist() if len(leaf) else []
-            for i, j in zip(cuts, cuts[1:]):
-                rows = order[i:j]
-                first = int(parent[rows[0]]) * self.arity
-                scores = hidden[rows] @ level[first:first + self.arity].T
-                own = scores[np.arange(j - i), node[rows] - first]
-                top = scores.max(axis=1)
-                out[rows] += own - top - np.log(np.exp(scores - top[:, None]).sum(axis=1, dtype=np.float64))
+            for rows, place, family in self.families(leaf, depth):
+                scores = level[family] @ hidden[rows].T
+                scores -= scores.max(axis=0)
+                out[rows] += scores[place, np.arange(len(rows))] - np.log(np.exp(scores).sum(axis=0))
         return out
 
-    def train(self, hidden: np.ndarray, leaf: np.ndarray, rng, squares: list, met: list) -> None:
-        """One NCE step for each level, its noise drawn evenly among siblings; only rows met are touched."""
+    def train(self, hidden: np.ndarray, leaf: np.ndarray, squares: list, met: list) -> None:
+        """One NCE step for each family met. Noise is even over the siblings and drawn once from each of them,
+        so the noise's expected count beside a word is one, and its logarithm nothing."""
         hidden = np.c_[hidden, np.ones(len(hidden), np.float32)]
         for depth, level in enumerate(self.levels):
-            node = leaf // self.arity ** depth
-            first = node // self.arity * self.arity
-            size = np.minimum(self.arity, len(level) - first)
-            noise = first[:, None] + (rng.random((len(leaf), SIBLINGS), np.float32) * size[:, None]).astype(np.int64)
-            ids = np.c_[node, np.minimum(noise, (first + size - 1)[:, None])]
-            scores = np.matmul(level[ids], hidden[:, :, None])[:, :, 0] - np.log(SIBLINGS / size)[:, None]
-            wrong = -1 / (1 + np.exp(-np.clip(scores, -30, 30)))
-            wrong[:, 0] += 1
-            flat = ids.ravel()
-            order = np.argsort(flat, kind="stable")
-            start = np.nonzero(np.diff(flat[order], prepend=-1))[0]
-            steps = wrong.astype(np.float32).ravel()[order, None] * hidden[order // ids.shape[1]]
-            rows, g = flat[order[start]], np.add.reduceat(steps, start)
-            squares[depth][rows] += g * g
-            level[rows] += TREE_RATE * g / np.sqrt(squares[depth][rows])
-            met[depth][rows] += np.diff(start, append=len(flat))
+            for rows, place, family in self.families(leaf, depth):
+                context = hidden[rows]
+                scores = level[family] @ context.T
+                np.clip(scores, -30, 30, out=scores)
+                data = 1 / (1 + np.exp(-scores))  # P(not noise)
+                wrong = -data
+                wrong[place, np.arange(len(rows))] += 1 - data[place, np.arange(len(rows))]
+                g = wrong @ context
+                squares[depth][family] += g * g
+                level[family] += TREE_RATE * g / np.sqrt(squares[depth][family])
+                met[depth][family] += np.bincount(place, minlength=len(g)) + 1e-3 * len(rows)
 
 
 class Codes:
@@ -246,16 +245,12 @@ class Codes:
             self.code[apart[apart >= 0]] = np.r_[END, np.arange(2, self.base)][apart >= 0]
         return self
 
-    def encode(self, flat: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(row in the lexicon or -1, code) of each token; an unknown end is still the end."""
-        self.open()
-        coded = pa.array(flat, pa.binary()).dictionary_encode()
-        kinds = coded.dictionary.to_pylist()
-        row = self.words.find(kinds)
-        code = self.code[row]
-        code[[k == b"" for k in kinds]] = END
+    def encode(self, flat: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row in the lexicon or -1, code) of each word, and of the end after each text."""
+        coded = flat.dictionary_encode()
+        row = self.words.find(coded.dictionary.to_pylist())
         at = coded.indices.to_numpy()
-        return row[at], code[at]
+        return (np.insert(row[at], ends, self.words.find([b""])[0]), np.insert(self.code[row][at], ends, END))
 
 
 def _encode_batches(shared):
@@ -264,25 +259,28 @@ def _encode_batches(shared):
         codes.open()
         log_base = np.log10((codes.count + 1.0) / (total + kinds + 1.0))
         log_count = np.log10(np.maximum(codes.count, 1))
-        for batch in slices(batches):
-            split = [tokens_of(t) for t in batch.column(3).to_pylist()]
-            size = np.array([len(x) for x in split])
-            flat = [w for x in split for w in x]
-            row, code = codes.encode(flat)
+        for batch in slices(batches, CODED):
+            flat, ends = words_of(batch.column(3))
+            row, code = codes.encode(flat, ends)
+            size = np.diff(ends, prepend=0) + 1
             found, other = row >= 0, code == OTHER
             at = np.r_[0, np.cumsum(size)]
 
             def per_text(x, at=at):
                 return pa.array(np.add.reduceat(x, at[:-1]))
 
-            mine: list[Counter] = [Counter() for _ in split]
-            doc = np.repeat(np.arange(len(split)), size)
-            for k in np.nonzero(~found)[0].tolist():
-                mine[doc[k]][flat[k]] += 1
+            mine: list[Counter] = [Counter() for _ in size]
+            doc = np.repeat(np.arange(len(size)), size)
+            lost = np.nonzero(~found)[0]
+            named = lost[lost != at[doc[lost] + 1] - 1]  # the others are ends
+            for d, w in zip(doc[named].tolist(), flat.take(pa.array(named - doc[named])).to_pylist()):
+                mine[d][w] += 1
+            for d in np.setdiff1d(lost, named):
+                mine[doc[d]][b""] += 1
             lacking = [[{"token": w, "n": n} for w, n in c.items()] for c in mine]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(size.astype(np.int64)),
-                 pa.array([code[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()),
+                 pa.array([code[i:j].astype(np.int32).tobytes() for i, j in zip(at, at[1:])], pa.binary()),
                  per_text(np.where(found, log_base[row], 0.0)), per_text(found.astype(np.int64)),
                  per_text(np.where(found & other, log_count[row], 0.0)), per_text((found & other).astype(np.int64)),
                  pa.array(lacking, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))],
@@ -334,14 +332,14 @@ def _learner(shared, turn: int, with_tree: bool):
             at = np.nonzero(leaf >= 0)[0] if with_tree else []
             for s in range(0, len(at), TREE_BATCH):
                 part = at[s:s + TREE_BATCH]
-                tree.train(own.predicted(contexts[part]), leaf[part], rng, tree_squares, met)
+                tree.train(own.predicted(contexts[part]), leaf[part], tree_squares, met)
             return len(classes)
 
         for batch in slices(batches):
             for seq in batch.column(0).to_pylist():
                 held.append(seq)
                 size += len(seq) // 4
-                if size >= 4 * TREE_BATCH:
+                if size >= 2 * TREE_BATCH:  # about half the tokens are leaves
                     seen, held, size = seen + learn(), [], 0
         if held:
             seen += learn()
@@ -390,7 +388,7 @@ def train(seqs: DataFrame, counts: np.ndarray, leaves: np.ndarray, rounds: int =
 def _score_batches(shared):
     def run(batches):
         model = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, SCORED):
             at = batch.schema.get_field_index("seq")
             seqs = batch.column(at).to_pylist()
             ends = np.cumsum([len(s) // 4 for s in seqs])
