@@ -53,7 +53,7 @@ from askbase.llm.common import raw, slices, stored, table
 from askbase.llm.packed import Words, most_frequent, segments
 
 HEAD, DIM, CONTEXT, NOISE, BATCH, ROUNDS, RATE, SEED = 510, 16, 2, 48, 4096, 2, 0.1, 42
-LEAST, TOP, TREE_BATCH, TREE_RATE = 5, 64, 1 << 17, 0.3
+LEAST, TOP, SIBLINGS, TREE_BATCH, TREE_RATE = 5, 64, 8, 1 << 18, 0.5
 LEXICON_BYTES, VECTOR_BYTES, COUNTED, CODED, SCORED = 128 << 20, 96 << 20, 24 << 20, 6 << 20, 4 << 20
 END, OTHER = 0, 1
 
@@ -95,6 +95,7 @@ class LogBilinear:
         self.target = rng.normal(0, 0.1, (n, DIM)).astype(np.float32)
         self.bias = np.log(self.unigram).astype(np.float32)[:, None]
         self.scale = np.ones((CONTEXT, DIM), np.float32)
+        self.sums = None  # of the contexts met, when scoring
 
     NAMES = ("context", "target", "bias", "scale")
 
@@ -111,6 +112,7 @@ class LogBilinear:
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, rng, squares: dict) -> None:
         """One NCE step with adaptive rates on a minibatch; its noise classes are shared."""
+        self.sums = None
         noise = rng.choice(self.classes, NOISE, p=self.unigram)
         shift = np.log(NOISE * self.unigram).astype(np.float32)
         hidden = self.predicted(contexts)
@@ -146,15 +148,18 @@ class LogBilinear:
         return out
 
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """ln P(target | context), normalised over the classes."""
-        code = contexts @ (self.classes + 1) ** np.arange(CONTEXT)
-        _, first, back = np.unique(code, return_index=True, return_inverse=True)
-        sums, hidden = self.log_sums(contexts[first]), self.predicted(contexts[first])
+        """ln P(target | context), normalised over the classes; a pair of classes is summed over once."""
+        if self.sums is None:
+            self.sums = np.full((self.classes + 1) ** CONTEXT, np.nan)
+        steps = (self.classes + 1) ** np.arange(CONTEXT)
         own = np.empty(len(targets))
         for s in range(0, len(targets), 1 << 16):
-            t = targets[s:s + (1 << 16)]
-            own[s:s + (1 << 16)] = np.einsum("ij,ij->i", hidden[back[s:s + (1 << 16)]], self.target[t]) + self.bias[t, 0]
-        return own - sums[back]
+            c, t = contexts[s:s + (1 << 16)], targets[s:s + (1 << 16)]
+            code = c @ steps
+            new = np.unique(code[np.isnan(self.sums[code])])
+            self.sums[new] = self.log_sums(new[:, None] // steps % (self.classes + 1))
+            own[s:s + (1 << 16)] = np.einsum("ij,ij->i", self.predicted(c), self.target[t]) + self.bias[t, 0] - self.sums[code]
+        return own
 
 
 def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -181,15 +186,15 @@ class Tree:
         self.top_counts = below
 
     def top(self, leaf: np.ndarray) -> np.ndarray:
-        return leaf // self.arity ** len(self.levels)
+        return leaf // np.int32(self.arity ** len(self.levels))
 
     def families(self, leaf: np.ndarray, depth: int):
         """(rows of ``leaf``, their places among the siblings, the family's slice) for each family met."""
-        node = leaf // self.arity ** depth
-        parent = (node // self.arity).astype(np.int32)
+        node = leaf // np.int32(self.arity ** depth)
+        parent = node // np.int32(self.arity)
         order = np.argsort(parent, kind="stable")
         cuts = np.nonzero(np.diff(parent[order], prepend=-1, append=-1))[0].tolist() if len(leaf) else []
-        place = (node % self.arity)[order]
+        place = (node - parent * np.int32(self.arity))[order]
         for i, j in zip(cuts, cuts[1:]):
             first = int(parent[order[i]]) * self.arity
             yield order[i:j], place[i:j], slice(first, first + self.arity)
@@ -205,22 +210,33 @@ class Tree:
                 out[rows] += scores[place, np.arange(len(rows))] - np.log(np.exp(scores).sum(axis=0))
         return out
 
-    def train(self, hidden: np.ndarray, leaf: np.ndarray, squares: list, met: list) -> None:
-        """One NCE step for each family met. Noise is even over the siblings and drawn once from each of them,
-        so the noise's expected count beside a word is one, and its logarithm nothing."""
+    def train(self, hidden: np.ndarray, leaf: np.ndarray, rng, squares: list, met: list) -> None:
+        """One NCE step for the words met and one for each family's noise, up to ``SIBLINGS`` of it drawn evenly."""
         hidden = np.c_[hidden, np.ones(len(hidden), np.float32)]
+
+        def step(depth, rows, g):
+            squares[depth][rows] += g * g
+            self.levels[depth][rows] += TREE_RATE * g / np.sqrt(squares[depth][rows])
+
         for depth, level in enumerate(self.levels):
-            for rows, place, family in self.families(leaf, depth):
-                context = hidden[rows]
-                scores = level[family] @ context.T
-                np.clip(scores, -30, 30, out=scores)
-                data = 1 / (1 + np.exp(-scores))  # P(not noise)
-                wrong = -data
-                wrong[place, np.arange(len(rows))] += 1 - data[place, np.arange(len(rows))]
-                g = wrong @ context
-                squares[depth][family] += g * g
-                level[family] += TREE_RATE * g / np.sqrt(squares[depth][family])
-                met[depth][family] += np.bincount(place, minlength=len(g)) + 1e-3 * len(rows)
+            node = leaf // np.int32(self.arity ** depth)
+            order = np.argsort(node, kind="stable")
+            node, context = node[order], hidden[order]
+            parent = node // np.int32(self.arity)
+            size = np.minimum(self.arity, len(level) - parent * self.arity)
+            shift = np.log(np.minimum(SIBLINGS, size) / size).astype(np.float32)  # of a sibling's expected draws
+            own = np.einsum("ij,ij->i", level[node], context) - shift
+            right = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # P(noise)
+            starts = np.nonzero(np.diff(node, prepend=-1))[0]
+            step(depth, node[starts], np.add.reduceat(right[:, None] * context, starts))
+            met[depth][node[starts]] += np.diff(starts, append=len(node))
+            cuts = np.nonzero(np.diff(parent, prepend=-1, append=-1))[0].tolist()
+            for i, j in zip(cuts, cuts[1:]):
+                drawn = parent[i] * self.arity + rng.permutation(size[i])[:SIBLINGS]
+                scores = level[drawn] @ context[i:j].T - shift[i]
+                wrong = -1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+                step(depth, drawn, wrong @ context[i:j])
+                met[depth][drawn] += 1e-3 * (j - i)
 
 
 class Codes:
@@ -297,8 +313,8 @@ class Model:
 
     def read(self, seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(contexts, classes, leaves) of all tokens of some texts; a token without leaf has a negative one."""
-        leaf = [np.frombuffer(s, np.int32).astype(np.int64) - self.base for s in seqs]
-        classes = [np.where(x < 0, x + self.base, self.base + self.tree.top(x)) for x in leaf]
+        leaf = [np.frombuffer(s, np.int32) - np.int32(self.base) for s in seqs]
+        classes = [np.where(x < 0, x, self.tree.top(x)) + np.int32(self.base) for x in leaf]
         return np.concatenate([self.words.contexts(c) for c in classes]), np.concatenate(classes), np.concatenate(leaf)
 
     def log_probabilities(self, seqs: list[bytes]) -> np.ndarray:
@@ -332,7 +348,7 @@ def _learner(shared, turn: int, with_tree: bool):
             at = np.nonzero(leaf >= 0)[0] if with_tree else []
             for s in range(0, len(at), TREE_BATCH):
                 part = at[s:s + TREE_BATCH]
-                tree.train(own.predicted(contexts[part]), leaf[part], tree_squares, met)
+                tree.train(own.predicted(contexts[part]), leaf[part], rng, tree_squares, met)
             return len(classes)
 
         for batch in slices(batches):
