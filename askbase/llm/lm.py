@@ -189,30 +189,32 @@ class Tree:
         return leaf // np.int32(self.arity ** len(self.levels))
 
     def families(self, leaf: np.ndarray, depth: int):
-        """(rows of ``leaf``, their places among the siblings, the family's slice) for each family met."""
-        node = leaf // np.int32(self.arity ** depth)
-        parent = node // np.int32(self.arity)
-        order = np.argsort(parent, kind="stable")
-        cuts = np.nonzero(np.diff(parent[order], prepend=-1, append=-1))[0].tolist() if len(leaf) else []
-        place = (node - parent * np.int32(self.arity))[order]
+        """(start, end) in sorted leaves, and the first node, of each family of siblings met at a depth."""
+        parent = leaf // np.int32(self.arity ** (depth + 1))
+        cuts = np.nonzero(np.diff(parent, prepend=-1, append=-1))[0].tolist() if len(leaf) else []
         for i, j in zip(cuts, cuts[1:]):
-            first = int(parent[order[i]]) * self.arity
-            yield order[i:j], place[i:j], slice(first, first + self.arity)
+            yield i, j, int(parent[i]) * self.arity
 
     def log_probabilities(self, hidden: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """ln P(leaf | its top class, context); one matrix product for each family."""
-        hidden = np.c_[hidden, np.ones(len(hidden), np.float32)]
-        out = np.zeros(len(leaf))
+        order = np.argsort(leaf, kind="stable")
+        hidden, leaf = np.c_[hidden, np.ones(len(hidden), np.float32)][order], leaf[order]
+        total = np.zeros(len(leaf))
         for depth, level in enumerate(self.levels):
-            for rows, place, family in self.families(leaf, depth):
-                scores = level[family] @ hidden[rows].T
+            node = leaf // np.int32(self.arity ** depth)
+            for i, j, first in self.families(leaf, depth):
+                scores = level[first:first + self.arity] @ hidden[i:j].T
                 scores -= scores.max(axis=0)
-                out[rows] += scores[place, np.arange(len(rows))] - np.log(np.exp(scores).sum(axis=0))
+                own = scores[node[i:j] - first, np.arange(j - i)]
+                total[i:j] += own - np.log(np.exp(scores, out=scores).sum(axis=0))
+        out = np.empty(len(leaf))
+        out[order] = total
         return out
 
     def train(self, hidden: np.ndarray, leaf: np.ndarray, rng, squares: list, met: list) -> None:
         """One NCE step for the words met and one for each family's noise, up to ``SIBLINGS`` of it drawn evenly."""
-        hidden = np.c_[hidden, np.ones(len(hidden), np.float32)]
+        order = np.argsort(leaf, kind="stable")
+        context, leaf = np.c_[hidden, np.ones(len(hidden), np.float32)][order], leaf[order]
 
         def step(depth, rows, g):
             squares[depth][rows] += g * g
@@ -220,8 +222,6 @@ class Tree:
 
         for depth, level in enumerate(self.levels):
             node = leaf // np.int32(self.arity ** depth)
-            order = np.argsort(node, kind="stable")
-            node, context = node[order], hidden[order]
             parent = node // np.int32(self.arity)
             size = np.minimum(self.arity, len(level) - parent * self.arity)
             shift = np.log(np.minimum(SIBLINGS, size) / size).astype(np.float32)  # of a sibling's expected draws
@@ -230,9 +230,8 @@ class Tree:
             starts = np.nonzero(np.diff(node, prepend=-1))[0]
             step(depth, node[starts], np.add.reduceat(right[:, None] * context, starts))
             met[depth][node[starts]] += np.diff(starts, append=len(node))
-            cuts = np.nonzero(np.diff(parent, prepend=-1, append=-1))[0].tolist()
-            for i, j in zip(cuts, cuts[1:]):
-                drawn = parent[i] * self.arity + rng.permutation(size[i])[:SIBLINGS]
+            for i, j, first in self.families(leaf, depth):
+                drawn = first + rng.permutation(size[i])[:SIBLINGS]
                 scores = level[drawn] @ context[i:j].T - shift[i]
                 wrong = -1 / (1 + np.exp(-np.clip(scores, -30, 30)))
                 step(depth, drawn, wrong @ context[i:j])
