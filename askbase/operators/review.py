@@ -32,12 +32,17 @@ def edit_count(edited: DataFrame) -> DataFrame:
 
 
 def export_answers(rows: DataFrame, answers: DataFrame, keys=("source_file", "row_no")) -> DataFrame:
-    """Source rows with answer, sources and confidence; nothing for skipped ones."""
+    """Source rows with answer, sources and confidence; nothing for skipped ones.
+
+    Of several answers for a row the one of highest ``answer_no`` counts, also if it was skipped, so each
+    source row comes out once.
+    """
     shown = F.coalesce("status", F.lit("accepted")) != "skipped"
-    filled = answers.filter(F.col("row_no").isNotNull()).select(
-        *keys, F.when(shown, F.coalesce("answer", F.lit(""))).alias("suggested_answer"),
-        F.when(shown, format_sources("sources")).alias("answer_sources"),
-        F.when(shown, F.round("confidence", 2)).alias("answer_confidence"))
+    cells = F.struct(F.when(shown, F.coalesce("answer", F.lit(""))).alias("suggested_answer"),
+                     F.when(shown, format_sources("sources")).alias("answer_sources"),
+                     F.when(shown, F.round("confidence", 2)).alias("answer_confidence"))
+    filled = answers.filter(F.col("row_no").isNotNull()).groupBy(*keys).agg(
+        F.max_by(cells, "answer_no").alias("_cells")).select(*keys, "_cells.*")
     return rows.join(filled, list(keys), "left")
 
 

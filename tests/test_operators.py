@@ -451,3 +451,21 @@ def test_ragged_vectors_and_far_columns_are_errors(spark):
         ranking.knn(corpus, asked, 2, "cosine", vector="embedding").collect()
     with pytest.raises(Exception):
         spark.range(20_000, 20_001).select(text.column_letter("id")).collect()
+
+
+def test_last_answer_of_a_row_is_exported_once(spark, tmp_path):
+    from askbase.operators import review
+    rows = spark.createDataFrame([("f.xlsx", 1, "q1"), ("f.xlsx", 2, "q2"), ("f.xlsx", 3, "q3")],
+                                 "source_file string, row_no bigint, question string")
+    given = spark.createDataFrame(
+        [(1, 1, "old", "accepted"), (4, 1, "new", None), (2, 2, None, "accepted"),
+         (3, 3, "given", "accepted"), (5, 3, "left out", "skipped"), (6, None, "no row", "accepted")],
+        "answer_no bigint, row_no bigint, answer string, status string").selectExpr(
+        "*", "'f.xlsx' source_file", "0.456D confidence",
+        "array(named_struct('rank', 1, 'source_file', 'past.xlsx', 'pair_id', 'past__r7')) sources")
+    out = review.export_answers(rows, given)
+    got = {r.row_no: (r.suggested_answer, r.answer_confidence) for r in out.collect()}
+    assert out.count() == 3 and got == {1: ("new", 0.46), 2: ("", 0.46), 3: (None, None)}
+    review.write_export(out, str(tmp_path / "export"))
+    written = spark.read.option("header", True).csv(str(tmp_path / "export"))
+    assert review.EXPORT_HEADERS[0] in written.columns and written.count() == 3
