@@ -3,14 +3,13 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text, vocab
-from ..functions.sizing import broadcast_if
+from ..sources.corpus import fetch
 
 
 def with_text(hits: DataFrame, chunks: DataFrame, hits_bound: int | None = None,
               columns=("text", "pair_id", "source_file", "metadata")) -> DataFrame:
-    """Fetch chunk columns for the few ids that were ranked."""
-    wanted = chunks.select("chunk_id", *columns)
-    return wanted.join(broadcast_if(hits, hits_bound), "chunk_id")
+    """Fetch chunk columns for the few ids that were ranked, from their buckets of a store."""
+    return fetch(chunks, hits, "chunk_id", columns, hits_bound)
 
 
 def answer_id(c) -> Column:
@@ -25,10 +24,8 @@ def pair_link(hits: DataFrame, chunks: DataFrame, hits_bound: int | None = None)
     sent to every task by that bound; answers' texts are joined by their size.
     """
     linked = hits.withColumn("answer_id", answer_id("chunk_id"))
-    answers = chunks.filter(F.col("role") == "answer").select(
-        F.col("chunk_id").alias("answer_id"), F.col("text").alias("answer_text"))
-    wanted = linked.select("answer_id").distinct()
-    found = answers.join(broadcast_if(wanted, hits_bound), "answer_id")
+    found = fetch(chunks.filter(F.col("role") == "answer"), linked.select("answer_id").distinct(),
+                  "answer_id", [F.col("text").alias("answer_text")], hits_bound)
     return linked.join(found, "answer_id", "left").withColumn(
         "answer_text", F.coalesce("answer_text", F.lit(vocab.ANSWER_MISSING)))
 

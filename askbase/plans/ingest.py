@@ -8,7 +8,7 @@ from ..functions import vocab
 from ..functions.sizing import stored
 from ..operators.chunks import build_chunks, non_empty, require_unique_ids
 from ..operators.vectors import embed, hash_embed
-from ..sources.corpus import CorpusStore, collection_units, pending
+from ..sources.corpus import CorpusStore, bucket_of, collection_units, pending
 
 
 def ingest(store: CorpusStore, rows: DataFrame, collections=None,
@@ -17,26 +17,29 @@ def ingest(store: CorpusStore, rows: DataFrame, collections=None,
 
     Both distances of a strategy share one stored table, so a file's chunks
     are built and embedded once, and not again where one of them is finished.
-    The rows are stored first, since the checkpoint counts them again. A file
+    The rows are stored first, since the checkpoint counts them again. Chunks are
+    counted as they are built; the store is not read again. A file
     without usable chunks is recorded too. Repeated chunk ids stop the ingest.
     """
     names = list(collections or vocab.COLLECTIONS)
     rows = stored(rows, "rows")
     files = rows.select("source_file").distinct()
     todo = pending(collection_units(files, names), store.checkpoint()).persist()
-    there = store.checkpoint().select("collection", "source_file").join(
-        collection_units(files), ["collection", "source_file"]).select("strategy", "source_file")
+    there = store.checkpoint().select("collection", "source_file", "chunks_embedded").join(
+        collection_units(files), ["collection", "source_file"]).groupBy("strategy", "source_file").agg(
+        F.max("chunks_embedded").alias("n"))
     wanted = todo.select("strategy", "source_file").distinct().join(
-        there.distinct(), ["strategy", "source_file"], "left_anti")
+        there, ["strategy", "source_file"], "left_anti")
     strategies = sorted({vocab.COLLECTIONS[n][0] for n in names})
     fresh = non_empty(build_chunks(rows, *strategies)).join(
         wanted, ["strategy", "source_file"], "left_semi")
     require_unique_ids(fresh)
-    store.write(embed(fresh, embed_fn), buckets)
+    sizes = stored(fresh.groupBy("strategy", "source_file", bucket_of("chunk_id").alias("bucket")).agg(
+        F.count("*").alias("n")), "sizes")
+    store.write(embed(fresh, embed_fn), buckets, sizes)
     n_rows = rows.groupBy("source_file").agg(F.count("*").alias("rows"))
-    n_chunks = (store.read().join(todo.select("strategy", "source_file").distinct(),
-                                  ["strategy", "source_file"], "left_semi")
-                .groupBy("strategy", "source_file").agg(F.count("*").alias("chunks_embedded")))
+    n_chunks = sizes.select("strategy", "source_file", "n").unionByName(there).groupBy(
+        "strategy", "source_file").agg(F.sum("n").alias("chunks_embedded"))
     entries = (todo.join(n_rows, "source_file")
                .join(n_chunks, ["strategy", "source_file"], "left")
                .withColumn("chunks_embedded", F.coalesce("chunks_embedded", F.lit(0))))

@@ -378,6 +378,95 @@ def test_role_filter_reaches_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<chunk_id:string,role:string>" in plan
 
 
+def _filled_store(spark, path, files=6):
+    """A store with questions and answers of some files, two rows each."""
+    columns = ("chunk_id string, text string, metadata map<string,string>, pair_id string, role string, "
+               "chunk_index long, strategy string, source_file string")
+    made = [(f"file_{f}_row_{r}__{role}", f"{role} {f} {r}", {}, f"file_{f}_row_{r}", role, i, "separated", f"File {f}.xlsx")
+            for f in range(files) for r in (2, 3) for i, role in enumerate(("question", "answer"))]
+    kept = CorpusStore(spark, str(path))
+    kept.write(spark.createDataFrame(made, columns))
+    return kept, columns
+
+
+def test_lookup_reads_only_the_buckets_of_its_ids(spark, tmp_path):
+    kept, _ = _filled_store(spark, tmp_path / "store")
+    hits = spark.createDataFrame([("q", 1, "file_1_row_2__question"), ("q", 2, "file_4_row_3__question"),
+                                  ("r", 1, "file_1_row_3__question")], "query_id string, rank int, chunk_id string")
+    linked = answers.pair_link(hits, kept.read("separated"), hits_bound=3)
+    assert {(r.query_id, r.rank): r.answer_text for r in linked.collect()} == {
+        ("q", 1): "answer 1 2", ("q", 2): "answer 4 3", ("r", 1): "answer 1 3"}
+    texts = answers.with_text(hits, kept.read("separated", "question"), 3, ("text",))
+    assert sorted(texts.columns) == ["chunk_id", "query_id", "rank", "text"]
+    for frame in (linked, texts):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("dynamicpruning") and "bucket" in plan.split("PartitionFilters")[1]
+    used = {r.chunk_id: r.bucket for r in kept.read().collect()}
+    wanted = {used[r.chunk_id] for r in hits.collect()}
+    others = [p for p in (tmp_path / "store" / "chunks").rglob("*.parquet")
+              if int(p.parent.name.split("=")[1]) not in wanted]
+    assert others
+    for p in others:  # a bucket that is read now fails the job
+        p.with_name(f".{p.name}.crc").unlink(missing_ok=True)
+        p.write_bytes(b"no parquet")
+    assert answers.with_text(hits, kept.read("separated", "question"), 3, ("text",)).count() == 3
+    with pytest.raises(Exception):
+        kept.read().collect()
+
+
+def test_files_share_buckets_and_are_replaced_alone(spark, tmp_path, monkeypatch):
+    """With two buckets for six files a write or delete of one file leaves its neighbours."""
+    monkeypatch.setattr(corpus, "BUCKETS", 2)
+    kept, columns = _filled_store(spark, tmp_path / "store")
+    content = lambda: sorted((r.chunk_id, r.text) for r in kept.read().collect())
+    before = content()
+    assert len(before) == 24 and kept.read().select("bucket").distinct().count() <= 2
+    again = kept.read().where("source_file = 'File 2.xlsx' AND role = 'question'").drop("embedding", "bucket").collect()
+    kept.write(spark.createDataFrame(again, kept.read().drop("embedding", "bucket").schema))
+    want = [r for r in before if not r[0].startswith("file_2") or r[0].endswith("question")]
+    assert content() == want
+    kept.delete("File 5.xlsx")
+    assert content() == [r for r in want if not r[0].startswith("file_5")]
+    for f in (0, 1, 2, 3, 4):
+        kept.delete(f"File {f}.xlsx")
+    assert content() == []
+
+
+def test_interrupted_rewrite_is_finished(spark, tmp_path, monkeypatch):
+    """A delete that dies between the new folders and the old loses and repeats nothing."""
+    monkeypatch.setattr(corpus, "BUCKETS", 2)
+    kept, _ = _filled_store(spark, tmp_path / "store")
+    done = spark.createDataFrame([("separated_l2", f"File {f}.xlsx", 2, 4) for f in range(6)], corpus.CHECKPOINT)
+    kept.mark_done(done)
+    with monkeypatch.context() as broken:
+        calls = []
+
+        def dies():
+            calls.append(1)
+            if len(calls) > 1:
+                raise RuntimeError("lost")
+        broken.setattr(kept, "recover", dies)
+        with pytest.raises(RuntimeError):
+            kept.delete("File 3.xlsx")
+    assert kept._exists(kept.aside_path) and kept.checkpoint().count() == 5
+    again = CorpusStore(spark, str(tmp_path / "store"))
+    again.recover()
+    left = [r.chunk_id for r in again.read().collect()]
+    assert len(left) == len(set(left)) == 20 and not any(c.startswith("file_3") for c in left)
+    assert not again._exists(again.aside_path)
+
+
+def test_ingest_appends_and_counts_without_reading_the_store(spark, tmp_path):
+    wide, config = sheet(spark, [("Question", "Answer", "S"), ("Is it ok?", "yes", "")])
+    loaded = rows.load_rows(cells.grid_from_wide(wide), config)
+    kept = CorpusStore(spark, str(tmp_path / "store"))
+    ingest(kept, loaded, ["separated_l2"])
+    ingest(kept, loaded)
+    counts = {r.collection: (r.rows, r.chunks_embedded) for r in kept.checkpoint().collect()}
+    assert counts == {"combined_cosine": (1, 1), "combined_l2": (1, 1), "separated_cosine": (1, 2), "separated_l2": (1, 2)}
+    assert kept.read().count() == 3
+
+
 def test_route_rejects_unknown(spark):
     paths = spark.createDataFrame([("a/B.XLSX",), ("x.txt",), ("noext",)], "path string")
     assert [r.route for r in files.route_files(paths).collect()] == ["sheet", "rejected", "rejected"]
