@@ -766,4 +766,5 @@ SELECT user_id AS session_id, round(idle, 3) AS idle_seconds FROM (SELECT user_i
   (epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts))) / 1000000.0 AS idle FROM events GROUP BY 1) WHERE idle > 21600""",
 }
 
+_STATEMENTS["eval_resumed"] = _STATEMENTS["eval_matrix"]
 ORACLES = {name: statement(sql) for name, sql in _STATEMENTS.items()}

@@ -651,6 +651,19 @@ def eval_matrix(spark, sf):
     return ev.aggregate_configs(judged).withColumns({c: F.round(c, 6) for c in RATES})
 
 
+@query
+def eval_resumed(spark, sf):
+    """The matrix stops after 20 configurations and goes on in a second run."""
+    questions, chunks = _questions(spark, sf), _corpus(spark, sf, None)
+    run = experiment.ExperimentRun(spark, shared_dir(spark, "experiment"))
+    for first in (20, None):
+        rows = run.advance(chunks, questions, _fx(spark, sf, "fx_rankings"), first,
+                           lambda s: _index(spark, sf, s, _ASKED[s]),
+                           hits_bound=_questions_bound(questions) * vocab.POOL_SIZE * 36)
+    judged = ev.with_judge(rows, _fx(spark, sf, "fx_question_judge"))
+    return ev.aggregate_configs(judged).withColumns({c: F.round(c, 6) for c in RATES})
+
+
 # ---- review and export ---------------------------------------------------------------------------
 
 @query
