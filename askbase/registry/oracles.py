@@ -1,5 +1,7 @@
 """For each named query the SQL that DuckDB runs on the same tables."""
 
+import re
+
 from ..functions import vocab
 from .fixtures import REFUSAL, SQL as FIXTURES, closure, render
 
@@ -624,7 +626,9 @@ SELECT query_id, string_agg('[past Q&A ' || rank || ', source=' || source_file |
     "refusal_flags": f"""
 SELECT answer_no, lower(answer) LIKE '%cannot find this in our corpus%' AS says_refusal,
   {strip('answer')} = '{REFUSAL}' AS is_refusal FROM fx_answers""",
-    "config_matrix": "SELECT *, (SELECT count(*) FROM fx_files) AS n_files FROM o_configs",
+    "config_matrix": """
+SELECT f.*, n.n_chunks FROM o_configs f JOIN (
+  SELECT collection, count(*) AS n_chunks FROM o_collections JOIN o_kept USING (strategy) GROUP BY 1) n USING (collection)""",
     "config_pending": f"""
 SELECT config_no, collection, retrieval, rerank, config_key FROM o_configs
 WHERE collection IN (SELECT list_extract([{texts(list(vocab.COLLECTIONS)[:3])}], doc_id % 3 + 1) FROM documents)
@@ -766,5 +770,24 @@ SELECT user_id AS session_id, round(idle, 3) AS idle_seconds FROM (SELECT user_i
   (epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts))) / 1000000.0 AS idle FROM events GROUP BY 1) WHERE idle > 21600""",
 }
 
+# The questions of the sheets go the way of fx_questions, under names of their own.
+_ALL["o_listed"] = (
+    "SELECT source_file, sheet, row_no, text, source_file || '/' || sheet || '/' || row_no AS query_id "
+    f"FROM ({_STATEMENTS['question_list']})")
+_WAY = {"fx_questions": "o_listed", "o_question_vectors": "o_listed_vectors", "o_bags": "o_listed_bags",
+        "o_sem": "o_listed_sem", "o_sem_pairs": "o_listed_pairs", "o_sem_top": "o_listed_top",
+        "o_sem_drafts": "o_listed_drafts"}
+for _old, _new in list(_WAY.items())[1:]:
+    _ALL[_new] = re.sub(r"\b(?:fx|o)_\w+", lambda m: _WAY.get(m[0], m[0]), _ALL[_old])
+_STATEMENTS["answer_sheet"] = f"""
+WITH p AS ({_payload('o_listed_drafts', 'o_listed_top')}),
+  e AS (SELECT l.*, p.*, l.row_no % 5 = 0 AS picked, l.row_no % 5 = 0 AND l.row_no % 3 = 0 AS skipped
+        FROM o_listed l JOIN p USING (query_id))
+SELECT w.source_file, w.sheet, w.row_no, w.B AS question,
+  CASE WHEN e.picked AND NOT e.skipped AND e.row_no % 2 = 0 THEN 'Edited: ' || e.text
+    WHEN NOT e.skipped THEN e.answer END AS suggested_answer,
+  CASE WHEN NOT e.skipped THEN e.source_list END AS answer_sources,
+  CASE WHEN NOT e.skipped THEN CAST(round(CAST(e.confidence AS DECIMAL(18, 4)), 2) AS DOUBLE) END AS answer_confidence
+FROM fx_wide w LEFT JOIN e ON (w.source_file, w.sheet, w.row_no) = (e.source_file, e.sheet, e.row_no)"""
 _STATEMENTS["eval_resumed"] = _STATEMENTS["eval_matrix"]
 ORACLES = {name: statement(sql) for name, sql in _STATEMENTS.items()}

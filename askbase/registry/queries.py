@@ -561,17 +561,20 @@ def refusal_flags(spark, sf):
 
 @query
 def config_matrix(spark, sf):
-    files = _fx(spark, sf, "fx_files").agg(F.count("*").alias("n_files"))
-    return ev.config_matrix(spark).select("*", files.scalar().alias("n_files"))
+    """Every configuration with the number of chunks that its collection holds."""
+    searched = store.collection_counts(_corpus(spark, sf, None))
+    return ev.config_matrix(spark).join(searched, "collection")
 
 
 @query
 def eval_questions(spark, sf):
     path = shared_dir(spark, "questions")
-    asked = _fx(spark, sf, "fx_questions").withColumn("part", F.length("text") % 7)
+    number = F.regexp_extract("query_id", r"(\d+)$", 1).cast("bigint")
+    asked = _fx(spark, sf, "fx_questions").withColumns({  # documents of one file and one block of rows
+        "part": F.regexp_extract("query_id", r"^(.*?)\d+$", 1), "block": F.floor(number / 1024)})
     listed = F.array_sort(F.collect_list(F.struct(F.col("query_id").alias("id"), F.col("text").alias("question"),
                                                   "scope", "expected_pair_id"))).alias("questions")
-    asked.groupBy("part").agg(listed).drop("part").write.json(path)  # documents of many questions
+    asked.groupBy("part", "block").agg(listed).drop("part", "block").write.json(path)
     return ev.read_questions(spark, path)
 
 
@@ -697,6 +700,19 @@ def export_filled(spark, sf):
         "download_name", review.download_name("source_file"))
 
 
+@query
+def answer_sheet(spark, sf):
+    """Questions found in all sheets, answered from the corpus and written into their rows; some edited or skipped."""
+    listed = question_list(spark, sf)
+    edits = listed.where(F.col("row_no") % 5 == 0).select(
+        "source_file", "sheet", "row_no", F.when(
+            F.col("row_no") % 2 == 0, F.concat(F.lit("Edited: "), "text")).alias("new_text"),
+        (F.col("row_no") % 3 == 0).alias("skipped"))
+    rows = _fx(spark, sf, "fx_wide").select("source_file", "sheet", "row_no", F.col("B").alias("question"))
+    return answering.answer_sheet(_corpus(spark, sf), listed, rows, cf.known_clients(_fx(spark, sf, "fx_files")),
+                                  edits, questions_bound=listed.count())
+
+
 @query
 def format_sources(spark, sf):
     return _cited(spark, sf).select("answer_no", answers.format_sources("sources").alias("source_list"))

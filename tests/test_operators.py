@@ -558,3 +558,33 @@ def test_last_answer_of_a_row_is_exported_once(spark, tmp_path):
     review.write_export(out, str(tmp_path / "export"))
     written = spark.read.option("header", True).csv(str(tmp_path / "export"))
     assert review.EXPORT_HEADERS[0] in written.columns and written.count() == 3
+
+
+def test_matrix_goes_on_after_a_crash(spark, tmp_path, monkeypatch):
+    """A run that dies between two strategies and one that does not give the same rows."""
+    from askbase.operators.vectors import embed
+    from askbase.plans import experiment
+    wide, config = sheet(spark, [("Question", "Answer", "S"), ("Is it ok?", "yes it is", ""), ("Where are you?", "at home", "")])
+    made = chunks.non_empty(chunks.build_chunks(rows.load_rows(cells.grid_from_wide(wide), config), "combined", "separated"))
+    held = spark.createDataFrame(embed(made).collect(), embed(made).schema)
+    asked = spark.createDataFrame([("q1", "is it ok", "in", "f_1_row_2"), ("q2", "where", "out", None)],
+                                  "query_id string, text string, scope string, expected_pair_id string")
+    order = spark.createDataFrame([("q1", '{"ranking": [1, 0]}')], "query_id string, ranking_json string")
+    whole = experiment.ExperimentRun(spark, str(tmp_path / "whole"))
+    want = sorted(map(str, whole.advance(held, asked, order).collect()))
+    assert len(want) == 72 and whole.finished().count() == 36
+    cut = experiment.ExperimentRun(spark, str(tmp_path / "cut"))
+    run, calls = experiment.run_matrix, []
+
+    def dies(*args, **how):
+        calls.append(args[4].count())
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return run(*args, **how)
+    monkeypatch.setattr(experiment, "run_matrix", dies)
+    with pytest.raises(RuntimeError):
+        cut.advance(held, asked, order)
+    assert cut.finished().count() == 18 and cut.rows().count() == 36
+    assert sorted(map(str, cut.advance(held, asked, order).collect())) == want and calls == [18, 18, 18]
+    only = experiment.ExperimentRun(spark, str(tmp_path / "only"))
+    assert only.advance(held.where("strategy = 'combined'"), asked, order, first=4).count() == 8
