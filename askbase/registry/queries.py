@@ -857,8 +857,12 @@ def zip_pair_dates(spark, sf):
 # ---- streams -----------------------------------------------------------------------------------------------
 
 def _stream(spark, sf, name):
-    return spark.readStream.schema(fx.table(spark, sf, name).schema).option(
-        "pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream of files: it is one file, or a folder of them."""
+    stream_of = spark.readStream.schema(fx.table(spark, sf, name).schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return stream_of.parquet(f"{sf}/{name}.parquet")
+    return stream_of.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 @query

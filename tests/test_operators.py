@@ -588,3 +588,17 @@ def test_matrix_goes_on_after_a_crash(spark, tmp_path, monkeypatch):
     assert sorted(map(str, cut.advance(held, asked, order).collect())) == want and calls == [18, 18, 18]
     only = experiment.ExperimentRun(spark, str(tmp_path / "only"))
     assert only.advance(held.where("strategy = 'combined'"), asked, order, first=4).count() == 8
+
+
+def test_tables_that_are_folders_are_streamed(spark, tmp_path):
+    """A large table is a folder of files; the stream found none of them."""
+    from askbase.registry.queries import QUERIES
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c in range(20) for t in range(4)]
+    made = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made.repartition(3).write.parquet(f"{tmp_path}/folder/conversations.parquet")
+    (tmp_path / "file").mkdir()
+    made.toPandas().to_parquet(tmp_path / "file/conversations.parquet")
+    for kind in ("folder", "file"):
+        got = QUERIES["stream_ingest"](spark, f"file://{tmp_path}/{kind}").collect()
+        assert sorted((r.chunk_id, r.text) for r in got) == sorted(
+            (f"conv_{c}_row_{t}__{role}", text) for c, t, role, text in turns)
