@@ -590,6 +590,27 @@ def test_matrix_goes_on_after_a_crash(spark, tmp_path, monkeypatch):
     assert only.advance(held.where("strategy = 'combined'"), asked, order, first=4).count() == 8
 
 
+@pytest.mark.parametrize("postings, weights, scores, sent", [(40, (3, 50), 64, 1000), (10_000, (1, 10), 16, 0)])
+def test_search_in_a_grid_of_cells(spark, monkeypatch, postings, weights, scores, sent):
+    """Every cell boundary, rare and frequent terms, ties, ids that are null or come twice: as brute force has it."""
+    monkeypatch.setattr(terms, "CELL_POSTINGS", postings)
+    monkeypatch.setattr(terms, "CELL_WEIGHTS", weights)
+    monkeypatch.setattr(terms, "_SCORES", scores)
+    docs = made_docs(150, 5) + [(f"x{i}", f"rare{i} the w3") for i in range(60)] + [("x7", None)]
+    asked = [(f"q{i}", t) for i, (_, t) in enumerate(made_docs(20, 6))] + [("r", "rare7 the"), (None, "w3"), ("s", None)]
+    index = terms.temporary_index(spark.createDataFrame(docs, "chunk_id string, text string"))
+    got = index.bm25(spark.createDataFrame(asked, "query_id string, text string"), 3, sent=sent)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" in plan  # no join that makes a row for each query and document
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.chunk_id, round(r.score, 6)))
+    # a text that is null has no tokens, but its document counts
+    plain = [(i if t is not None else "x7-null", t or "") for i, t in docs]
+    for q, words in asked:
+        assert found.get(q, []) == [(i, round(s, 6)) for i, s in brute_bm25(plain, words or "")[:3]]
+
+
 def test_tables_that_are_folders_are_streamed(spark, tmp_path):
     """A large table is a folder of files; the stream found none of them."""
     from askbase.registry.queries import QUERIES
