@@ -20,28 +20,32 @@ def assign_lines(words: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFra
     """Add ``line_top``: the anchor of the line each word belongs to.
 
     A word joins the current line while it is within ``tolerance`` of the
-    line's first top. Only the distinct tops of a page decide, so they are
-    reduced first, and a page is cut wherever two tops are further apart than
+    line's first top. Only the distinct tops of a page decide, so words are
+    gathered by top, and a page is cut wherever two tops are further apart than
     the tolerance, since a line always starts there. The anchors are then found
-    by a fold over each short stretch, and words pick theirs by (page, top).
+    by a fold over each short stretch, beside the words. There is no join: every step groups
+    by page and more, so words that come dealt by document or page are not shuffled at all.
     """
-    tops = words.select(*PAGE, "top").distinct()
-    down = Window.partitionBy(*PAGE).orderBy("top")
-    starts = F.coalesce(F.col("top") - F.lag("top").over(down) > tolerance, F.lit(True))
+    rest = [c for c in words.columns if c not in PAGE]
+    found = words.where(F.col("doc_id").isNotNull() & F.col("page").isNotNull() & F.col("top").isNotNull())
+    tops = found.groupBy(*PAGE, F.col("top").alias("_top")).agg(F.collect_list(F.struct(*rest)).alias("_words"))
+    down = Window.partitionBy(*PAGE).orderBy("_top")
+    starts = F.coalesce(F.col("_top") - F.lag("_top").over(down) > tolerance, F.lit(True))
     stretch = tops.withColumn("_new", starts.cast("int")).withColumn(
         "_stretch", F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0)))
     ordered = stretch.groupBy(*PAGE, "_stretch").agg(
-        F.array_sort(F.collect_list("top")).alias("tops"))
+        F.array_sort(F.collect_list(F.struct("_top", "_words")), lambda a, b: F.when(a["_top"] < b["_top"], -1)
+                     .when(a["_top"] > b["_top"], 1).otherwise(0)).alias("tops"))
 
     def step(done, top):
-        anchor = F.when(F.size(done) == 0, top).otherwise(F.try_element_at(done, F.lit(-1)).anchor)
-        line = F.when(top - anchor <= tolerance, anchor).otherwise(top)
-        return F.concat(done, F.array(F.struct(top.alias("top"), line.alias("anchor"))))
+        last = F.try_element_at(done, F.lit(-1))
+        line = F.when(top - last <= tolerance, last).otherwise(top)
+        return F.concat(done, F.array(line))
 
-    empty = F.array().cast("array<struct<top:double,anchor:double>>")
-    anchors = ordered.select(*PAGE, F.explode(F.aggregate("tops", empty, step)).alias("a"))
-    anchors = anchors.select(*PAGE, "a.top", F.col("a.anchor").alias("line_top"))
-    return words.join(anchors, [*PAGE, "top"])
+    anchors = F.aggregate(F.transform("tops", lambda t: t["_top"]), F.array().cast("array<double>"), step)
+    lines = ordered.select(*PAGE, F.explode(F.arrays_zip(F.col("tops"), anchors.alias("anchors"))).alias("t"))
+    each = lines.select(*PAGE, F.col("t.anchors").alias("line_top"), F.explode("t.tops._words").alias("w"))
+    return each.select(*[F.col(c) if c in PAGE else F.col(f"w.{c}") for c in words.columns], "line_top")
 
 
 def _modal(words: DataFrame, keys: list[str], weight) -> DataFrame:
@@ -88,7 +92,8 @@ def line_table(lined: DataFrame) -> DataFrame:
         F.min(F.when(chars > 0, left)).alias("seen"), F.min("x0").alias("x0"),
         F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"),
         F.max(F.col("bottom") - F.col("top")).alias("height"),
-        F.min_by(F.struct(left.alias("at"), "text"), left).alias("first"))
+        F.min_by(F.struct(left.alias("at"), "text"), left).alias("first"),
+        F.collect_list(F.struct("x0", "top", "word_no", "text")).alias("placed"))
     lines = groups.groupBy(*LINE).agg(
         F.collect_list(F.struct("font", "size", "n", "words", "seen")).alias("groups"),
         F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"),
@@ -96,7 +101,7 @@ def line_table(lined: DataFrame) -> DataFrame:
         (F.sum(F.when(text.is_bold_font("font"), F.col("n")).otherwise(0)) * 2
          > F.sum("n")).alias("is_bold"),
         F.sum(F.when(text.is_bold_font("font"), F.col("words")).otherwise(0)).alias("bold_words"),
-        F.sum("words").alias("words"),
+        F.sum("words").alias("words"), F.flatten(F.collect_list("placed")).alias("placed"),
         F.min_by("first.text", F.col("first.at")).alias("first_word"))
     return lines.select(
         *LINE, "x0", "x1", "top", "bottom", "line_height", "is_bold", "bold_words", "words",
@@ -104,7 +109,7 @@ def line_table(lined: DataFrame) -> DataFrame:
         _heaviest(F.col("groups"), "size", "n").alias("modal_size"),
         F.transform("groups", lambda g: F.struct(g["size"].alias("size"), g["words"].alias("words"),
                                                  g["n"].alias("n"), g["seen"].alias("seen")))
-        .alias("sizes"), text.is_list_marker("first_word").alias("starts_item"))
+        .alias("sizes"), F.sort_array("placed")["text"].alias("texts"), text.is_list_marker("first_word").alias("starts_item"))
 
 
 def line_signature(lined: DataFrame) -> DataFrame:
@@ -144,36 +149,31 @@ def paragraph_breaks(lines: DataFrame) -> DataFrame:
 def paragraphs(lined: DataFrame) -> DataFrame:
     """Text and features of each paragraph; white-space-only ones are dropped.
 
-    Features come from the lines; the words are read again for the text only.
+    Both come from the lines, which hold their words' texts in order; the words are read once.
     """
     keys = [*PAGE, "para_no"]
     lines = paragraph_breaks(line_table(lined))
-    features = lines.groupBy(*keys).agg(
-        F.flatten(F.collect_list("sizes")).alias("sizes"),
+    ordered = F.sort_array(F.collect_list(F.struct("line_top", "texts")))
+    found = lines.groupBy(*keys).agg(
+        F.flatten(ordered["texts"]).alias("texts"), F.flatten(F.collect_list("sizes")).alias("sizes"),
         (F.sum("bold_words") * 2 > F.sum("words")).alias("is_bold"),
         F.min_by("starts_item", "line_top").alias("has_num_pr"), F.min("x0").alias("x0"),
-        F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"),
-    ).withColumn("rendered_size", _heaviest(F.col("sizes"), "size", "words")).drop("sizes")
-    placed = lined.select(*LINE, "x0", "top", "word_no", "text").join(
-        lines.select(*LINE, "para_no"), LINE)
-    ordered = F.sort_array(F.collect_list(F.struct("line_top", "x0", "top", "word_no", "text")))
-    joined = placed.groupBy(*keys).agg(
-        text.strip(F.array_join(ordered["text"], " ")).alias("text"))
-    return joined.filter(F.col("text") != "").join(features, keys)
+        F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))
+    return found.withColumn("text", text.strip(F.array_join("texts", " "))).filter(F.col("text") != "").select(
+        *keys, "text", "is_bold", "has_num_pr", "x0", "top", "x1", "bottom",
+        _heaviest(F.col("sizes"), "size", "words").alias("rendered_size"))
 
 
 def boxed(paras: DataFrame, boxes: DataFrame, padding: float = BOX_PADDING) -> DataFrame:
-    """Add ``in_table``: the paragraph lies inside a box of its page."""
-    p, b = paras.alias("p"), boxes.alias("b")
-    inside = ((F.col("p.doc_id") == F.col("b.doc_id")) & (F.col("p.page") == F.col("b.page"))
-              & (F.col("p.x0") >= F.col("b.x0") - padding)
-              & (F.col("p.top") >= F.col("b.top") - padding)
-              & (F.col("p.x1") <= F.col("b.x1") + padding)
-              & (F.col("p.bottom") <= F.col("b.bottom") + padding))
-    keys = [*PAGE, "para_no"]
-    hits = p.join(b, inside, "left_semi").select(*keys).withColumn("in_table", F.lit(True))
-    return paras.join(hits, keys, "left").withColumn(
-        "in_table", F.coalesce("in_table", F.lit(False)))
+    """Add ``in_table``: the paragraph lies inside a box of its page. A page's few boxes are joined as a list."""
+    listed = boxes.groupBy(*PAGE).agg(F.collect_list(F.struct("x0", "top", "x1", "bottom")).alias("_boxes"))
+
+    def inside(b):
+        return ((F.col("x0") >= b["x0"] - padding) & (F.col("top") >= b["top"] - padding)
+                & (F.col("x1") <= b["x1"] + padding) & (F.col("bottom") <= b["bottom"] + padding))
+
+    return paras.join(listed, PAGE, "left").withColumn(
+        "in_table", F.coalesce(F.exists("_boxes", inside), F.lit(False))).drop("_boxes")
 
 
 def pair_dates(paras: DataFrame, dates: DataFrame, keys=("doc_id", "table_row")) -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: Characters of documents that a task sets as pages.
+PAGE_CHARS = 4_000_000
+
 REFUSAL = "I cannot find this in our corpus."
 
 # Small constant tables; each row of a query is repeated for every entry.
@@ -221,7 +224,10 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents set as pages of 50 lines: headings, list items and wide gaps."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = documents.repartition("doc_id").select(
+    chars = documents.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    # a word takes many times its letters: a task gets a bounded number of them
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PAGE_CHARS))
+    lines = documents.repartition(parts, "doc_id").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     marked = F.when(F.col("line") % 4 == 0, F.concat(F.lit("- "), "body")).otherwise(F.col("body"))
     words = lines.select("doc_id", "line", F.posexplode(F.split(marked, " ")).alias("w", "text"))
