@@ -17,6 +17,8 @@ QUERY_BLOCK, PART_ROWS, SALTS = 4096, 4096, 16
 #: Tasks that pack queries, so that few of them do not become as many blocks; blocks held by a search task.
 QUERY_TASKS, HELD_BLOCKS = 64, 8
 _CELLS = 2_000_000
+#: Rows that may be among a block's best, held before they are sorted.
+HELD_ROWS = 200_000
 
 
 class _Best:
@@ -29,21 +31,30 @@ class _Best:
         self.key = np.empty(0)
         self.score = np.empty(0)
         self.id = np.empty(0, dtype=object)
-
-    def offer(self, key: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """``key`` and ``score`` are rows x queries; the smallest keys win."""
-        row, query = np.nonzero(key <= self.limit)
-        if not len(row):
-            return
-        query = np.concatenate([self.query, query])
-        key = np.concatenate([self.key, key[row, query[len(self.query):]]])
-        score = np.concatenate([self.score, score[row, query[len(self.query):]]])
-        ids = np.concatenate([self.id, ids[row]])
+        self.held: list[tuple] = []
+        self.n_held = 0
+
+    def offer(self, score: np.ndarray, ids: np.ndarray) -> None:
+        """``score`` is rows x queries, smaller is better. What may be among the best is held until there is much of it.
+
+        Places go by scores rounded to nine digits, hence the margin.
+        """
+        if len(score) > self.n and np.isinf(self.limit).any():
+            self.limit = np.fmin(self.limit, np.partition(score, self.n - 1, axis=0)[self.n - 1])
+        row, query = np.nonzero(score <= self.limit + 2e-9)
+        self.held.append((query, score[row, query], ids[row]))
+        self.n_held += len(row)
+        if self.n_held > max(HELD_ROWS, self.n * len(self.limit)):
+            self.settle()
+
+    def settle(self) -> None:
+        query, score, ids = (np.concatenate(x) for x in zip((self.query, self.score, self.id), *self.held))
+        self.held, self.n_held = [], 0
+        key = np.round(score, 9)
         by_id = np.unique(ids, return_inverse=True)[1]
         order = np.lexsort((by_id, key, query))
         query = query[order]
-        first = np.searchsorted(query, query, side="left")
-        keep = np.arange(len(query)) - first < self.n
+        keep = np.arange(len(query)) - np.searchsorted(query, query, side="left") < self.n
         order, self.query = order[keep], query[keep]
         self.key, self.score, self.id = key[order], score[order], ids[order]
         full = np.bincount(self.query, minlength=len(self.limit)) == self.n
@@ -52,6 +63,7 @@ class _Best:
         self.limit = np.where(full, worst, np.inf)
 
     def batch(self, query_ids: list, id_type: pa.DataType) -> pa.RecordBatch:
+        self.settle()
         names = pa.array([query_ids[q] for q in self.query], pa.string())
         return pa.RecordBatch.from_arrays(
             [names, pa.array(list(self.id), id_type), pa.array(self.score, pa.float64()),
@@ -163,7 +175,7 @@ def knn(corpus: DataFrame, queries: DataFrame, n: int = vocab.POOL_SIZE,
                 step = max(1, _CELLS // len(names))
                 for at in range(0, len(ids), step):
                     d = _distances(x[at:at + step], q, metric)
-                    best[number].offer(np.round(d, 9), d, ids[at:at + step])
+                    best[number].offer(d, ids[at:at + step])
         for number, found in best.items():
             yield found.batch(held[number][0], id_type)
 

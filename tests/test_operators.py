@@ -623,3 +623,27 @@ def test_tables_that_are_folders_are_streamed(spark, tmp_path):
         got = QUERIES["stream_ingest"](spark, f"file://{tmp_path}/{kind}").collect()
         assert sorted((r.chunk_id, r.text) for r in got) == sorted(
             (f"conv_{c}_row_{t}__{role}", text) for c, t, role, text in turns)
+
+
+def test_best_rows_are_sorted_seldom(monkeypatch):
+    """A sort for every slice of the corpus took most of a search's time; ties and late winners stay right."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    score = np.round(rng.random((500, 3)), 2)
+    ids = np.array([f"d{i:03}" for i in rng.permutation(500)], dtype=object)
+    best, calls = ranking._Best(3, 5), []
+    settle = best.settle
+    monkeypatch.setattr(best, "settle", lambda: (calls.append(1), settle()))
+    for at in range(0, 500, 20):
+        best.offer(score[at:at + 20], ids[at:at + 20])
+    best.settle()
+    assert len(calls) == 1
+    for q in range(3):
+        mine = list(best.id[best.query == q])
+        assert mine == [i for _, i in sorted(zip(score[:, q], ids))[:5]]
+    monkeypatch.setattr(ranking, "HELD_ROWS", 2)
+    often = ranking._Best(3, 5)
+    for at in range(0, 500, 3):
+        often.offer(score[at:at + 3], ids[at:at + 3])
+    often.settle()
+    assert list(often.id) == list(best.id) and list(often.score) == list(best.score)
