@@ -9,6 +9,8 @@ matrices and the best of each query kept, so a (query, document) pair is never a
 Texts are not touched again.
 """
 
+import re
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -24,8 +26,8 @@ BUCKETS, SALTS = 16, 32
 HEAVY_SHARE = 0.001
 #: Rows (query, term, weight) up to which they are sent to every task.
 SENT_WEIGHTS = 500_000
-#: Characters of text a task of the build takes, and postings a task writes.
-PART_CHARS, PART_POSTINGS = 8_000_000, 2_000_000
+#: Characters of text a task of the build takes, postings a task writes, and those it makes at once.
+PART_CHARS, PART_POSTINGS, BATCH_POSTINGS = 8_000_000, 250_000, 200_000
 #: Postings and query weights of a cell, on average; below the first size of weights more cells are not worth it.
 CELL_POSTINGS, CELL_WEIGHTS = 500_000, (20_000, 500_000)
 #: Scores held at once; terms in more than one of so many documents of a cell are summed as a dense matrix.
@@ -36,6 +38,60 @@ def _raw_idf(df, n_docs) -> Column:
     return F.ln(n_docs - df + 0.5) - F.ln(df + 0.5)
 
 
+def _count_terms(texts: DataFrame) -> DataFrame:
+    """(id, dl, norm, term, tf) from texts (id, low) sorted by id, with all rows of an id in one partition.
+
+    Rows that share an id add up where they are equally long; the norm is that of all of them.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        find = re.compile("[a-z0-9]+").findall
+        keys, lengths, sizes, docs, terms, times = [], [], [], [], [], []
+        last, own = None, {}
+
+        def close():
+            docs.append(sum(map(len, own.values())))
+            for dl, counts in own.items():
+                keys.append(last)
+                lengths.append(dl)
+                sizes.append(len(counts))
+                terms.extend(counts)
+                times.extend(counts.values())
+            own.clear()
+
+        def made(id_type):
+            tf = np.array(times, np.int64)
+            starts = np.cumsum(docs) - docs
+            norm = np.sqrt(np.add.reduceat((1 + np.log(tf)) ** 2, starts))
+            each = np.repeat(np.arange(len(keys)), sizes)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(keys, id_type).take(pa.array(each)), pa.array(np.array(lengths, np.int64)[each]),
+                 pa.array(np.repeat(norm, docs)), pa.array(terms, pa.string()), pa.array(tf)],
+                names=["id", "dl", "norm", "term", "tf"])
+            for held in (keys, lengths, sizes, docs, terms, times):
+                held.clear()
+            return out
+
+        id_type = None
+        for batch in batches:
+            id_type = batch.column(0).type
+            for key, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if own and key != last:
+                    close()
+                    if len(terms) >= BATCH_POSTINGS:
+                        yield made(id_type)
+                last, words = key, find(low or "")
+                if words:
+                    own.setdefault(len(words), Counter()).update(words)
+        if own:
+            close()
+        if terms:
+            yield made(id_type)
+
+    return texts.select("id", "low").mapInArrow(run, f"id {kind}, dl bigint, norm double, term string, tf bigint")
+
+
 def build_index(corpus: DataFrame, path: str, id_col: str = "chunk_id", text: str = "text",
                 buckets: int = BUCKETS, salts: int = SALTS, heavy_share: float = HEAVY_SHARE) -> "TermIndex":
     """Write the index of ``corpus`` (one row per id) under ``path`` and open it."""
@@ -44,12 +100,8 @@ def build_index(corpus: DataFrame, path: str, id_col: str = "chunk_id", text: st
     n_docs, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     # dealt by id once: counting a text's terms and its norm need no further shuffle
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
-    texts = texts.repartition(parts, "id")
-    words = texts.select("id", rules.tokens("text").alias("tokens")).select(
-        "id", F.size("tokens").cast("bigint").alias("dl"), F.explode("tokens").alias("term"))
-    norm = F.sqrt(F.sum(F.pow(1 + F.ln("tf"), 2)).over(Window.partitionBy("id")))
-    raw = stored(words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-                 .select("id", "dl", norm.alias("norm"), "term", "tf"), "postings")
+    texts = texts.select("id", F.lower("text").alias("low")).repartition(parts, "id").sortWithinPartitions("id")
+    raw = stored(_count_terms(texts), "postings")
     terms = stored(raw.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf_total")), "terms")
     mean = F.avg(_raw_idf(F.col("df"), F.lit(float(n_docs))))
     totals = terms.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"),
@@ -68,7 +120,7 @@ def build_index(corpus: DataFrame, path: str, id_col: str = "chunk_id", text: st
     slice_of = F.pmod(F.hash("id"), F.lit(slices))
     (raw.join(often, "term", "left").select("term", salt.alias("salt"), "id", "tf", "dl", "norm",
                                             F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
-     .repartition("bucket", "salt", slice_of).sortWithinPartitions("bucket", "term")
+     .repartition(-(-n_postings // PART_POSTINGS) or 1, "bucket", "salt", slice_of).sortWithinPartitions("bucket", "term")
      .write.partitionBy("bucket").parquet(f"{path}/postings"))
     return TermIndex(spark, path)
 
@@ -212,6 +264,8 @@ class TermIndex:
         weights = weights.select("query_id", "term", "w", F.pmod(F.xxhash64("query_id"), F.lit(down)).cast("int")
                                  .alias("down"), every(across).alias("across"))
         search, schema = _cell_search(n, self.totals.id_type)
+        tasks = 2 * across * down  # a task holds few cells, however many there are
+        postings, weights = (side.repartition(tasks, "down", "across") for side in (postings, weights))
         cells = postings.groupBy("down", "across").cogroup(weights.groupBy("down", "across"))
         order = Window.partitionBy("query_id").orderBy("order_key", "id")
         return (cells.applyInArrow(search, schema)

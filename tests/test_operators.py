@@ -647,3 +647,35 @@ def test_best_rows_are_sorted_seldom(monkeypatch):
         often.offer(score[at:at + 3], ids[at:at + 3])
     often.settle()
     assert list(often.id) == list(best.id) and list(often.score) == list(best.score)
+
+
+def test_postings_are_dealt_to_as_many_tasks_as_they_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(terms, "PART_POSTINGS", 50)
+    docs = [(f"d{i}", " ".join(f"w{(i * 7 + k) % 90}" for k in range(20))) for i in range(60)]
+    index = terms.build_index(spark.createDataFrame(docs, "chunk_id string, text string"), str(tmp_path / "ix"))
+    tasks = {p.name.split("-")[1] for p in (tmp_path / "ix" / "postings").rglob("part-*.parquet")}
+    assert index.postings.count() == 60 * 20
+    assert len(tasks) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_cells_of_a_search_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    docs = [(f"d{i}", " ".join(f"w{(i * 7 + k) % 90}" for k in range(20))) for i in range(60)]
+    index = terms.temporary_index(spark.createDataFrame(docs, "chunk_id string, text string"))
+    asked = spark.createDataFrame([("q", "w1 w2 w3"), ("r", "w50")], "query_id string, text string")
+    want = sorted(map(tuple, index.bm25(asked, 5).collect()))
+    monkeypatch.setattr(terms, "CELL_POSTINGS", 2)
+    found = index.bm25(asked, 5)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_by_id_without_a_window(spark):
+    texts = [("a", "B b c"), ("a", "x Y z"), ("a", "one two"), (None, "c"), (None, "C"), ("e", None), ("f", "..")]
+    frame = spark.createDataFrame(texts, "id string, text string").select("id", F.lower("text").alias("low"))
+    found = terms._count_terms(frame.repartition(3, "id").sortWithinPartitions("id")).collect()
+    norm = math.sqrt((1 + math.log(2)) ** 2 + 6)
+    want = [("a", 3, norm, "b", 2)] + [("a", 3, norm, t, 1) for t in "cxyz"] + [
+        ("a", 2, norm, t, 1) for t in ("one", "two")] + [(None, 1, 1 + math.log(2), "c", 2)]
+    key = lambda r: (r[0] or "", r[1], r[3], r[4])
+    assert sorted(map(key, found)) == sorted(map(key, want))
+    assert {r.id: round(r.norm, 9) for r in found} == {r[0]: round(r[2], 9) for r in want}
