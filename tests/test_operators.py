@@ -679,3 +679,17 @@ def test_terms_are_counted_by_id_without_a_window(spark):
     key = lambda r: (r[0] or "", r[1], r[3], r[4])
     assert sorted(map(key, found)) == sorted(map(key, want))
     assert {r.id: round(r.norm, 9) for r in found} == {r[0]: round(r[2], 9) for r in want}
+
+
+def test_pairs_are_rescored_from_parts_made_once_a_text(spark, monkeypatch):
+    from askbase.plans import answering
+    made = "chunk_id string, text string, pair_id string, source_file string, metadata map<string,string>"
+    corpus_rows = spark.createDataFrame([(f"c{i}", f"some words {i} and more {i % 3}", f"p{i}", "f", {}) for i in range(9)], made)
+    asked = spark.createDataFrame([("q", "some words 4"), ("r", "more 1 and"), ("s", None)], "query_id string, text string")
+    pool = asked.select("query_id").crossJoin(corpus_rows.select("chunk_id")).withColumn("rank", F.lit(1))
+    pairs = answering.with_both_texts(pool, corpus_rows, asked, 3)
+    plain = fusion.rescore(pairs.drop(*answering.PARTS))
+    quick = fusion.rescore(pairs, parts=answering.PARTS)
+    assert sorted(quick.columns) == sorted(plain.columns)
+    rows_of = lambda frame: sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in frame.collect())
+    assert rows_of(quick) == rows_of(plain)
