@@ -693,3 +693,28 @@ def test_pairs_are_rescored_from_parts_made_once_a_text(spark, monkeypatch):
     assert sorted(quick.columns) == sorted(plain.columns)
     rows_of = lambda frame: sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in frame.collect())
     assert rows_of(quick) == rows_of(plain)
+
+
+def test_the_matrix_ranks_ids_and_fetches_texts_for_the_first_ones_only(spark, monkeypatch):
+    from askbase.plans import experiment
+    seen, plain = {}, experiment.stored
+
+    def noted(df, name):
+        seen[name] = df.columns
+        return plain(df, name)
+
+    monkeypatch.setattr(experiment, "stored", noted)
+    made = "question string, answer string, context string, metadata map<string,string>, source_file string, pair_id string, row_index bigint"
+    qa = spark.createDataFrame([(f"what is item {i}", f"item {i}", None, {}, "f", f"f_row_{i}", i) for i in range(8)], made)
+    from askbase.operators.vectors import embed
+    built = embed(chunks.non_empty(chunks.build_chunks(qa, "combined", "separated")))
+    asked = spark.createDataFrame([("q", "what is item 3", "in", "f_row_3"), ("o", "nothing here", "out", None)],
+                                  "query_id string, text string, scope string, expected_pair_id string")
+    rankings = spark.createDataFrame([("q", "[1, 0]")], "query_id string, ranking_json string")
+    found = experiment.run_matrix(built, asked, rankings, experiment.pools(built, asked),
+                                  evaluation.config_matrix(spark)).collect()
+    assert len(found) == 72
+    assert "text" not in seen["tops"] and "text" not in seen["pair-scores"]
+    best = {(r.collection, r.retrieval, r.rerank): r.answer for r in found if r.query_id == "q"}
+    assert best["separated_cosine", "bm25", vocab.RERANK_MODES[1]] == "item 3"
+    assert best["combined_cosine", "bm25", vocab.RERANK_MODES[1]] == "Q: what is item 3\nA: item 3"
