@@ -4,6 +4,7 @@ Tasks pack their rows into compressed segments; the driver passes the segments
 on without opening them, and each worker builds its own index.
 """
 
+import io
 import pickle
 
 import numpy as np
@@ -13,7 +14,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-SLICE = 1 << 16
+SLICE = 1 << 13
 
 
 def _numbers(values: pa.Array) -> tuple[np.ndarray, ...]:
@@ -52,19 +53,30 @@ class Words:
         if self.hashes is not None:
             return self
         unpack = zstandard.ZstdDecompressor().decompress
-        parts = [pickle.loads(unpack(p)) for p in self.packed]
+        lengths, text, values, packed = [], io.BytesIO(), [], self.packed[::-1]
         self.packed = []
-        self.at = np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]]))].astype(np.int64)
-        self.blob = b"".join([p[1] for p in parts])
-        self.values = [np.concatenate(v) for v in zip(*[p[2] for p in parts])]
-        del parts
+        while packed:  # one segment at a time is unpacked, and each list of arrays is freed as it is joined
+            own, words, numbers = pickle.loads(unpack(packed.pop()))
+            lengths.append(own)
+            text.write(words)
+            values.append(numbers)
+        self.blob = text.getvalue()
+        del text
+        kind = np.int32 if len(self.blob) < 1 << 31 else np.int64
+        self.at = np.zeros(sum(map(len, lengths)) + 1, kind)
+        if lengths:
+            np.cumsum(np.concatenate(lengths), out=self.at[1:])
+        del lengths
+        self.values = [np.concatenate(v) for v in zip(*values)]
+        del values
         n, digest, blob = len(self.at) - 1, xxhash.xxh64_intdigest, self.blob
         hashes = np.empty(n, np.uint64)
         for s in range(0, n, SLICE):
             cut = self.at[s:s + SLICE + 1].tolist()
             hashes[s:s + SLICE] = [digest(blob[i:j]) for i, j in zip(cut, cut[1:])]
-        order = np.argsort(hashes)
-        self.hashes, self.rows = hashes[order], order.astype(np.int32)
+        self.rows = np.argsort(hashes).astype(np.int32)
+        hashes.sort()
+        self.hashes = hashes
         return self
 
     def find(self, words: list[bytes]) -> np.ndarray:

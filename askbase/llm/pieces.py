@@ -298,7 +298,8 @@ class Lexicon(Words):
             super().open()
             lengths, self.ids = self.values or (np.zeros(0, np.int32), np.zeros(0, np.uint16))
             self.values = []
-            self.first = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+            self.first = np.zeros(len(lengths) + 1, np.int32)
+            np.cumsum(lengths, out=self.first[1:])
         return self
 
 
