@@ -104,11 +104,17 @@ class LogBilinear:
         return len(self.bias)
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
-        return sum(self.context[contexts[:, i]] * self.scale[i] for i in range(CONTEXT))
+        return sum(self.context.take(contexts[:, i], axis=0) * self.scale[i] for i in range(CONTEXT))
 
-    def contexts(self, sequence: np.ndarray) -> np.ndarray:
+    def contexts(self, sequence: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+        """The classes before each one of a text, or of the texts that begin at ``starts``, in columns."""
+        n, starts = len(sequence), np.zeros(1, np.int64) if starts is None else starts
         padded = np.r_[np.full(CONTEXT, self.classes, np.int32), sequence]
-        return np.stack([padded[i:i + len(sequence)] for i in range(CONTEXT)], axis=1)
+        out = np.stack([padded[i:i + n] for i in range(CONTEXT)]).T
+        sizes = np.diff(starts, append=n)
+        for place in range(CONTEXT):
+            out[starts[sizes > place] + place, :CONTEXT - place] = self.classes
+        return out
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, rng, squares: dict) -> None:
         """One NCE step with adaptive rates on a minibatch; its noise classes are shared."""
@@ -116,7 +122,7 @@ class LogBilinear:
         noise = rng.choice(self.classes, NOISE, p=self.unigram)
         shift = np.log(NOISE * self.unigram).astype(np.float32)
         hidden = self.predicted(contexts)
-        met, offset = self.target[targets], self.bias[:, 0] - shift
+        met, offset = self.target.take(targets, axis=0), self.bias[:, 0] - shift
         own = np.einsum("ij,ij->i", hidden, met) + offset[targets]
         wrong = hidden @ self.target[noise].T
         wrong += offset[noise]
@@ -128,10 +134,10 @@ class LogBilinear:
                "bias": _sums(targets, right[:, None], self.classes),
                "context": np.zeros_like(self.context), "scale": np.zeros_like(self.scale)}
         np.add.at(add["target"], noise, wrong.T @ hidden)
-        np.add.at(add["bias"][:, 0], noise, wrong.sum(axis=0))
+        np.add.at(add["bias"][:, 0], noise, np.einsum("ij->j", wrong))
         for i in range(CONTEXT):
             add["context"] += _sums(contexts[:, i], back * self.scale[i], self.classes + 1)
-            add["scale"][i] = (back * self.context[contexts[:, i]]).sum(axis=0)
+            add["scale"][i] = np.einsum("ij,ij->j", back, self.context.take(contexts[:, i], axis=0))
         for name, g in add.items():
             g /= len(targets)
             squares[name] += g * g
@@ -158,14 +164,14 @@ class LogBilinear:
             code = c @ steps
             new = np.unique(code[np.isnan(self.sums[code])])
             self.sums[new] = self.log_sums(new[:, None] // steps % (self.classes + 1))
-            own[s:s + (1 << 16)] = np.einsum("ij,ij->i", self.predicted(c), self.target[t]) + self.bias[t, 0] - self.sums[code]
+            own[s:s + (1 << 16)] = np.einsum("ij,ij->i", self.predicted(c), self.target.take(t, axis=0)) + self.bias[t, 0] - self.sums[code]
         return own
 
 
 def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of ``values`` by row number."""
     width = values.shape[1]
-    at = (rows[:, None] * width + np.arange(width)).ravel()
+    at = rows if width == 1 else (np.multiply(rows, width, dtype=np.intp)[:, None] + np.arange(width)).ravel()
     return np.bincount(at, values.ravel(), n * width).reshape(n, width).astype(np.float32)
 
 
@@ -198,7 +204,7 @@ class Tree:
     def log_probabilities(self, hidden: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """ln P(leaf | its top class, context); one matrix product for each family."""
         order = np.argsort(leaf, kind="stable")
-        hidden, leaf = np.c_[hidden, np.ones(len(hidden), np.float32)][order], leaf[order]
+        hidden, leaf = np.c_[hidden, np.ones(len(hidden), np.float32)].take(order, axis=0), leaf[order]
         total = np.zeros(len(leaf))
         for depth, level in enumerate(self.levels):
             node = leaf // np.int32(self.arity ** depth)
@@ -214,7 +220,7 @@ class Tree:
     def train(self, hidden: np.ndarray, leaf: np.ndarray, rng, squares: list, met: list) -> None:
         """One NCE step for the words met and one for each family's noise, up to ``SIBLINGS`` of it drawn evenly."""
         order = np.argsort(leaf, kind="stable")
-        context, leaf = np.c_[hidden, np.ones(len(hidden), np.float32)][order], leaf[order]
+        context, leaf = np.c_[hidden, np.ones(len(hidden), np.float32)].take(order, axis=0), leaf[order]
 
         def step(depth, rows, g):
             squares[depth][rows] += g * g
@@ -225,7 +231,7 @@ class Tree:
             parent = node // np.int32(self.arity)
             size = np.minimum(self.arity, len(level) - parent * self.arity)
             shift = np.log(np.minimum(SIBLINGS, size) / size).astype(np.float32)  # of a sibling's expected draws
-            own = np.einsum("ij,ij->i", level[node], context) - shift
+            own = np.einsum("ij,ij->i", level.take(node, axis=0), context) - shift
             right = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # P(noise)
             starts = np.nonzero(np.diff(node, prepend=-1))[0]
             step(depth, node[starts], np.add.reduceat(right[:, None] * context, starts))
@@ -263,9 +269,9 @@ class Codes:
     def encode(self, flat: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row in the lexicon or -1, code) of each word, and of the end after each text."""
         coded = flat.dictionary_encode()
-        row = self.words.find(coded.dictionary.to_pylist())
+        row = self.words.find(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         at = coded.indices.to_numpy()
-        return (np.insert(row[at], ends, self.words.find([b""])[0]), np.insert(self.code[row][at], ends, END))
+        return (np.insert(row.take(at), ends, self.words.find([b""])[0]), np.insert(self.code[row].take(at), ends, END))
 
 
 def _encode_batches(shared):
@@ -295,7 +301,8 @@ def _encode_batches(shared):
             lacking = [[{"token": w, "n": n} for w, n in c.items()] for c in mine]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(size.astype(np.int64)),
-                 pa.array([code[i:j].astype(np.int32).tobytes() for i, j in zip(at, at[1:])], pa.binary()),
+                 pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((4 * at).astype(np.int32)),
+                                                                pa.py_buffer(code.astype(np.int32))]),
                  per_text(np.where(found, log_base[row], 0.0)), per_text(found.astype(np.int64)),
                  per_text(np.where(found & other, log_count[row], 0.0)), per_text((found & other).astype(np.int64)),
                  pa.array(lacking, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())])))],
@@ -312,9 +319,10 @@ class Model:
 
     def read(self, seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(contexts, classes, leaves) of all tokens of some texts; a token without leaf has a negative one."""
-        leaf = [np.frombuffer(s, np.int32) - np.int32(self.base) for s in seqs]
-        classes = [np.where(x < 0, x, self.tree.top(x)) + np.int32(self.base) for x in leaf]
-        return np.concatenate([self.words.contexts(c) for c in classes]), np.concatenate(classes), np.concatenate(leaf)
+        leaf = np.frombuffer(b"".join(seqs), np.int32) - np.int32(self.base)
+        classes = np.where(leaf < 0, leaf, self.tree.top(leaf)) + np.int32(self.base)
+        sizes = np.array([len(s) // 4 for s in seqs])
+        return self.words.contexts(classes, np.cumsum(sizes) - sizes), classes, leaf
 
     def log_probabilities(self, seqs: list[bytes]) -> np.ndarray:
         contexts, classes, leaf = self.read(seqs)

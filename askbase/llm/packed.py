@@ -86,17 +86,15 @@ class Words:
         if not last:
             return np.full(len(words), -1)
         hashes, rows, at, blob = self.hashes, self.rows, self.at, self.blob
-        h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         place = np.searchsorted(hashes, h)
         place[place == last] = 0
         hit = hashes[place] == h
-        found = np.full(len(words), -1)
         row = rows[place]
-        starts, ends = at[row].tolist(), at[row + 1].tolist()
-        for k in np.nonzero(hit)[0].tolist():
-            if blob[starts[k]:ends[k]] == words[k]:
-                found[k] = row[k]
-                continue
+        spelled = [blob[a:b] for a, b in zip(at[row].tolist(), at[row + 1].tolist())]
+        same = np.fromiter(map(bytes.__eq__, spelled, words), bool, len(words))
+        found = np.where(hit & same, row, np.int64(-1))
+        for k in np.nonzero(hit & ~same)[0].tolist():
             p = int(place[k]) + 1
             while p < last and hashes[p] == h[k]:  # another word with the same hash
                 if blob[at[rows[p]]:at[rows[p] + 1]] == words[k]:
