@@ -11,7 +11,7 @@ slot's place in the shard is its offset, so a reader can start at any slot.
 
 Texts are read twice and tokenised twice: first only to count sequences per
 partition (one number each reaches the driver), then to make the records, which
-are shuffled once. Nothing else is stored. The partitions of both passes must
+are shuffled once. Within a slice of texts each distinct word is tokenised once. Nothing else is stored. The partitions of both passes must
 be the same, as they are for tables read from files; each task compares count
 and checksum with the first pass and fails if they differ.
 
@@ -27,17 +27,19 @@ shard.
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from askbase.llm.common import NO_ID, id_key, shared_dir, table
+from askbase.llm.common import NO_ID, id_key, shared_dir, slices, table
 
-LENGTH, PER_SHARD, ROUNDS, MEMO = 256, 1 << 15, 6, 600_000
+LENGTH, PER_SHARD, ROUNDS, MEMO, PACKED = 256, 1 << 15, 6, 600_000, 16 << 20
+#: A pattern known to end its parts before a space between two characters that are not white space.
+CUT_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEAD = np.dtype([("doc", "<i8"), ("seq", "<u4"), ("n", "<u2")])
 
 
@@ -49,10 +51,16 @@ def read_ranks(path: str | None = None) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
+#: What is not among these: characters whose class may differ between two versions of the pattern's engine.
+STABLE = r"[^\t\n\r\x20-\x7e\u00a1-\u04ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
+
 
 class Tokenizer:
     """Texts to packed 16-bit ids, remembering the encodings of MEMO parts met before.
 
+    A part of ``CUT_AT_SPACES`` takes a space only in front of what follows, so texts are cut at single spaces
+    between other characters, and each distinct word of a slice of texts is matched and looked up once.
+    Texts with other white space beside a space, and texts under another pattern, are matched whole.
     A worker keeps what it remembers from one task to the next.
     """
 
@@ -63,35 +71,111 @@ class Tokenizer:
         self.ranks, self.pattern, self.end = ranks, pattern, max(ranks.values(), default=-1) + 1
         if self.end >= 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.pack = None
+        self.made = None
 
     def __getstate__(self):
-        return self.__dict__ | {"pack": None}
+        return self.__dict__ | {"made": None}
 
     def packer(self):
-        self.pack = self.pack or self._packer()
-        return self.pack
+        """A function of one text: its packed ids."""
+        self.made = self.made or self._made()
+        return self.made[0]
+
+    def slice_packer(self):
+        """A function of an array of texts, some at least: their ids in a row, and where those of each text end.
+
+        With ``counted`` the ids may be left out.
+        """
+        self.made = self.made or self._made()
+        return self.made[1]
 
-    def _packer(self):
+    def _made(self):
         import regex
         import tiktoken
         encode = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks,
                                    special_tokens={}).encode_ordinary
+        unsure = regex.compile(STABLE).search
         parts, memo = regex.compile(self.pattern).findall, {}
         known, some = memo.get, struct.pack
 
-        def pack(text: str | None) -> bytes:
-            out = []
-            for part in parts(text or ""):
-                ids = known(part)
-                if ids is None:
-                    found = encode(part)
-                    ids = some(f"<{len(found)}H", *found)
-                    if len(memo) < MEMO:
-                        memo[part] = ids
-                out.append(ids)
-            return b"".join(out)
-        return pack
+        def ids_of(part: str) -> bytes:
+            ids = known(part)
+            if ids is None:
+                found = encode(part)
+                ids = some(f"<{len(found)}H", *found)
+                if len(memo) < MEMO:
+                    memo[part] = ids
+            return ids
+
+        def whole(text: str | None) -> bytes:
+            return b"".join(map(ids_of, parts(text or "")))
+
+        length = np.zeros(self.end, np.int64)
+        for token, i in self.ranks.items():
+            length[i] = len(token)
+
+        def encoded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """The ids of " word" for each word, in a row, and how many each has; none has a space."""
+            line = "".join([" " + w for w in words])
+            odd = [bool(unsure(w)) for w in words] if unsure(line) else []
+            if any(odd):  # matched by the pattern here, as parts of whole texts are
+                line = "".join([" " + w for w, o in zip(words, odd) if not o])
+            ids = np.array(encode(line), "<u2")
+            at = np.cumsum(length[ids])  # each id's last byte tells its word
+            data = np.frombuffer(line.encode(), np.uint8)
+            opens = np.nonzero(data == 32)[0]
+            size = np.diff(np.searchsorted(at, np.r_[opens, len(data)], side="right"))
+            if not any(odd):
+                return ids, size
+            alone = [whole(" " + w) if o else b"" for w, o in zip(words, odd)]
+            n = np.array([len(p) // 2 for p in alone], np.int64)
+            odd = np.array(odd)
+            start = np.zeros(len(words), np.int64)
+            start[~odd] = np.cumsum(size) - size
+            start[odd] = len(ids) + (np.cumsum(n) - n)[odd]
+            n[~odd] = size
+            return _runs(np.r_[ids, np.frombuffer(b"".join(alone), "<u2")], start, n), n
+
+        def by_word(texts: pa.Array, counted: bool = False):
+            lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            coded = lists.flatten().dictionary_encode()
+            code, words = coded.indices.to_numpy().astype(np.int64), _strings(coded.dictionary)
+            cut = np.array([w != "" and w == w.strip() for w in words], bool)  # strip() knows all white space, and more
+            odd = (np.diff(at) > 1) & (np.add.reduceat(~cut[code], at[:-1]) > 0)
+            # a text's first word has no space in front; odd texts take the place of theirs
+            first = [whole(texts[i].as_py() if o else words[c])
+                     for i, (o, c) in enumerate(zip(odd.tolist(), code[at[:-1]].tolist()))]
+            n_first = np.array([len(p) // 2 for p in first], np.int64)
+            ids, size = encoded([w for w, c in zip(words, cut) if c])
+            start, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            start[cut], n[cut] = np.cumsum(size) - size, size
+            n = n[code]
+            n[np.repeat(odd, np.diff(at))] = 0
+            n[at[:-1]] = n_first
+            ends = np.cumsum(np.add.reduceat(n, at[:-1]))
+            if counted:
+                return None, ends
+            start = start[code]
+            start[at[:-1]] = len(ids) + np.cumsum(n_first) - n_first
+            return _runs(np.r_[ids, np.frombuffer(b"".join(first), "<u2")], start, n), ends
+
+        def one_by_one(texts: pa.Array, counted: bool = False):
+            packed = [whole(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(packed), "<u2"), np.cumsum([len(p) // 2 for p in packed])
+
+        return whole, by_word if self.pattern == CUT_AT_SPACES else one_by_one
+
+
+def _strings(column: pa.Array) -> list[str]:
+    """As to_pylist(), many times faster."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values of many runs one after another."""
+    before = np.cumsum(size) - size
+    return values[np.repeat(start - before, size) + np.arange(size.sum())]
 
 
 def feistel(x: np.ndarray, n: int, key: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -118,11 +202,11 @@ def feistel(x: np.ndarray, n: int, key: str, rounds: int = ROUNDS) -> np.ndarray
     return v.astype(np.int64)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], pack, length: int, end: int):
-    """(doc ids, texts' packed tokens with the end token) batch by batch."""
-    stop = np.array([end], "<u2").tobytes()
-    for batch in batches:
-        yield batch.column(0).to_pylist(), [pack(t) + stop for t in batch.column(1).to_pylist()]
+def _mark(batch: pa.RecordBatch) -> bytes:
+    """What both passes must find in a slice: ids and texts, whichever way they are sliced."""
+    return b"\0".join([x if x is not None else b"" for pair in zip(
+        batch.column(0).cast(pa.string()).cast(pa.binary()).to_numpy(zero_copy_only=False),
+        batch.column(1).cast(pa.binary()).to_numpy(zero_copy_only=False)) for x in pair] + [b""])
 
 
 def _source(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -132,10 +216,11 @@ def _source(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def count_sequences(documents: DataFrame, tokenizer, id_col: str, text_col: str, length: int) -> dict:
     """partition -> (sequences, checksum)."""
     def run(batches):
-        own, n, check = tokenizer.value, 0, xxhash.xxh64()
-        for ids, packed in _sequences(batches, own.packer(), length, own.end):
-            n += sum(-(-len(p) // (2 * length)) for p in packed)
-            check.update(np.array(ids, np.int64).tobytes() + b"".join(packed))
+        pack, n, check = tokenizer.value.slice_packer(), 0, xxhash.xxh64()
+        for batch in slices(batches, PACKED):
+            sizes = np.diff(pack(batch.column(1), counted=True)[1], prepend=0) + 1
+            n += int((-(-sizes // length)).sum())
+            check.update(_mark(batch))
         yield pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([check.hexdigest()])],
             names=["part", "n", "checksum"])
@@ -161,21 +246,25 @@ def records(documents: DataFrame, key: str, id_col: str = "doc_id", text_col: st
         own, part = tokenizer.value, TaskContext.get().partitionId()
         start, n, checksum = plan.value.get(part, (0, 0, None))
         done, check = 0, xxhash.xxh64()
-        for ids, packed in _sequences(batches, own.packer(), length, own.end):
-            sizes = np.array([len(p) // 2 for p in packed])
+        pack = own.slice_packer()
+        for batch in slices(batches, PACKED):
+            found, ends = pack(batch.column(1))
+            sizes = np.diff(ends, prepend=0) + 1
+            tokens = np.insert(found, ends, own.end)
             count = -(-sizes // length)
             total_here = int(count.sum())
             seq = np.arange(total_here) - np.repeat(np.cumsum(count) - count, count)
             used = np.minimum(np.repeat(sizes, count) - seq * length, length)
             head = np.zeros(total_here, HEAD)
-            head["doc"], head["seq"], head["n"] = np.repeat(np.array(ids, np.int64), count), seq, used
-            pad = np.array([own.end], "<u2").tobytes()
-            body = b"".join(p + pad * int(c * length - s) for p, c, s in zip(packed, count, sizes))
+            head["doc"], head["seq"], head["n"] = np.repeat(batch.column(0).to_numpy(), count), seq, used
+            body = np.full(total_here * length, own.end, "<u2")
+            before = np.cumsum(sizes) - sizes
+            body[np.repeat((np.cumsum(count) - count) * length - before, sizes) + np.arange(len(tokens))] = tokens
             made = np.concatenate([head.view(np.uint8).reshape(-1, HEAD.itemsize),
-                                   np.frombuffer(body, np.uint8).reshape(-1, 2 * length)], axis=1)
+                                   body.view(np.uint8).reshape(-1, 2 * length)], axis=1)
             slots = feistel(np.arange(start + done, start + done + total_here), total, key)
             done += total_here
-            check.update(np.array(ids, np.int64).tobytes() + b"".join(packed))
+            check.update(_mark(batch))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(slots), pa.FixedSizeBinaryArray.from_buffers(
                     pa.binary(width), total_here, [None, pa.py_buffer(made.tobytes())]).cast(pa.binary())],
