@@ -47,10 +47,10 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[p
 
 
 def map_columns(df: DataFrame, inputs: dict[str, Column], outputs: str,
-                fn: Callable[[list[pa.Array]], list[pa.Array]]) -> DataFrame:
+                fn: Callable[[list[pa.Array]], list[pa.Array]], size: int = 2 << 20) -> DataFrame:
     """Add columns made by ``fn`` from batches of ``inputs``; the other columns pass through.
 
-    ``fn`` is called for one slice of rows after another. Names in ``outputs`` replace columns of ``df`` with these names.
+    ``fn`` is called for one slice of rows, of about ``size`` bytes, after another. Names in ``outputs`` replace columns of ``df`` with these names.
     """
     names = [part.strip().split(" ")[0] for part in _split(outputs)]
     keep = [c for c in df.columns if c not in names]
@@ -61,7 +61,7 @@ def map_columns(df: DataFrame, inputs: dict[str, Column], outputs: str,
                        *[c.alias(h) for h, c in zip(held, inputs.values())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size):
             made = fn([batch.column(len(keep) + i) for i in range(len(held))])
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made,
                                              names=keep + names)

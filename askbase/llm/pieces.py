@@ -34,13 +34,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from askbase.llm.common import id_key, let, map_columns, slices, stored, table
 from askbase.llm.packed import Words, most_frequent, segments
 
 MARK, LONG = "▁", 48
-LEXICON_BYTES, TASK_UNITS, UNITS = 256 << 20, 400_000, 50_000
+LEXICON_BYTES, TASK_UNITS, UNITS, TEXTS = 256 << 20, 400_000, 50_000, 12 << 20
 UNKNOWN_PENALTY = 10.0
 
 
@@ -143,6 +144,47 @@ def units_of(text: str | None, find) -> list[str]:
     return find(MARK + text.replace(" ", MARK)) if text else []
 
 
+def _words(text: str) -> list[str]:
+    """A text cut at its spaces, but for those beside a space or behind a mark, where a unit goes on."""
+    out, held = [], None
+    for word in text.split(" "):
+        if held is None:
+            held = word
+        elif not held or held[-1] in (" ", MARK):
+            held += f" {word}"
+        else:
+            out.append(held)
+            held = word
+    return [*out, held]
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """(numbers of the texts' words in a row, the distinct words, whether each is one unit, words per text).
+
+    A unit starts at each space that follows no space or mark, so the units of a text are those of its words.
+    """
+    texts = pc.fill_null(texts, "")
+    lists = pc.split_pattern(texts, " ")
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    # words that are empty or end with a mark do not end there
+    loose = pc.or_(pc.equal(pc.binary_length(flat), 0), pc.ends_with(flat, MARK)).to_numpy(zero_copy_only=False)
+    if loose.any():
+        ends = np.cumsum(sizes)
+        parts, done = [], 0
+        for i in np.unique(np.searchsorted(ends, np.nonzero(loose)[0], side="right")).tolist():
+            text = texts[i].as_py()
+            own = _words(text) if text else []
+            first = int(ends[i] - sizes[i])
+            parts += [flat.slice(done, first - done), pa.array(own, pa.string())]
+            done, sizes[i] = int(ends[i]), len(own)
+        flat = pa.concat_arrays([*parts, flat.slice(done)])
+    coded = flat.dictionary_encode()
+    several = pc.match_substring_regex(coded.dictionary, f"[\\x00-\\x20{MARK}]").to_numpy(zero_copy_only=False)
+    return (coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist(),
+            ~several, sizes)
+
+
 def count_units(documents: DataFrame, text_col: str, model: Model) -> DataFrame:
     """(unit, n): units of the corpus, already added up within a task."""
     pattern = model.pattern
@@ -158,11 +200,16 @@ def count_units(documents: DataFrame, text_col: str, model: Model) -> DataFrame:
             total.clear()
             return made
 
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                total.update(units_of(text, find))
-                if len(total) > TASK_UNITS:
-                    yield flush()
+        for batch in slices(batches, TEXTS):
+            code, words, lone, _ = _cut(batch.column(0))
+            for word, one, n in zip(words, lone.tolist(), np.bincount(code, minlength=len(words)).tolist()):
+                if one:
+                    total[MARK + word] += n
+                else:
+                    for unit in units_of(word, find):
+                        total[unit] += n
+            if len(total) > TASK_UNITS:
+                yield flush()
         yield flush()
 
     return documents.select(F.col(text_col).alias("t")).mapInArrow(run, "unit string, n bigint")
@@ -303,24 +350,36 @@ class Lexicon(Words):
         return self
 
 
-def _flat(texts, find) -> tuple[list[str], np.ndarray]:
-    """All units of ``texts`` in a row, and how many each text has."""
-    flat, sizes = [], []
-    for t in texts:
-        own = units_of(t, find)
-        flat += own
-        sizes.append(len(own))
-    return flat, np.array(sizes, np.int64)
+def _flat(texts: pa.Array, find) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(number of each unit of the texts in a row, the distinct units, units per text)."""
+    code, words, lone, sizes = _cut(texts)
+    names = [MARK + w for w, one in zip(words, lone.tolist()) if one]
+    number, more = dict(zip(names, range(len(names)))), []
+    start, n = np.empty(len(words), np.int64), np.ones(len(words), np.int64)
+    start[lone] = np.arange(len(names))
+    for i in np.nonzero(~lone)[0].tolist():
+        own = units_of(words[i], find)
+        start[i], n[i] = len(names) + len(more), len(own)
+        more += [number.setdefault(u, len(number)) for u in own]
+    units = _runs(np.r_[np.arange(len(names)), np.array(more, np.int64)], start[code], n[code])
+    ends = np.cumsum(sizes)
+    total = np.r_[0, np.cumsum(n[code])]
+    return units, list(number), total[ends] - total[ends - sizes]
+
+
+def _runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The values of many runs one after another."""
+    before = np.cumsum(size) - size
+    return values[np.repeat(start - before, size) + np.arange(size.sum())]
 
 
-def _encode_texts(texts, tails, lexicon: Lexicon, find, spelled: list[bytes]):
+def _encode_texts(texts: pa.Array, tails: pa.Array, lexicon: Lexicon, find, spelled: list[bytes]):
     """(ids of all texts in a row, ids per text, the texts that the ids decode to)."""
-    flat, sizes = _flat(texts, find)
-    coded = pa.array(flat, pa.string()).dictionary_encode()
-    names = coded.dictionary.cast(pa.binary()).to_pylist()
+    codes, units, sizes = _flat(texts, find)
+    names = [u.encode() for u in units]
     row = lexicon.find(names)
     lacking = np.nonzero(row < 0)[0]
-    extra = {x["unit"].encode(): x["ids"] for tail in tails for x in tail or ()} if len(lacking) else {}
+    extra = {x["unit"].encode(): x["ids"] for tail in tails.to_pylist() for x in tail or ()} if len(lacking) else {}
     more = [extra[names[k]] for k in lacking]
     base = len(lexicon.ids)
     ids = np.concatenate([lexicon.ids, *[np.array(m, np.int32) for m in more]]) if more else lexicon.ids
@@ -329,15 +388,17 @@ def _encode_texts(texts, tails, lexicon: Lexicon, find, spelled: list[bytes]):
     start, count = first[known].astype(np.int64), (first[known + 1] - first[known]).astype(np.int64)
     lengths = np.array([len(m) for m in more], np.int64)
     start[lacking], count[lacking] = base + np.cumsum(lengths) - lengths, lengths
-    codes = coded.indices.to_numpy()
-    said = [b"".join([spelled[i] for i in ids[s:s + n].tolist()]) for s, n in zip(start.tolist(), count.tolist())]
+    # the slice's own units and their ids, then those of its texts
+    ids = _runs(ids, start, count).astype(np.int32)
+    start = np.cumsum(count) - count
+    said = pc.binary_join(pa.ListArray.from_arrays(
+        np.r_[start, len(ids)].astype(np.int32), pa.array(spelled, pa.binary()).take(pa.array(ids))), b"")
     ends = np.cumsum(sizes)
-    decoded = [b"".join([said[c] for c in codes[e - n:e].tolist()]) for e, n in zip(ends.tolist(), sizes.tolist())]
-    start, count = start[codes], count[codes]
-    before = np.cumsum(count) - count
-    out = ids[np.repeat(start - before, count) + np.arange(count.sum())].astype(np.int32)
-    totals = np.add.reduceat(np.r_[count, 0], np.r_[0, ends[:-1]]) * (sizes > 0) if len(sizes) else sizes
-    return out, totals, decoded
+    decoded = pc.binary_join(pa.ListArray.from_arrays(
+        np.r_[0, ends].astype(np.int32), said.take(pa.array(codes))), b"")
+    out = _runs(ids, start[codes], count[codes])
+    total = np.r_[0, np.cumsum(count[codes])]
+    return out, total[ends] - total[ends - sizes], decoded
 
 
 def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
@@ -367,13 +428,12 @@ def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         def lacking(batches):
             find = re.compile(pattern).findall
             for batch in slices(batches):
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                flat, sizes = _flat(texts, find)
-                coded = pa.array(flat, pa.string()).dictionary_encode()
-                absent = shared.value[0].find(coded.dictionary.cast(pa.binary()).to_pylist()) < 0
-                at = np.nonzero(absent[coded.indices.to_numpy()])[0]
-                doc = np.repeat(np.arange(len(texts)), sizes)[at]
-                pairs = list({(ids[d], flat[i]) for d, i in zip(doc.tolist(), at.tolist())})
+                ids = batch.column(0).to_pylist()
+                codes, units, sizes = _flat(batch.column(1), find)
+                absent = shared.value[0].find([u.encode() for u in units]) < 0
+                at = np.nonzero(absent[codes])[0]
+                doc = np.repeat(np.arange(len(ids)), sizes)[at]
+                pairs = list({(ids[d], units[codes[i]]) for d, i in zip(doc.tolist(), at.tolist())})
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([d for d, _ in pairs], pa.int64()), pa.array([u for _, u in pairs], pa.string())],
                     names=["tail_id", "unit"])
@@ -387,14 +447,16 @@ def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def fn(columns):
         find, (lexicon, spelled) = re.compile(pattern).findall, shared.value
-        texts = columns[0].to_pylist()
-        ids, sizes, decoded = _encode_texts(texts, columns[1].to_pylist(), lexicon.open(), find, spelled)
-        same = [d.removeprefix(b" ") == (t or "").encode() for d, t in zip(decoded, texts)]
+        texts = pc.fill_null(columns[0], "")
+        ids, sizes, decoded = _encode_texts(texts, columns[1], lexicon.open(), find, spelled)
+        texts = texts.cast(pa.binary())
+        spaced = pc.starts_with(decoded, b" ")
+        same = pc.if_else(spaced, pc.equal(decoded, pc.binary_join_element_wise(b" ", texts, b"")), pc.equal(decoded, texts))
         return [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids)),
-                pa.array(np.asarray(sizes, np.int64)), pa.array(same, pa.bool_())]
+                pa.array(np.asarray(sizes, np.int64)), same]
 
     added = "piece_ids array<int>, n_pieces bigint, round_trip boolean"
-    out = map_columns(held.select("row", "text", "tail"), {"t": F.col("text"), "tail": F.col("tail")}, added, fn)
+    out = map_columns(held.select("row", "text", "tail"), {"t": F.col("text"), "tail": F.col("tail")}, added, fn, TEXTS)
     names = ("piece_ids", "n_pieces", "round_trip")
     return out.select(*[F.col("row").getField(c).alias(c) for c in documents.columns if c not in names], *names)
 
