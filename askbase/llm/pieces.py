@@ -41,7 +41,7 @@ from askbase.llm.common import id_key, let, map_columns, slices, stored, table
 from askbase.llm.packed import Words, most_frequent, segments
 
 MARK, LONG = "▁", 48
-LEXICON_BYTES, TASK_UNITS, UNITS, TEXTS = 256 << 20, 400_000, 50_000, 12 << 20
+LEXICON_BYTES, TASK_UNITS, UNITS, TEXTS = 256 << 20, 400_000, 50_000, 4 << 20
 UNKNOWN_PENALTY = 10.0
 
 
@@ -370,7 +370,9 @@ def _flat(texts: pa.Array, find) -> tuple[np.ndarray, list[str], np.ndarray]:
 def _runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The values of many runs one after another."""
     before = np.cumsum(size) - size
-    return values[np.repeat(start - before, size) + np.arange(size.sum())]
+    place = np.repeat(start - before, size)
+    place += np.arange(len(place))
+    return values[place]
 
 
 def _encode_texts(texts: pa.Array, tails: pa.Array, lexicon: Lexicon, find, spelled: list[bytes]):

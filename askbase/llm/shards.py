@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from askbase.llm.common import NO_ID, id_key, shared_dir, slices, table
 
-LENGTH, PER_SHARD, ROUNDS, MEMO, PACKED = 256, 1 << 15, 6, 600_000, 16 << 20
+LENGTH, PER_SHARD, ROUNDS, MEMO, PACKED = 256, 1 << 15, 6, 600_000, 6 << 20
 #: A pattern known to end its parts before a space between two characters that are not white space.
 CUT_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEAD = np.dtype([("doc", "<i8"), ("seq", "<u4"), ("n", "<u2")])
@@ -175,7 +175,9 @@ def _strings(column: pa.Array) -> list[str]:
 def _runs(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The values of many runs one after another."""
     before = np.cumsum(size) - size
-    return values[np.repeat(start - before, size) + np.arange(size.sum())]
+    place = np.repeat(start - before, size)
+    place += np.arange(len(place))
+    return values[place]
 
 
 def feistel(x: np.ndarray, n: int, key: str, rounds: int = ROUNDS) -> np.ndarray:
