@@ -41,7 +41,7 @@ from askbase.llm.common import id_key, let, map_columns, slices, stored, table
 from askbase.llm.packed import Words, most_frequent, segments
 
 MARK, LONG = "▁", 48
-LEXICON_BYTES, TASK_UNITS, UNITS, TEXTS = 256 << 20, 400_000, 50_000, 4 << 20
+LEXICON_BYTES, TASK_UNITS, UNITS, TEXTS = 256 << 20, 400_000, 50_000, 1 << 20
 UNKNOWN_PENALTY = 10.0
 
 
