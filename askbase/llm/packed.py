@@ -4,7 +4,7 @@ Tasks pack their rows into compressed segments; the driver passes the segments
 on without opening them, and each worker builds its own index.
 """
 
-import io
+import ctypes
 import pickle
 
 import numpy as np
@@ -14,8 +14,6 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-SLICE = 1 << 13
-
 
 def _numbers(values: pa.Array) -> tuple[np.ndarray, ...]:
     if not pa.types.is_list(values.type):
@@ -40,6 +38,14 @@ def segments(df: DataFrame) -> list[bytes]:
     return [bytes(r[0]) for r in sorted_rows.mapInArrow(run, "segment binary").collect()]
 
 
+def _give_back() -> None:
+    """Free memory goes back to the system, as a worker lives on beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 class Words:
     """Distinct words found by hash and confirmed by their bytes; ``values`` are their numbers."""
 
@@ -52,31 +58,44 @@ class Words:
     def open(self) -> "Words":
         if self.hashes is not None:
             return self
+        _give_back()
         unpack = zstandard.ZstdDecompressor().decompress
-        lengths, text, values, packed = [], io.BytesIO(), [], self.packed[::-1]
+        n, size, kinds, shapes = 0, 0, [], []
+        for part in self.packed:  # unpacked twice, so that nothing is held twice
+            own, words, numbers = pickle.loads(unpack(part))
+            n, size = n + len(own), size + len(words)
+            kinds.append([v.dtype for v in numbers])
+            shapes.append([len(v) for v in numbers])
+        self.blob = bytearray(size)
+        self.at = np.zeros(n + 1, np.int32 if size < 1 << 31 else np.int64)
+        self.values = [np.empty(sum(length), np.result_type(*kind)) for length, kind in zip(zip(*shapes), zip(*kinds))]
+        hashes = np.empty(n, np.uint32)
+        digest, row, end, ends, packed = xxhash.xxh32_intdigest, 0, 0, [0] * len(self.values), self.packed[::-1]
         self.packed = []
-        while packed:  # one segment at a time is unpacked, and each list of arrays is freed as it is joined
+        while packed:
             own, words, numbers = pickle.loads(unpack(packed.pop()))
-            lengths.append(own)
-            text.write(words)
-            values.append(numbers)
-        self.blob = text.getvalue()
-        del text
-        kind = np.int32 if len(self.blob) < 1 << 31 else np.int64
-        self.at = np.zeros(sum(map(len, lengths)) + 1, kind)
-        if lengths:
-            np.cumsum(np.concatenate(lengths), out=self.at[1:])
-        del lengths
-        self.values = [np.concatenate(v) for v in zip(*values)]
-        del values
-        n, digest, blob = len(self.at) - 1, xxhash.xxh64_intdigest, self.blob
-        hashes = np.empty(n, np.uint64)
-        for s in range(0, n, SLICE):
-            cut = self.at[s:s + SLICE + 1].tolist()
-            hashes[s:s + SLICE] = [digest(blob[i:j]) for i, j in zip(cut, cut[1:])]
-        self.rows = np.argsort(hashes).astype(np.int32)
+            place = self.at[row:row + len(own) + 1]
+            np.cumsum(own, out=place[1:])
+            cut = place.tolist()
+            cut[0] = 0
+            hashes[row:row + len(own)] = [digest(words[i:j]) for i, j in zip(cut, cut[1:])]
+            place[1:] += end
+            self.blob[end:end + len(words)] = words
+            row, end = row + len(own), end + len(words)
+            for k, v in enumerate(numbers):
+                self.values[k][ends[k]:ends[k] + len(v)] = v
+                ends[k] += len(v)
+            if len(packed) % 64 == 0:
+                _give_back()
+        self.rows, done, top = np.empty(n, np.int32), 0, (hashes >> np.uint32(28)).astype(np.uint8)
+        for part in range(16):  # sorted by parts, so that little is held beside them
+            own = np.nonzero(top == part)[0].astype(np.int32)
+            self.rows[done:done + len(own)] = own[np.argsort(hashes[own])]
+            done += len(own)
         hashes.sort()
         self.hashes = hashes
+        kind = pa.binary() if self.at.itemsize == 4 else pa.large_binary()
+        self.texts = pa.Array.from_buffers(kind, n, [None, pa.py_buffer(self.at), pa.py_buffer(self.blob)])
         return self
 
     def find(self, words: list[bytes]) -> np.ndarray:
@@ -86,13 +105,14 @@ class Words:
         if not last:
             return np.full(len(words), -1)
         hashes, rows, at, blob = self.hashes, self.rows, self.at, self.blob
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        place = np.searchsorted(hashes, h)
+        h = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
+        order = np.argsort(h)  # neighbours are near in memory
+        place = np.empty(len(h), np.int64)
+        place[order] = np.searchsorted(hashes, h[order])
         place[place == last] = 0
         hit = hashes[place] == h
         row = rows[place]
-        spelled = [blob[a:b] for a, b in zip(at[row].tolist(), at[row + 1].tolist())]
-        same = np.fromiter(map(bytes.__eq__, spelled, words), bool, len(words))
+        same = pc.equal(self.texts.take(pa.array(row)), pa.array(words, self.texts.type)).to_numpy(zero_copy_only=False)
         found = np.where(hit & same, row, np.int64(-1))
         for k in np.nonzero(hit & ~same)[0].tolist():
             p = int(place[k]) + 1

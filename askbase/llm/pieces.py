@@ -225,14 +225,17 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges): every piece in the unit, and each character; ``id`` is null without a piece."""
+    """(unit, edges): every piece in the unit, and each character; ``id`` is null without a piece.
+
+    Rows of a unit come one after another, so that grouping them by its number first finds them sorted.
+    """
     size, s, e = F.length("unit"), F.col("s"), F.col("e")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
-    rows = starts.select("unit", "s", F.explode(F.sequence(s + 1, F.least(s + longest, size))).alias("e")).select(
-        "unit", "s", "e", F.substring("unit", s + 1, e - s).alias("piece"))
+    starts = units.select(F.monotonically_increasing_id().alias("no"), "unit").select("no", "unit", F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    rows = starts.select("no", "unit", "s", F.explode(F.sequence(s + 1, F.least(s + longest, size))).alias("e")).select(
+        "no", "unit", "s", "e", F.substring("unit", s + 1, e - s).alias("piece"))
     return (rows.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR e = s + 1")
-            .groupBy("unit").agg(F.collect_list(F.struct(
-                "s", "e", "id", "score", F.coalesce("odd", F.lit(False)).alias("odd"))).alias("edges")))
+            .groupBy("no", "unit").agg(F.collect_list(F.struct(
+                "s", "e", "id", "score", F.coalesce("odd", F.lit(False)).alias("odd"))).alias("edges")).drop("no"))
 
 
 def _next_to(bounds: Column, x: Column) -> Column:
@@ -241,8 +244,26 @@ def _next_to(bounds: Column, x: Column) -> Column:
         (p > 0) & (F.get(bounds, p + 1) == x["e"]), p).otherwise(0))
 
 
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
+
+
+def _ends(x: Column) -> Column:
+    return _bit(x["s"]).bitwiseOR(_bit(x["e"]))
+
+
+def _reach(x: Column) -> Column:
+    """The bits of an edge's ends and of all places between."""
+    return _bit(x["e"] + 1) - _bit(x["s"])
+
+
+def _bits(bounds: Column) -> Column:
+    """Boundaries as the bits of a number; units here have at most LONG characters."""
+    return F.aggregate(bounds, F.lit(0).cast("bigint"), lambda b, x: b.bitwiseOR(_bit(x)))
+
+
 def _merge_pass(unit: Column, edges: Column) -> Column:
-    """Boundaries of the BPE encoding, for edges of regular pieces.
+    """Boundaries of the BPE encoding as bits, for edges of regular pieces.
 
     In the order of their scores, leftmost first, each edge is merged if it
     spans two neighbours at its turn. What lies between two boundaries that
@@ -251,8 +272,9 @@ def _merge_pass(unit: Column, edges: Column) -> Column:
     """
     ranked = F.array_sort(F.transform(F.filter(edges, lambda x: x["e"] > x["s"] + 1), lambda x: F.struct(
         (-x["score"]).alias("k"), x["s"].alias("s"), x["e"].alias("e"))))
-    return F.aggregate(ranked, F.sequence(F.lit(0), F.length(unit)), lambda b, x: let(
-        _next_to(b, x), lambda p: F.when(p > 0, F.array_remove(b, F.get(b, p))).otherwise(b)))
+    return F.aggregate(ranked, _bit(F.length(unit) + 1) - 1, lambda b, x: F.when(
+        (b.bitwiseAND(_ends(x)) == _ends(x)) & (F.bit_count(b.bitwiseAND(_reach(x))) == 3),
+        b.bitwiseAND(F.bitwise_not(_reach(x))).bitwiseOR(_ends(x))).otherwise(b))
 
 
 def _merge_fold(unit: Column, edges: Column) -> Column:
@@ -304,8 +326,8 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
     short = units.where(F.length("unit") <= LONG).select("unit").repartition(parts, "unit")
     edges = lattice(short, piece_table(spark, model), model.longest)
     unit, e = F.col("unit"), F.col("edges")
-    bounds = _viterbi_fold(unit, e, model.low) if model.kind == "unigram" else F.when(
-        F.exists(e, lambda x: x["odd"]), _merge_fold(unit, e)).otherwise(_merge_pass(unit, e))
+    bounds = _bits(_viterbi_fold(unit, e, model.low)) if model.kind == "unigram" else F.when(
+        F.exists(e, lambda x: x["odd"]), _bits(_merge_fold(unit, e))).otherwise(_merge_pass(unit, e))
     if model.byte_ids:
         first = model.byte_ids[0]
         if model.byte_ids != list(range(first, first + 256)):
@@ -320,8 +342,7 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
             return F.array(F.lit(model.unknown))
 
     ids = F.flatten(let(bounds, lambda b: F.transform(
-        F.array_sort(F.filter(e, lambda x: let(F.array_position(b, x["s"]).cast("int"), lambda p: (
-            p > 0) & (F.get(b, p) == x["e"])))),
+        F.array_sort(F.filter(e, lambda x: b.bitwiseAND(_reach(x)) == _ends(x))),
         lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(
             other(F.substring(unit, x["s"] + 1, F.lit(1)))))))
     folded = edges.select("unit", ids.alias("ids"))
@@ -404,10 +425,10 @@ def _encode_texts(texts: pa.Array, tails: pa.Array, lexicon: Lexicon, find, spel
 
 
 def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
-           lexicon_bytes: int = LEXICON_BYTES) -> DataFrame:
+           lexicon_bytes: int = LEXICON_BYTES, keep: list[str] | None = None) -> DataFrame:
     """``documents`` with ``piece_ids``, n_pieces and round_trip: whether the ids decode to the text.
 
-    Columns of the input with these names are replaced.
+    Columns of the input with these names are replaced; ``keep`` names the others to return, all if it is not given.
     """
     spark, pattern = documents.sparkSession, model.pattern
     counted = stored(count_units(documents, text_col, model).groupBy("unit").agg(F.sum("n").alias("n")),
@@ -424,8 +445,8 @@ def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         sent, rest = sized.where(head).select("unit", "ids"), sized.where(~head).select("unit", "ids")
     shared = spark.sparkContext.broadcast(
         (Lexicon(segments(sent.select(F.col("unit").cast("binary").alias("unit"), "ids"))), model.spelled()))
-    held = documents.select(F.struct("*").alias("row"), id_key(id_col).alias("id"),
-                            F.col(text_col).alias("text"))
+    held = documents.select(F.struct("*").alias("row"), id_key(id_col).alias("id"))
+    text = F.col("row").getField(text_col)
     if rest is not None:
         def lacking(batches):
             find = re.compile(pattern).findall
@@ -440,27 +461,34 @@ def encode(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                     [pa.array([d for d, _ in pairs], pa.int64()), pa.array([u for _, u in pairs], pa.string())],
                     names=["tail_id", "unit"])
 
-        pairs = held.select("id", "text").mapInArrow(lacking, "tail_id bigint, unit string")
+        pairs = held.select("id", text.alias("text")).mapInArrow(lacking, "tail_id bigint, unit string")
         tails = (pairs.join(rest, "unit").groupBy("tail_id")
                  .agg(F.collect_list(F.struct("unit", "ids")).alias("tail")))
         held = held.join(tails, F.col("id") == F.col("tail_id"), "left").drop("tail_id")
     else:
         held = held.withColumn("tail", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>"))
 
-    def fn(columns):
-        find, (lexicon, spelled) = re.compile(pattern).findall, shared.value
-        texts = pc.fill_null(columns[0], "")
-        ids, sizes, decoded = _encode_texts(texts, columns[1], lexicon.open(), find, spelled)
-        texts = texts.cast(pa.binary())
-        spaced = pc.starts_with(decoded, b" ")
-        same = pc.if_else(spaced, pc.equal(decoded, pc.binary_join_element_wise(b" ", texts, b"")), pc.equal(decoded, texts))
-        return [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids)),
-                pa.array(np.asarray(sizes, np.int64)), same]
+    names = ["piece_ids", "n_pieces", "round_trip"]
+    kept = [c for c in (documents.columns if keep is None else keep) if c not in names]
+    at = kept.index(text_col) if text_col in kept else len(kept)  # a text is sent once
 
-    added = "piece_ids array<int>, n_pieces bigint, round_trip boolean"
-    out = map_columns(held.select("row", "text", "tail"), {"t": F.col("text"), "tail": F.col("tail")}, added, fn, TEXTS)
-    names = ("piece_ids", "n_pieces", "round_trip")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in documents.columns if c not in names], *names)
+    def run(batches):
+        find, (lexicon, spelled) = re.compile(pattern).findall, shared.value
+        lexicon.open()
+        for batch in slices(batches, TEXTS // 2):
+            texts = pc.fill_null(batch.column(at), "")
+            ids, sizes, decoded = _encode_texts(texts, batch.column(batch.num_columns - 1), lexicon, find, spelled)
+            texts = texts.cast(pa.binary())
+            spaced = pc.starts_with(decoded, b" ")
+            same = pc.if_else(spaced, pc.equal(decoded, pc.binary_join_element_wise(b" ", texts, b"")), pc.equal(decoded, texts))
+            made = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids)),
+                    pa.array(np.asarray(sizes, np.int64)), same]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + made, names=kept + names)
+
+    sent = [*[F.col("row").getField(c) for c in kept], *[text] * (at == len(kept)), F.col("tail")]
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*[F.col(f"`{c}`") for c in kept]).schema.fields]
+    return held.select(*[c.alias(f"c{i}") for i, c in enumerate(sent)]).mapInArrow(
+        run, ", ".join([*schema, "piece_ids array<int>, n_pieces bigint, round_trip boolean"]))
 
 
 def decode(df: DataFrame, model: Model, ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -486,4 +514,4 @@ def default_model(path: str | None = None) -> Model:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(documents, default_model()).select("doc_id", "n_pieces", "round_trip", "piece_ids")
+    return encode(documents, default_model(), keep=["doc_id"]).select("doc_id", "n_pieces", "round_trip", "piece_ids")
