@@ -54,6 +54,7 @@ from askbase.llm.packed import Words, most_frequent, segments
 
 HEAD, DIM, CONTEXT, NOISE, BATCH, ROUNDS, RATE, SEED = 510, 16, 2, 48, 4096, 2, 0.1, 42
 LEAST, TOP, SIBLINGS, TREE_BATCH, TREE_RATE = 5, 64, 8, 1 << 18, 0.5
+STACK, PIECE = 1 << 19, 1 << 12  # numbers worked on at once, rows of a family scored at once
 LEXICON_BYTES, VECTOR_BYTES, COUNTED, CODED, SCORED = 128 << 20, 96 << 20, 24 << 20, 6 << 20, 4 << 20
 END, OTHER = 0, 1
 
@@ -117,24 +118,24 @@ class LogBilinear:
         return out
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, rng, squares: dict) -> None:
-        """One NCE step with adaptive rates on a minibatch; its noise classes are shared."""
+        """One NCE step with adaptive rates on a minibatch; its noise classes are shared, one drawn several times counts as often."""
         self.sums = None
-        noise = rng.choice(self.classes, NOISE, p=self.unigram)
+        noise, times = np.unique(rng.choice(self.classes, NOISE, p=self.unigram), return_counts=True)
         shift = np.log(NOISE * self.unigram).astype(np.float32)
         hidden = self.predicted(contexts)
         met, offset = self.target.take(targets, axis=0), self.bias[:, 0] - shift
         own = np.einsum("ij,ij->i", hidden, met) + offset[targets]
-        wrong = hidden @ self.target[noise].T
-        wrong += offset[noise]
+        wrong = hidden @ -self.target[noise].T
+        wrong -= offset[noise]
         right = 1 / (1 + np.exp(np.clip(own, -30, 30)))  # 1 - P(data)
-        np.exp(np.negative(np.clip(wrong, -30, 30, out=wrong), out=wrong), out=wrong)
-        np.divide(-1, np.add(wrong, 1, out=wrong), out=wrong)
+        np.exp(np.clip(wrong, -30, 30, out=wrong), out=wrong)
+        np.divide(-times.astype(np.float32), np.add(wrong, 1, out=wrong), out=wrong)
         back = right[:, None] * met + wrong @ self.target[noise]
         add = {"target": _sums(targets, right[:, None] * hidden, self.classes),
                "bias": _sums(targets, right[:, None], self.classes),
                "context": np.zeros_like(self.context), "scale": np.zeros_like(self.scale)}
-        np.add.at(add["target"], noise, wrong.T @ hidden)
-        np.add.at(add["bias"][:, 0], noise, np.einsum("ij->j", wrong))
+        add["target"][noise] += wrong.T @ hidden
+        add["bias"][noise, 0] += np.einsum("ij->j", wrong)
         for i in range(CONTEXT):
             add["context"] += _sums(contexts[:, i], back * self.scale[i], self.classes + 1)
             add["scale"][i] = np.einsum("ij,ij->j", back, self.context.take(contexts[:, i], axis=0))
@@ -143,6 +144,14 @@ class LogBilinear:
             squares[name] += g * g
             getattr(self, name)[...] += RATE * g / np.sqrt(squares[name] + 1e-8)
 
+    @property
+    def steps(self) -> np.ndarray:
+        return (self.classes + 1) ** np.arange(CONTEXT)
+
+    def pairs(self, contexts: np.ndarray) -> np.ndarray:
+        """One number for each context."""
+        return contexts @ self.steps
+
     def log_sums(self, contexts: np.ndarray) -> np.ndarray:
         """ln of the sum of exp of all class scores, for each context."""
         out = np.empty(len(contexts))
@@ -157,11 +166,11 @@ class LogBilinear:
         """ln P(target | context), normalised over the classes; a pair of classes is summed over once."""
         if self.sums is None:
             self.sums = np.full((self.classes + 1) ** CONTEXT, np.nan)
-        steps = (self.classes + 1) ** np.arange(CONTEXT)
+        steps = self.steps
         own = np.empty(len(targets))
         for s in range(0, len(targets), 1 << 16):
             c, t = contexts[s:s + (1 << 16)], targets[s:s + (1 << 16)]
-            code = c @ steps
+            code = self.pairs(c)
             new = np.unique(code[np.isnan(self.sums[code])])
             self.sums[new] = self.log_sums(new[:, None] // steps % (self.classes + 1))
             own[s:s + (1 << 16)] = np.einsum("ij,ij->i", self.predicted(c), self.target.take(t, axis=0)) + self.bias[t, 0] - self.sums[code]
@@ -171,8 +180,13 @@ class LogBilinear:
 def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of ``values`` by row number."""
     width = values.shape[1]
-    at = rows if width == 1 else (np.multiply(rows, width, dtype=np.intp)[:, None] + np.arange(width)).ravel()
-    return np.bincount(at, values.ravel(), n * width).reshape(n, width).astype(np.float32)
+    if width == 1:
+        return np.bincount(rows, values.ravel(), n).reshape(n, 1).astype(np.float32)
+    half = width // 2  # two numbers are added at a time
+    out = np.zeros(n * half, np.complex128)
+    at = (np.multiply(rows, half, dtype=np.intp)[:, None] + np.arange(half)).ravel()
+    np.add.at(out, at, values.astype(float).view(np.complex128).ravel())
+    return out.view(float).reshape(n, width).astype(np.float32)
 
 
 class Tree:
@@ -194,37 +208,64 @@ class Tree:
     def top(self, leaf: np.ndarray) -> np.ndarray:
         return leaf // np.int32(self.arity ** len(self.levels))
 
-    def families(self, leaf: np.ndarray, depth: int):
-        """(start, end) in sorted leaves, and the first node, of each family of siblings met at a depth."""
-        parent = leaf // np.int32(self.arity ** (depth + 1))
-        cuts = np.nonzero(np.diff(parent, prepend=-1, append=-1))[0].tolist() if len(leaf) else []
-        for i, j in zip(cuts, cuts[1:]):
-            yield i, j, int(parent[i]) * self.arity
-
-    def log_probabilities(self, hidden: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """ln P(leaf | its top class, context); one matrix product for each family."""
-        order = np.argsort(leaf, kind="stable")
-        hidden, leaf = np.c_[hidden, np.ones(len(hidden), np.float32)].take(order, axis=0), leaf[order]
-        total = np.zeros(len(leaf))
+    def stacks(self, parent: np.ndarray, width: int, piece: int | None = None):
+        """Rows sorted by their family's parent, in stacks of families of about the same size.
+
+        (rows, number and first node of each family); a family's rows are filled up with the row after the last.
+        A row takes ``width`` numbers. Families are cut at every ``piece`` rows if given.
+        """
+        starts = np.nonzero(np.diff(parent, prepend=-1))[0]
+        family = np.arange(len(starts))
+        if piece:
+            starts = np.union1d(starts, np.arange(0, len(parent), piece))
+            family = np.cumsum(np.diff(parent[starts], prepend=-1) > 0) - 1
+        sizes = np.diff(starts, append=len(parent))
+        order = np.argsort(sizes, kind="stable")
+        ranked, s = sizes[order], 0
+        while s < len(order):
+            e = int(np.searchsorted(ranked, ranked[s] * 5 // 4, side="right"))
+            e = max(s + 1, min(e, s + STACK // int(ranked[e - 1] * width)))
+            own, place = order[s:e], np.arange(ranked[e - 1])
+            rows = np.where(place < sizes[own][:, None], starts[own][:, None] + place, len(parent))
+            yield rows, family[own], parent[starts[own]].astype(np.int64) * self.arity
+            s = e
+
+    def log_probabilities(self, hidden: np.ndarray, leaf: np.ndarray, pair: np.ndarray | None = None) -> np.ndarray:
+        """ln P(leaf | its top class, context), contexts with one number ``pair`` being the same.
+
+        A family is summed over once for a context; families of like sizes share a matrix product.
+        """
+        pair = np.arange(len(leaf)) if pair is None else pair
+        out, kinds = np.zeros(len(leaf)), int(pair.max(initial=0)) + 1
         for depth, level in enumerate(self.levels):
-            node = leaf // np.int32(self.arity ** depth)
-            for i, j, first in self.families(leaf, depth):
-                scores = level[first:first + self.arity] @ hidden[i:j].T
-                scores -= scores.max(axis=0)
-                own = scores[node[i:j] - first, np.arange(j - i)]
-                total[i:j] += own - np.log(np.exp(scores, out=scores).sum(axis=0))
-        out = np.empty(len(leaf))
-        out[order] = total
+            key = (leaf // np.int32(self.arity ** (depth + 1))).astype(np.int64) * kinds + pair
+            order = np.argsort(key)
+            new = np.diff(key[order], prepend=-1) > 0
+            context, sums = _with_bias(hidden, order[new]), np.zeros(int(new.sum()) + 1)
+            for rows, _, first in self.stacks(key[order[new]] // kinds, self.arity, PIECE):
+                nodes = first[:, None] + np.arange(self.arity)
+                scores = context.take(rows, axis=0) @ level.take(nodes, axis=0, mode="clip").transpose(0, 2, 1)
+                if nodes.max() >= len(level):  # the last family is not full
+                    scores += np.where(nodes < len(level), 0, -np.inf).astype(np.float32)[:, None]
+                scores = scores.reshape(-1, self.arity)
+                top = scores.max(axis=1)
+                scores -= top[:, None]
+                sums[rows.ravel()] = top + np.log(np.exp(scores, out=scores) @ np.ones(self.arity, np.float32))
+            out[order] -= sums[np.cumsum(new) - 1]
+            node = level.take(leaf // np.int32(self.arity ** depth), axis=0)
+            out += np.einsum("ij,ij->i", node[:, :-1], hidden) + node[:, -1]
         return out
 
     def train(self, hidden: np.ndarray, leaf: np.ndarray, rng, squares: list, met: list) -> None:
         """One NCE step for the words met and one for each family's noise, up to ``SIBLINGS`` of it drawn evenly."""
         order = np.argsort(leaf, kind="stable")
-        context, leaf = np.c_[hidden, np.ones(len(hidden), np.float32)].take(order, axis=0), leaf[order]
+        padded, leaf = _with_bias(hidden, order), leaf[order]
+        context = padded[:-1]
 
         def step(depth, rows, g):
-            squares[depth][rows] += g * g
-            self.levels[depth][rows] += TREE_RATE * g / np.sqrt(squares[depth][rows])
+            total = squares[depth].take(rows, axis=0) + g * g
+            squares[depth][rows] = total
+            self.levels[depth][rows] += TREE_RATE * g / np.sqrt(total)
 
         for depth, level in enumerate(self.levels):
             node = leaf // np.int32(self.arity ** depth)
@@ -236,12 +277,26 @@ class Tree:
             starts = np.nonzero(np.diff(node, prepend=-1))[0]
             step(depth, node[starts], np.add.reduceat(right[:, None] * context, starts))
             met[depth][node[starts]] += np.diff(starts, append=len(node))
-            for i, j, first in self.families(leaf, depth):
-                drawn = first + rng.permutation(size[i])[:SIBLINGS]
-                scores = level[drawn] @ context[i:j].T - shift[i]
+            heads = np.nonzero(np.diff(parent, prepend=-1))[0]
+            drawn = np.full((len(heads), SIBLINGS), -1)
+            for k, n in enumerate(size[heads].tolist()):
+                drawn[k, :min(SIBLINGS, n)] = rng.permutation(n)[:SIBLINGS]
+            for rows, family, first in self.stacks(parent, 2 * (DIM + 1)):
+                nodes, some = drawn[family], drawn[family] >= 0
+                nodes += first[:, None]
+                met_here = padded.take(rows, axis=0)
+                scores = level.take(nodes, axis=0, mode="clip") @ met_here.transpose(0, 2, 1) - shift[rows[:, :1, None]]
                 wrong = -1 / (1 + np.exp(-np.clip(scores, -30, 30)))
-                step(depth, drawn, wrong @ context[i:j])
-                met[depth][drawn] += 1e-3 * (j - i)
+                step(depth, nodes[some], (wrong @ met_here)[some])
+                met[depth][nodes[some]] += np.repeat(1e-3 * (rows < len(leaf)).sum(axis=1), some.sum(axis=1))
+
+
+def _with_bias(hidden: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The contexts in an order, with a 1 for the bias, and a row of zeros after the last."""
+    out = np.zeros((len(order) + 1, hidden.shape[1] + 1), np.float32)
+    out[:-1, :-1] = hidden.take(order, axis=0)
+    out[:-1, -1] = 1
+    return out
 
 
 class Codes:
@@ -330,7 +385,8 @@ class Model:
         at = np.nonzero(leaf >= 0)[0]
         for s in range(0, len(at), 1 << 19):
             part = at[s:s + (1 << 19)]
-            out[part] += self.tree.log_probabilities(self.words.predicted(contexts[part]), leaf[part])
+            own = contexts[part]
+            out[part] += self.tree.log_probabilities(self.words.predicted(own), leaf[part], self.words.pairs(own))
         return out
 
 
