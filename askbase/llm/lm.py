@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from askbase.llm.common import raw, slices, stored, table
-from askbase.llm.packed import Words, most_frequent, segments
+from askbase.llm.packed import Words, give_back, most_frequent, segments
 
 HEAD, DIM, CONTEXT, NOISE, BATCH, ROUNDS, RATE, SEED = 510, 16, 2, 48, 4096, 2, 0.1, 42
 LEAST, TOP, SIBLINGS, TREE_BATCH, TREE_RATE = 5, 64, 8, 1 << 18, 0.5
@@ -461,6 +461,7 @@ def train(seqs: DataFrame, counts: np.ndarray, leaves: np.ndarray, rounds: int =
             block = value[r["at"]:r["at"] + len(w)]
             block[w > 0] = np.frombuffer(r["v"], np.float32).reshape(len(w), -1)[w > 0]
         shared.unpersist()
+        give_back()  # the blocks collected
     return model
 
 

@@ -38,7 +38,7 @@ def segments(df: DataFrame) -> list[bytes]:
     return [bytes(r[0]) for r in sorted_rows.mapInArrow(run, "segment binary").collect()]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Free memory goes back to the system, as a worker lives on beside others."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
@@ -58,7 +58,7 @@ class Words:
     def open(self) -> "Words":
         if self.hashes is not None:
             return self
-        _give_back()
+        give_back()
         unpack = zstandard.ZstdDecompressor().decompress
         n, size, kinds, shapes = 0, 0, [], []
         for part in self.packed:  # unpacked twice, so that nothing is held twice
@@ -86,7 +86,7 @@ class Words:
                 self.values[k][ends[k]:ends[k] + len(v)] = v
                 ends[k] += len(v)
             if len(packed) % 64 == 0:
-                _give_back()
+                give_back()
         self.rows, done, top = np.empty(n, np.int32), 0, (hashes >> np.uint32(28)).astype(np.uint8)
         for part in range(16):  # sorted by parts, so that little is held beside them
             own = np.nonzero(top == part)[0].astype(np.int32)
