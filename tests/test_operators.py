@@ -718,3 +718,69 @@ def test_the_matrix_ranks_ids_and_fetches_texts_for_the_first_ones_only(spark, m
     best = {(r.collection, r.retrieval, r.rerank): r.answer for r in found if r.query_id == "q"}
     assert best["separated_cosine", "bm25", vocab.RERANK_MODES[1]] == "item 3"
     assert best["combined_cosine", "bm25", vocab.RERANK_MODES[1]] == "Q: what is item 3\nA: item 3"
+
+
+@pytest.mark.parametrize("postings, weights, scores", [(1, (1, 1), 1), (200, (1, 30), 300), (10_000, (1, 10_000), 10_000)])
+def test_large_grid_is_a_product_of_packed_partitions(spark, monkeypatch, postings, weights, scores):
+    """A grid's rows were repeated for each of its cells, so shuffles grew with queries times documents."""
+    docs = made_docs(150, 5) + [(f"x{i}", f"rare{i} the w3") for i in range(60)] + [("x7", None)]
+    asked = [(f"q{i}", t) for i, (_, t) in enumerate(made_docs(20, 6))] + [("r", "rare7 the"), (None, "w3"), ("s", None)]
+    index = terms.temporary_index(spark.createDataFrame(docs, "chunk_id string, text string"))
+    queries = spark.createDataFrame(asked, "query_id string, text string")
+    want = sorted(map(str, index.bm25(queries, 3).withColumn("score", F.round("score", 9)).collect()))
+    monkeypatch.setattr(terms, "CELL_POSTINGS", postings)
+    monkeypatch.setattr(terms, "CELL_WEIGHTS", weights)
+    monkeypatch.setattr(terms, "_SCORES", scores)
+    monkeypatch.setattr(terms, "GRID_ROWS", -1)
+    monkeypatch.setattr(terms, "TASKS_A_CORE", 1)
+    found = index.bm25(queries, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    assert sorted(map(str, found.withColumn("score", F.round("score", 9)).collect())) == want
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_meet_as_a_product_of_packed_partitions(spark, kind):
+    """The corpus was repeated in a shuffle for every block of queries; each side goes through one once."""
+    rng = random.Random(8)
+    data = [(f"c{i}", [float(rng.randint(0, 2)) for _ in range(6)]) for i in range(400)] + [("zero", [0.0] * 6)]
+    asked = [(f"q{i}", v) for i, (_, v) in enumerate(data[::9])] + [("z", [0.0] * 6)]
+    corpus = spark.createDataFrame(data, f"chunk_id string, embedding array<{kind}>").repartition(3)
+    queries = spark.createDataFrame(asked, f"query_id string, embedding array<{kind}>").repartition(5)
+    for metric in ("cosine", "l2"):
+        found = ranking.knn(corpus, queries, 4, metric, block=3, part=50)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan
+        best = {(r.query_id, r.rank): r.chunk_id for r in found.collect()}
+        for q, v in asked:
+            def distance(x):
+                if metric == "l2":
+                    return round(math.dist(x, v), 9)
+                size = math.hypot(*x) * math.hypot(*v)
+                return round(1 - (sum(a * b for a, b in zip(x, v)) / size if size else 0), 9)
+            near = sorted((distance(x), i) for i, x in data)[:4]
+            assert [best[q, k] for k in range(1, 5)] == [i for _, i in near]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "l2_sq"])
+@pytest.mark.parametrize("scale", [1.0, 1e-4, 1e18, math.nan])
+def test_screened_vectors_are_the_nearest_ones(metric, scale):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    x = rng.poisson(0.4, (900, 12)).astype(float)
+    x[40:90] = x[3]
+    x[5] = 0
+    q = x[::30].copy()
+    x, q = (x, q) if math.isnan(scale) else (x * scale, q * scale)
+    if math.isnan(scale):
+        x[7, 2] = math.nan
+    ids = np.array([f"d{i:03}" for i in rng.permutation(900)], dtype=object)
+    plain, screened = ranking._Best(len(q), 5), ranking._Best(len(q), 5)
+    plain.offer(ranking._distances(x, q, metric), ids)
+    block = ranking._Block(q, metric, 5)
+    for at in range(0, 900, 300):
+        block.meet(x[at:at + 300], ids[at:at + 300], screened)
+    plain.settle()
+    screened.settle()
+    assert list(plain.id) == list(screened.id)
+    assert np.allclose(plain.score, screened.score, rtol=1e-9, atol=1e-9 * min(1, scale if scale == scale else 1))
