@@ -1,6 +1,7 @@
 """Small goldens, traps and invariants, checked against plain Python."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -784,3 +785,40 @@ def test_screened_vectors_are_the_nearest_ones(metric, scale):
     screened.settle()
     assert list(plain.id) == list(screened.id)
     assert np.allclose(plain.score, screened.score, rtol=1e-9, atol=1e-9 * min(1, scale if scale == scale else 1))
+
+
+def test_a_token_line_has_the_parts_of_its_text(spark):
+    texts = [("Some words, some WORDS 4 more",), ("",), ("..",), (None,), ("one",), ("Ünder  x\ny",)]
+    made = spark.createDataFrame(texts, "t string").select(
+        fusion.lexical_parts("t").alias("a"), fusion.line_parts(text.token_line("t")).alias("b")).collect()
+    assert all(r.a == r.b for r in made) and made[0].a.words == ["some", "words", "4", "more"]
+
+
+def test_best_pairs_are_ranked_without_texts(spark, monkeypatch):
+    """Texts and metadata of all pairs went through the shuffle of their ranking."""
+    from askbase.plans import answering
+    seen, plain = {}, answering.stored
+    monkeypatch.setattr(answering, "stored", lambda df, name: (seen.update({name: df.columns}), plain(df, name))[1])
+    made = "chunk_id string, text string, pair_id string, source_file string, metadata map<string,string>"
+    corpus_rows = spark.createDataFrame([(f"c{i}", f"some words {i} and more {i % 3}", f"p{i}", "f", {"k": str(i)})
+                                         for i in range(9)], made)
+    asked = spark.createDataFrame([("q", "some words 4"), ("r", "more 1 and"), ("r", "words 2"), ("s", None), (None, "more")],
+                                  "query_id string, text string")
+    pool = spark.createDataFrame([(q, f"c{i}", i + 1, 0.5, "bm25") for q in ("q", "r", "s", None) for i in range(9)],
+                                 "query_id string, chunk_id string, rank bigint, score double, score_type string")
+    want = fusion.rescore(answering.with_both_texts(pool, corpus_rows, asked, 3), parts=answering.PARTS)
+    got = answering.best_pairs(pool, corpus_rows, asked, 3)
+    columns = ["query_id", "chunk_id", "rank", "score", "score_type", "text", "pair_id", "source_file", "metadata"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert seen["top"] == [*pool.columns, "text_no"]
+
+
+def test_shuffles_and_folders_are_given_back(spark, tmp_path):
+    """Finished shuffles and the tables an ingest made on its way stayed on disk."""
+    from askbase.functions import sizing
+    kept = sizing.stored(spark.range(5), "kept")
+    gone = sizing.stored(spark.range(5), "gone")
+    folder = gone.inputFiles()[0].removeprefix("file:").replace("//", "").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    sizing.discard(gone)
+    assert not os.path.exists(folder) and kept.count() == 5
